@@ -50,3 +50,14 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], segment: Col
     joined = rows.join(entering, [*keys, "_segment"], "left")
     return joined.select(*df.columns, *[F.coalesce(f"_own_{n}", f"_from_{n}").alias(n)
                                         for n in carried])
+
+
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns whose costly expressions must not be repeated in later filters.
+
+    The optimizer copies an expression into every filter it moves below the projection.
+    Behind a generator the values are computed once per row and filters stay above it.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(made)).alias("_made")).select(
+        *df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
