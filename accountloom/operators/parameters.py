@@ -274,8 +274,9 @@ def match_replies(replies: DataFrame, open_companies: DataFrame, industries: Dat
     is the first valid name that contains the first six letters of the answer; it is found
     by an equi-join on the letter runs of the valid names, not by comparing all pairs.
     """
-    by_ticker = ordered.latest(open_companies.select(F.upper("ticker").alias("t"), F.col("lei").alias("t_lei")),
-                               ["t"], [F.col("t_lei")], ["t_lei"])
+    by_ticker = ordered.earliest(
+        open_companies.select(F.upper("ticker").alias("t"), F.col("lei").alias("t_lei"), "revenue_m"),
+        ["t"], [F.col("revenue_m"), F.col("t_lei")], ["t_lei"])
     by_lei = open_companies.select(F.col("lei").alias("l_lei"))
     valid = valid_industries(industries).select(F.col("name").alias("valid_name"))
     matched = replies.join(by_ticker, F.upper("key") == F.col("t"), "left") \
