@@ -33,7 +33,7 @@ def timeline(runs: DataFrame, quotes: DataFrame) -> DataFrame:
     ``runs``: run_date, lei, ticker, value_per_share, price, verdict, research_flag, void,
     blocked, next_run.  ``quotes``: lei, as_of, price, seen_on.
     """
-    value_ok = F.when(F.col("value_per_share") > 0, F.col("value_per_share"))
+    value_ok = F.col("value_per_share")
     r = runs.select(
         "lei", F.col("run_date").alias("at"), F.lit(RUN_SIDE).alias("side"), "price",
         F.struct("run_date", "next_run", "ticker", "verdict", (F.col("void") | void_text(F.col("verdict"))).alias("void"),
@@ -44,21 +44,24 @@ def timeline(runs: DataFrame, quotes: DataFrame) -> DataFrame:
     return r.unionByName(q, allowMissingColumns=True)
 
 
-def position_events(runs: DataFrame, quotes: DataFrame, segment: Column | None = None) -> DataFrame:
+def month(c: str) -> Column:
+    return F.trunc(c, "month")
+
+
+def position_events(runs: DataFrame, quotes: DataFrame) -> DataFrame:
     """Entries and exits of every company over its whole history.
 
     Each row signals enter, exit or nothing; the state before a row is the last signal
     before it, so positions come from carry-forward windows instead of a replay.
     """
-    rows = timeline(with_next_run(runs), quotes)
-    seg = F.trunc("at", "month") if segment is None else segment
-    known = ordered.carry_forward(rows, ["lei"], ["at", "side"], seg,
+    rows = timeline(with_next_run(runs), quotes).withColumn("seg", month("at"))
+    known = ordered.carry_forward(rows, ["lei"], ["at", "side"], "seg",
                                   {"last_run": F.col("run"), "last_value": F.col("live_value")})
     run, is_run = F.col("last_run"), F.col("side") == RUN_SIDE
     fresh = F.datediff("seen_on", "at") <= spec.QUOTE_MAX_AGE
     usable = (F.col("price") > 0) & fresh
     current = run["next_run"].isNull() | (F.col("at") < run["next_run"])
-    up_exit = F.try_divide(F.col("last_value"), F.col("price")) - 1
+    up_exit = F.try_divide(F.when(F.col("last_value") > 0, F.col("last_value")), F.col("price")) - 1
     up_entry = F.try_divide(F.when(run["value"] > 0, run["value"]), F.col("price")) - 1
     enter_quote = usable & current & ~run["void"] & ~run["blocked"] & (up_entry > spec.VERDICT_BAND)
     exit_quote = usable & ~run["void"] & (up_exit <= spec.EXIT_UPSIDE)
@@ -66,7 +69,7 @@ def position_events(runs: DataFrame, quotes: DataFrame, segment: Column | None =
                      .when(~run["void"] & (run["verdict"] != spec.UNDERVALUED), 0))
               .otherwise(F.when(enter_quote, 1).when(exit_quote, 0)))
     marked = known.withColumn("signal", signal)
-    state = ordered.carry_forward(marked, ["lei"], ["at", "side"], seg,
+    state = ordered.carry_forward(marked, ["lei"], ["at", "side"], "seg",
                                   {"held_before": F.col("signal")}, include_current=False)
     held = F.coalesce("held_before", F.lit(0))
     edge = F.when((F.col("signal") == 1) & (held == 0), "entry") \
@@ -74,16 +77,15 @@ def position_events(runs: DataFrame, quotes: DataFrame, segment: Column | None =
     return state.withColumn("event", edge).where(F.col("event").isNotNull())
 
 
-def positions(runs: DataFrame, quotes: DataFrame, segment: Column | None = None) -> DataFrame:
+def positions(runs: DataFrame, quotes: DataFrame) -> DataFrame:
     """One row per round trip.  A company has at most one open position at a time."""
-    seg = F.trunc("at", "month") if segment is None else segment
-    events = position_events(runs, quotes, segment)
+    events = position_events(runs, quotes)
     value = F.col("last_run.value")
     entry = F.struct(F.col("at").alias("date"), "price", value.alias("value"),
                      F.col("last_run.ticker").alias("ticker"))
     trips = ordered.carry_forward(
         events.withColumn("entry_row", F.when(F.col("event") == "entry", entry)),
-        ["lei"], ["at", "side"], seg, {"entry": F.col("entry_row")})
+        ["lei"], ["at", "side"], "seg", {"entry": F.col("entry_row")})
     closing = F.when(F.col("event") == "exit", F.struct(
         F.col("at").alias("date"), "price",
         F.when(F.col("side") == RUN_SIDE, F.col("last_run.verdict"))
@@ -92,7 +94,7 @@ def positions(runs: DataFrame, quotes: DataFrame, segment: Column | None = None)
         F.first("closing", True).alias("closing"))
     seen = ordered.latest(runs, ["lei"], [F.col("run_date")], ["run_date", "verdict"]) \
         .withColumnRenamed("verdict", "run_verdict")
-    live = runs.where(~F.col("void") & ~void_text(F.col("verdict")) & (F.col("value_per_share") > 0))
+    live = runs.where(~F.col("void") & ~void_text(F.col("verdict")) & F.col("value_per_share").isNotNull())
     last_live = ordered.latest(live, ["lei"], [F.col("run_date")], ["value_per_share"])
     joined = per_trip.join(seen, "lei", "left").join(last_live, "lei", "left")
     is_open = F.col("closing").isNull()
@@ -222,25 +224,28 @@ def performance_series(book: DataFrame, prices: DataFrame, today: Column) -> Dat
     b = book.where((F.col("entry_price") != 0) & (F.col("entry_date") <= today)).select(
         "lei", "entry_date", "exit_date", "entry_price",
         F.coalesce(numbers.nonzero(F.col("exit_price")), F.col("entry_price")).alias("final_price"))
-    p = prices.select("lei", "as_of", "price")
-    ret = lambda c: (F.col(c) / F.col("entry_price") - 1).cast(MONEY)
-    before_exit = F.col("exit_date").isNull() | (F.col("as_of") < F.col("exit_date"))
-    joined = b.join(p, "lei")
-    running = joined.where((F.col("as_of") > F.col("entry_date")) & before_exit).select(
-        "lei", "entry_date", F.col("as_of").alias("date"), ret("price").alias("r"))
-    opening = joined.where(F.col("as_of") <= F.col("entry_date")).where(
-        F.col("exit_date").isNull() | (F.col("exit_date") > F.col("entry_date"))) \
-        .groupBy("lei", "entry_date").agg(F.max_by(ret("price"), F.col("as_of")).alias("r")) \
-        .select("lei", "entry_date", F.col("entry_date").alias("date"), "r")
+    held_prices = prices.join(b.select("lei").distinct(), "lei", "left_semi")
+    lasting = b.where(F.col("exit_date").isNull() | (F.col("exit_date") > F.col("entry_date")))
+    trip = F.struct("entry_date", "entry_price", "exit_date")
+    stream = held_prices.select("lei", F.col("as_of").alias("at"), F.lit(0).alias("kind"), "price") \
+        .unionByName(lasting.select("lei", F.col("entry_date").alias("at"), F.lit(1).alias("kind"),
+                                    trip.alias("trip")), allowMissingColumns=True) \
+        .withColumn("seg", month("at"))
+    known = ordered.carry_forward(stream, ["lei"], ["at", "kind"], "seg",
+                                  {"now": F.col("trip"), "known": F.col("price")})
+    inside = F.col("now.exit_date").isNull() | (F.col("at") < F.col("now.exit_date"))
+    moving = known.where(F.col("now").isNotNull() & F.col("known").isNotNull() & inside).select(
+        "lei", "now.entry_date", F.col("at").alias("date"),
+        (F.col("known") / F.col("now.entry_price") - 1).cast(MONEY).alias("r"))
     closing = b.where(F.col("exit_date").isNotNull()).select(
-        "lei", "entry_date", F.col("exit_date").alias("date"), ret("final_price").alias("r"))
-    steps = running.unionByName(opening).unionByName(closing).where(F.col("date") <= today)
+        "lei", "entry_date", F.col("exit_date").alias("date"),
+        (F.col("final_price") / F.col("entry_price") - 1).cast(MONEY).alias("r"))
+    steps = moving.unionByName(closing).where(F.col("date") <= today)
     per_trip = W.partitionBy("lei", "entry_date").orderBy("date")
     deltas = steps.withColumn("before", F.lag("r").over(per_trip)).select(
         "date", (F.col("r") - F.coalesce("before", F.lit(0).cast(MONEY))).alias("delta"),
         F.when(F.col("before").isNull(), 1).otherwise(0).alias("joins"))
-    held = book.select("lei").distinct()
-    spine = p.join(held, "lei", "left_semi").select(F.col("as_of").alias("date")) \
+    spine = held_prices.select(F.col("as_of").alias("date")) \
         .unionByName(book.select(F.explode(F.array_compact(F.array("entry_date", "exit_date"))).alias("date"))) \
         .where(F.col("date") <= today).select("date", F.lit(0).cast(MONEY).alias("delta"), F.lit(0).alias("joins"))
     daily = deltas.unionByName(spine).groupBy("date").agg(
@@ -251,15 +256,15 @@ def performance_series(book: DataFrame, prices: DataFrame, today: Column) -> Dat
         "date", (F.col("s").cast("double") / F.col("n")).alias("return_pct"), "n").orderBy("date")
 
 
-def as_of_price(asks: DataFrame, prices: DataFrame, segment: Column | None = None) -> DataFrame:
+def as_of_price(asks: DataFrame, prices: DataFrame) -> DataFrame:
     """Price known on or before each asked date; null where none is known yet.
 
     One ordered stream per company instead of a range join.
     """
-    seg = F.trunc("at", "month") if segment is None else segment
     both = prices.select("lei", F.col("as_of").alias("at"), F.lit(0).alias("side"), "price").unionByName(
-        asks.select("lei", "at", F.lit(1).alias("side")), allowMissingColumns=True)
-    filled = ordered.carry_forward(both, ["lei"], ["at", "side"], seg, {"known_price": F.col("price")})
+        asks.select("lei", "at", F.lit(1).alias("side")), allowMissingColumns=True) \
+        .withColumn("seg", month("at"))
+    filled = ordered.carry_forward(both, ["lei"], ["at", "side"], "seg", {"known_price": F.col("price")})
     return filled.where(F.col("side") == 1).select("lei", "at", "known_price")
 
 
