@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 
 def iso_date(c: Column) -> Column:
     """'YYYY-MM-DD' or 'YYYYMMDD' at the start of a text; null when it is no date."""
-    dashed = F.regexp_extract(c, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
-    packed = F.regexp_replace(F.regexp_extract(c, r"^([0-9]{8})(?:T|$)", 1),
-                              r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")
-    return F.coalesce(dashed.try_cast("date"), packed.try_cast("date"))
+    dashed = (F.substring(c, 5, 1) == "-") & (F.substring(c, 8, 1) == "-") & F.substring(c, 10, 1).between("0", "9")
+    packed = c.rlike(r"^[0-9]{8}(?:T|$)")
+    return F.when(dashed, F.substring(c, 1, 10).try_cast("date")).when(packed, F.concat_ws(
+        "-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2)).try_cast("date"))
 
 
 def _past_midnight(c: Column) -> Column:
     """True only for a valid clock time other than 00:00:00."""
     clock = r"^[0-9-]{8,10}.([01][0-9]|2[0-3]):?([0-5][0-9])?:?([0-5][0-9])?(?:[.,][0-9]+)?(?:Z|[+-][0-9:]+)?$"
+    usual = (F.length(c) <= 10) | c.endswith("T00:00:00")
     digits = F.concat(*[F.regexp_extract(c, clock, i) for i in (1, 2, 3)])
-    return digits.rlike("[1-9]")
+    return F.when(usual, False).otherwise(digits.rlike("[1-9]"))
 
 
 def period(raw: Column) -> Column:
