@@ -11,6 +11,7 @@ from accountloom.bindings.base import (
 from accountloom.functions import text
 from accountloom.operators import coverage, extraction, store
 from accountloom.plans import screening
+from accountloom.session import cut_lineage
 from accountloom.sources import filings
 
 QUERIES, ORACLE = {}, {}
@@ -39,7 +40,8 @@ def _voted(spark, d, **options):
 
 
 def _store(spark, d):
-    voted = _voted(spark, d)
+    """Headers and facts of one extraction, which is stored before both are read."""
+    voted = cut_lineage(_voted(spark, d))
     return extraction.company_year_rows(voted, F.lit("2002-01-01").cast("timestamp")), extraction.fact_rows(voted)
 
 
@@ -253,7 +255,7 @@ UNION ALL SELECT 'mixed_financial_signal' FROM (SELECT DISTINCT lei FROM headers
 UNION ALL SELECT 'no_filing' FROM (SELECT DISTINCT lei FROM headers))
 SELECT outcome, count(*) AS n FROM o GROUP BY 1""")
 def extraction_counters(spark, d):
-    voted = _voted(spark, d)
+    voted = cut_lineage(_voted(spark, d))
     todo = voted.select(*KEYS, F.lit("todo").alias("state"))
     none = voted.select("lei").distinct().select("lei", F.lit(1990).alias("fiscal_year"), F.lit("no_filing").alias("state"))
     return extraction.extraction_counts(todo.unionByName(none), voted)

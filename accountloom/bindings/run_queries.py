@@ -11,6 +11,7 @@ from accountloom.bindings.base import YEARS, pick, sql_list, table
 from accountloom.bindings.company_queries import _QUOTE_SQL, prices
 from accountloom.functions import numbers, ordered, text
 from accountloom.operators import health, policy, portfolio, results, store, valuation
+from accountloom.session import cut_lineage
 from accountloom.sources import records
 
 QUERIES, ORACLE = {}, {}
@@ -190,12 +191,12 @@ def held_and_void_reasons(spark, d):
     return results.held_and_void_reasons(_results(spark, d)).drop("ticker")
 
 
-@query(f"""WITH {_RESULT_SQL} SELECT 'N' || ord AS name, price AS current_price, round(value / 1.25, 6) AS trigger_price, CASE WHEN flag THEN 'RESEARCH' ELSE '' END AS flag,
+@query(f"""WITH {_RESULT_SQL} SELECT 'N' || ord AS name, price AS current_price, value / 1.25 AS trigger_price, CASE WHEN flag THEN 'RESEARCH' ELSE '' END AS flag,
 CASE WHEN qualifies THEN replace(blocking, ',', ', ') ELSE '' END AS held_back_by, (coalesce(f0::INT, 0) + coalesce(f1::INT, 0) + coalesce(f4::INT, 0))::INT AS warnings,
 coalesce(f3::INT, 0)::INT AS notes, coalesce(f2::INT, 0)::INT AS fails FROM r""")
 def results_sheet(spark, d):
     return results.results_sheet(_results(spark, d)).select(
-        "name", "current_price", F.round("trigger_price", 6).alias("trigger_price"), "flag", "held_back_by", "warnings", "notes", "fails")
+        "name", "current_price", "trigger_price", "flag", "held_back_by", "warnings", "notes", "fails")
 
 
 @query(f"WITH {_RESULT_SQL} SELECT lei, verdict, round(upside, 6) AS upside FROM r WHERE flag")
@@ -206,11 +207,11 @@ def published_results(spark, d):
                          F.round("upside", 6).alias("upside"))
 
 
-@query(f"""WITH {_RESULT_SQL} SELECT lei, ticker, round(value / 1.25, 6) AS trigger_price, round(value / 1.2, 6) AS watch_price, verdict, flag AS research_flag, void
+@query(f"""WITH {_RESULT_SQL} SELECT lei, ticker, value / 1.25 AS trigger_price, value / 1.2 AS watch_price, verdict, flag AS research_flag, void
 FROM r WHERE value IS NOT NULL""")
 def run_triggers(spark, d):
     return results.triggers(_results(spark, d), F.lit("2024-01-31").cast("date")).select(
-        "lei", "ticker", F.round("trigger_price", 6).alias("trigger_price"), F.round("watch_price", 6).alias("watch_price"), "verdict", "research_flag", "void")
+        "lei", "ticker", "trigger_price", "watch_price", "verdict", "research_flag", "void")
 
 
 @query(f"""WITH {_RESULT_SQL} SELECT count(*) FILTER (value IS NOT NULL) AS valued, count(*) FILTER (value IS NULL) AS could_not_be_valued, count(*) FILTER (qualifies) AS undervalued,
@@ -271,7 +272,8 @@ def _valuation_inputs(spark, d):
               "total_current_liabilities": 0.3, "short_term_debt": 0.05, "long_term_debt": 0.2, "preferred_stock": 0.0,
               "minority_interest": 0.01, "total_equity": 0.5, "equity_method_investments": 0.02, "total_assets": 1.1,
               "capex": 0.07, "acquisitions_net": 0.01}
-    lines = {key: F.transform("series", lambda v, w=w: v * F.lit(w)) for key, w in weight.items()}
+    share = lambda w: F.transform("series", lambda v: v * F.lit(w))
+    lines = {key: share(w) for key, w in weight.items()}
     lines["interest_expense"] = F.transform("series", lambda v: F.when(k % 9 == 0, 0.0).otherwise(v * 0.01))
     par = {"price": 0.5 + (k % 200) / 20, "shares": F.lit(1e6) * (1 + k % 7), "risk_free_rate": F.lit(0.025),
            "mature_market_erp": F.lit(0.045), "long_run_nominal_growth": F.lit(0.025), "crp": (k % 4) / 200,
@@ -376,23 +378,23 @@ run AS (SELECT 'U' || user_id AS lei, ts::DATE AS run_date, event_type AS t, val
     WHEN event_type = 'click' THEN 'FAIRLY VALUED - no action' ELSE 'VOID - failed validation' END AS verdict
   FROM events WHERE day(ts) % 7 = 1 QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) = 1),
 cal AS (SELECT run_date, lead(run_date) OVER (ORDER BY run_date) AS next_run FROM (SELECT DISTINCT run_date FROM run)),
-tl AS (SELECT lei, run_date AS at, 0 AS side, price, vps, verdict, t, run_date, next_run, NULL::DATE AS seen FROM run JOIN cal USING (run_date)
+tl AS (SELECT lei, run_date AS d_at, 0 AS side, price, vps, verdict, t, run_date, next_run, NULL::DATE AS seen FROM run JOIN cal USING (run_date)
   UNION ALL SELECT lei, as_of, 1, price, NULL, NULL, NULL, NULL, NULL, CASE WHEN day(as_of) = 20 THEN as_of + 9 ELSE as_of END FROM price),
 k AS (SELECT *, last_value(t IGNORE NULLS) OVER w AS lt, last_value(run_date IGNORE NULLS) OVER w AS lr,
   last_value(verdict IGNORE NULLS) OVER w AS lv, last_value(vps IGNORE NULLS) OVER w AS lval,
   last_value(CASE WHEN t IS NOT NULL THEN [vps] END IGNORE NULLS) OVER w AS lrun,
   last_value(CASE WHEN t IS NOT NULL THEN [next_run] END IGNORE NULLS) OVER w AS ln FROM tl
-  WINDOW w AS (PARTITION BY lei ORDER BY at, side ROWS UNBOUNDED PRECEDING)),
+  WINDOW w AS (PARTITION BY lei ORDER BY d_at, side ROWS UNBOUNDED PRECEDING)),
 sig AS (SELECT *, CASE WHEN side = 0 THEN CASE WHEN t = 'purchase' AND price > 0 THEN 1 WHEN t IN ('error', 'click') THEN 0 END
-  WHEN lt IS NOT NULL AND lt <> 'signup' AND price > 0 AND seen - at <= 7 THEN
-    CASE WHEN lt <> 'view' AND (ln[1] IS NULL OR at < ln[1]) AND lrun[1] > 0 AND lrun[1] / price - 1 > 0.25 THEN 1 WHEN lval > 0 AND lval / price - 1 <= 0 THEN 0 END END AS s FROM k),
-st AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY lei ORDER BY at, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM sig),
+  WHEN lt IS NOT NULL AND lt <> 'signup' AND price > 0 AND seen - d_at <= 7 THEN
+    CASE WHEN lt <> 'view' AND (ln[1] IS NULL OR d_at < ln[1]) AND lrun[1] > 0 AND lrun[1] / price - 1 > 0.25 THEN 1 WHEN lval > 0 AND lval / price - 1 <= 0 THEN 0 END END AS s FROM k),
+st AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY lei ORDER BY d_at, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM sig),
 ev AS (SELECT *, CASE WHEN s = 1 AND held = 0 THEN 'entry' WHEN s = 0 AND held = 1 THEN 'exit' END AS event FROM st
   WHERE (s = 1 AND held = 0) OR (s = 0 AND held = 1)),
-trip AS (SELECT lei, 'T' || lei AS ticker, at AS entry_date, price AS entry_price, lrun[1] AS entry_value, event,
-  lead(at) OVER x AS exit_date, lead(price) OVER x AS exit_price, lead(lval) OVER x AS exit_value,
+trip AS (SELECT lei, 'T' || lei AS ticker, d_at AS entry_date, price AS entry_price, lrun[1] AS entry_value, event,
+  lead(d_at) OVER x AS exit_date, lead(price) OVER x AS exit_price, lead(lval) OVER x AS exit_value,
   lead(CASE WHEN side = 0 THEN verdict ELSE 'PRICE AT FAIR VALUE - exited between screens' END) OVER x AS exit_verdict
-  FROM ev WINDOW x AS (PARTITION BY lei ORDER BY at, side)),
+  FROM ev WINDOW x AS (PARTITION BY lei ORDER BY d_at, side)),
 lastrun AS (SELECT lei, max(run_date) AS rd, arg_max(verdict, run_date) AS rv, arg_max(vps, run_date) FILTER (vps IS NOT NULL) AS rvps FROM run GROUP BY 1),
 book AS (SELECT trip.*, CASE WHEN exit_date IS NULL THEN 'open' ELSE 'closed' END AS status, 100 / entry_price AS units,
   CASE WHEN exit_date IS NULL THEN CASE WHEN rd >= entry_date THEN rv ELSE 'UNDERVALUED - investigate' END END AS last_verdict,
@@ -403,7 +405,7 @@ marked AS (SELECT b.*, CASE WHEN status = 'open' THEN coalesce(n.price, entry_pr
   status = 'open' AND n.price IS NULL AS missing FROM book b LEFT JOIN newest n USING (lei))"""
 
 
-@query(f"WITH {_BOOK_SQL} SELECT lei, at, side::INT AS side, event, price FROM ev")
+@query(f'WITH {_BOOK_SQL} SELECT lei, d_at AS "at", side::INT AS side, event, price FROM ev')
 def position_events(spark, d):
     return portfolio.position_events(_runs(spark, d), _run_quotes(spark, d)).select("lei", "at", "side", "event", "price")
 
@@ -454,11 +456,12 @@ def performance_series(spark, d):
 
 
 def ordered_frames(spark, d):
-    return _book(spark, d), prices(spark, d)
+    """The book and the prices as stored tables: both are read several times."""
+    return cut_lineage(_book(spark, d)), cut_lineage(prices(spark, d))
 
 
-@query(f"""WITH {_QUOTE_SQL}, asks AS (SELECT 'U' || user_id AS lei, max(ts)::DATE - 5 AS at FROM events GROUP BY 1)
-SELECT a.lei, a.at, p.price AS known_price FROM asks a ASOF LEFT JOIN price p ON a.lei = p.lei AND a.at >= p.as_of""")
+@query(f"""WITH {_QUOTE_SQL}, asks AS (SELECT 'U' || user_id AS lei, max(ts)::DATE - 5 AS d_at FROM events GROUP BY 1)
+SELECT a.lei, a.d_at AS "at", p.price AS known_price FROM asks a ASOF LEFT JOIN price p ON a.lei = p.lei AND a.d_at >= p.as_of""")
 def as_of_prices(spark, d):
     asks = table(spark, d, "events").groupBy("user_id").agg(F.date_sub(F.to_date(F.max("ts")), 5).alias("at")) \
         .select(F.concat(F.lit("U"), "user_id").alias("lei"), "at")
@@ -528,15 +531,11 @@ def price_watch(spark, d):
     return portfolio.watch_order(portfolio.price_watch(_triggers(spark, d), store.latest_price(prices(spark, d)))).select("lei", "price", "status")
 
 
-@query(f"""WITH {_BOOK_SQL} SELECT lei, entry_date, CASE WHEN status = 'open' THEN 'added' ELSE 'removed' END AS change,
+@query(f"""WITH {_BOOK_SQL} SELECT lei, CASE WHEN status = 'open' THEN 'added' ELSE 'removed' END AS change,
 CASE WHEN status = 'closed' THEN CASE split_part(exit_verdict, ' - ', 1) WHEN 'OVERVALUED' THEN 'Overvalued' WHEN 'FAIRLY VALUED' THEN 'Fairly Valued' ELSE 'Price At Fair Value' END END AS reason
 FROM book WHERE (status = 'open' AND entry_date = DATE '2024-01-29') OR (status = 'closed' AND exit_date = DATE '2024-01-29')""")
 def changed_positions(spark, d):
-    book = _book(spark, d)
-    moved = portfolio.changed_at(book, F.lit("2024-01-29").cast("date"))
-    dates = book.select("lei", "entry_date", "exit_date", "status").where(
-        (F.col("entry_date") == "2024-01-29") & (F.col("status") == "open") | (F.col("exit_date") == "2024-01-29"))
-    return moved.join(dates, "lei").select("lei", "entry_date", "change", "reason")
+    return portfolio.changed_at(_book(spark, d), F.lit("2024-01-29").cast("date")).select("lei", "change", "reason")
 
 
 @query(f"""WITH {_BOOK_SQL} SELECT min(greatest(entry_date, coalesce(n.as_of, entry_date))) AS since FROM book LEFT JOIN newest n USING (lei) WHERE status = 'open'""")

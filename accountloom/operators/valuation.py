@@ -70,13 +70,14 @@ def normalise(df: DataFrame) -> DataFrame:
     staged = staged.withColumns({
         "nopat": F.col("margin") * last("revenue") * (1 - F.col("tax_rate")),
         "invested_capital": F.col("debt") + last("total_equity") - last("cash"),
-        "reinvest_sales_to_capital": F.try_divide(F.col("cagr"), F.col("sales_to_capital")),
-        "ev_debt": F.col("debt")})
+        "reinvest_sales_to_capital": F.try_divide(F.col("cagr"), F.col("sales_to_capital"))})
     return staged.withColumns({
         "computed_roic": F.try_divide(F.col("nopat"), F.col("invested_capital")),
         "reinvest_divergence": numbers.divergence(F.col("reinvest_cashflow"), F.col("reinvest_sales_to_capital")),
-        "reinvest_used": F.greatest(F.lit(0.0), F.least(
-            F.lit(REINVEST_CAP), F.col("reinvest_cashflow"), F.col("reinvest_sales_to_capital")))})
+        "reinvest_used": F.when(
+            F.col("reinvest_cashflow").isNotNull() & F.col("reinvest_sales_to_capital").isNotNull(),
+            F.greatest(F.lit(0.0), F.least(F.lit(REINVEST_CAP), F.col("reinvest_cashflow"),
+                                           F.col("reinvest_sales_to_capital"))))})
 
 
 def cost_of_capital(df: DataFrame) -> DataFrame:
