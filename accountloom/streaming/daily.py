@@ -6,9 +6,11 @@ Runs and quotes arrive as files.  Every job can run continuously or, with
 
 from __future__ import annotations
 
+import sys
 from datetime import date
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -107,8 +109,14 @@ class Positions(StatefulProcessor):
     the newest applied day are too late to act on and are left out.
     """
 
+    # Bound here so that the class carries everything a worker needs.
+    run_side, max_age = portfolio.RUN_SIDE, spec.QUOTE_MAX_AGE
+    enter_above, exit_at = spec.VERDICT_BAND, spec.EXIT_UPSIDE
+    undervalued, at_fair_value = spec.UNDERVALUED, spec.EXIT_AT_FAIR_VALUE
+    schema = STATE
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("position", STATE)
+        self.state = handle.getValueState("position", self.schema)
 
     def handleInputRows(self, key, rows, timer_values):
         held, last, run_day, blocked, void, has_run, value, live, verdict = \
@@ -119,7 +127,7 @@ class Positions(StatefulProcessor):
                 continue
             last = int(r.day)
             price = None if pd.isna(r.price) else float(r.price)
-            if r.side == portfolio.RUN_SIDE:
+            if r.side == self.run_side:
                 run_day, blocked, void, has_run, verdict = int(r.run_day), bool(r.blocked), bool(r.void), True, r.verdict
                 value = None if pd.isna(r.value) else float(r.value)
                 live = value if value is not None and not void else live
@@ -127,9 +135,9 @@ class Positions(StatefulProcessor):
                 reason = verdict
             else:
                 current = not pd.isna(r.run_day) and int(r.run_day) == run_day
-                fresh = price is not None and price > 0 and r.delay <= spec.QUOTE_MAX_AGE
+                fresh = price is not None and price > 0 and r.delay <= self.max_age
                 signal = self.quote_signal(has_run and fresh and not void, current and not blocked, value, live, price)
-                reason = spec.EXIT_AT_FAIR_VALUE if signal == 0 else spec.UNDERVALUED
+                reason = self.at_fair_value if signal == 0 else self.undervalued
             if signal is not None and signal != held:
                 held = signal
                 out.append((key[0], r.day, r.side, "entry" if held else "exit", price, reason))
@@ -138,19 +146,17 @@ class Positions(StatefulProcessor):
         frame["day"] = pd.to_datetime(frame["day"], unit="D").dt.date
         yield frame
 
-    @staticmethod
-    def run_signal(flag, void, verdict, price):
+    def run_signal(self, flag, void, verdict, price):
         if flag and price is not None and price > 0:
             return 1
-        return 0 if not void and verdict != spec.UNDERVALUED else None
+        return 0 if not void and verdict != self.undervalued else None
 
-    @staticmethod
-    def quote_signal(usable, may_enter, value, live, price):
+    def quote_signal(self, usable, may_enter, value, live, price):
         if not usable:
             return None
-        if may_enter and value is not None and value > 0 and value / price - 1 > spec.VERDICT_BAND:
+        if may_enter and value is not None and value > 0 and value / price - 1 > self.enter_above:
             return 1
-        return 0 if live is not None and live > 0 and live / price - 1 <= spec.EXIT_UPSIDE else None
+        return 0 if live is not None and live > 0 and live / price - 1 <= self.exit_at else None
 
     def close(self) -> None:
         pass
@@ -159,6 +165,7 @@ class Positions(StatefulProcessor):
 def position_stream(rows: DataFrame) -> DataFrame:
     """Entries and exits as they happen, with the state kept per company."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return rows.groupBy("lei").transformWithStateInPandas(
         statefulProcessor=Positions(), outputStructType=EVENTS, outputMode="Append", timeMode="None")
 
