@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountloom import spec
+from accountloom.functions import text
 from accountloom.functions.ordered import spread_small_scan
 
 YEARS = [1996, 1997, 1998, 1999, 2000]
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(values, index: Column) -> Column:
     """Constant list by zero-based index."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(text.constant_array(values), (index + 1).cast("int"))
 
 
 def sql_list(values) -> str:

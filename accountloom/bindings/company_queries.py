@@ -8,6 +8,7 @@ from accountloom import spec
 from accountloom.bindings.base import pick, sql_list, table
 from accountloom.functions import numbers, text
 from accountloom.operators import health, identity, parameters, policy, shares, store
+from accountloom.session import cut_lineage
 from accountloom.sources import quotes
 
 QUERIES, ORACLE = {}, {}
@@ -357,6 +358,7 @@ _COUNTRY_HEAD = ("Notes", "Country", "Rating", "Country Risk Premium", "Total Eq
 
 
 def _cells(spark, d):
+    """The sheet cells as a stored table: every sheet reads it several times."""
     region, nation = table(spark, d, "region"), table(spark, d, "nation")
     c, p = table(spark, d, "customer"), table(spark, d, "part")
     none, num = F.lit(None).cast("double"), lambda c: c.cast("double")
@@ -392,7 +394,7 @@ def _cells(spark, d):
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out
+    return cut_lineage(out)
 
 
 _COUNTRY_SQL = f"""per AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1),

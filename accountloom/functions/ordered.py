@@ -1,4 +1,4 @@
-"""Ordered picks and carry-forward that stay balanced when one key is very large."""
+"""Ordered picks by combined aggregation, and values carried along bounded streams."""
 
 from __future__ import annotations
 
@@ -23,33 +23,17 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], carry: list[str]
     return df.groupBy(*keys).agg(won).select(*keys, "_won.*")
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: list[str], segment: str,
-                  carried: dict[str, Column], include_current: bool = True) -> DataFrame:
+def known_so_far(df: DataFrame, keys: list[str], order: list[str], carried: dict[str, Column],
+                 include_current: bool = True) -> DataFrame:
     """Last non-null value of each ``carried`` expression up to every row of its key.
 
-    ``segment`` names a column that does not decrease along ``order`` (a day, a month).
-    Rows are windowed inside (key, segment); what enters a segment from earlier ones comes
-    from a window over one summary row per segment.  A key that holds a large share of all
-    rows is therefore spread over as many tasks as it has segments.  The window, the
-    summary and the join all use the same partitioning, so the rows are shuffled once, and
-    a second pass over the same segments is not shuffled again.
+    For streams with a bounded number of rows per key: callers first reduce them to one row
+    per key, day and kind, so a key never holds more rows than the calendar has days.
+    Calls with the same keys and order share one shuffle and one sort.
     """
-    tagged = df.select("*", *[c.alias(f"_in_{name}") for name, c in carried.items()])
-    inside = W.partitionBy(*keys, segment).orderBy(*order) \
+    before = W.partitionBy(*keys).orderBy(*order) \
         .rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
-    rows = tagged.select("*", *[F.last(f"_in_{n}", ignorenulls=True).over(inside).alias(f"_own_{n}")
-                                for n in carried])
-    position = F.struct(*order)
-    ends = tagged.groupBy(*keys, segment).agg(
-        *[F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), position)).alias(f"_end_{n}")
-          for n in carried])
-    before = W.partitionBy(*keys).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
-    entering = ends.select(*keys, segment,
-                           *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_from_{n}")
-                             for n in carried])
-    joined = rows.join(entering, [*keys, segment], "left")
-    return joined.select(*df.columns, *[F.coalesce(f"_own_{n}", f"_from_{n}").alias(n)
-                                        for n in carried])
+    return df.select("*", *[F.last(c, ignorenulls=True).over(before).alias(n) for n, c in carried.items()])
 
 
 def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountloom import spec
@@ -21,10 +21,31 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def sql_literal(v) -> str:
+    """A constant as SQL text."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{v!r}D" if isinstance(v, float) else repr(v)
+
+
+def constant_array(values) -> Column:
+    return F.expr(f"array({', '.join(map(sql_literal, values))})")
+
+
+def constant_rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small constant table that the planner sees as local rows of known size."""
+    body = ", ".join("(" + ", ".join(map(sql_literal, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
+
+
 def lookup(c: Column, table: dict[str, str]) -> Column:
     """Constant map lookup, null when the key is unknown."""
-    pairs = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), c)
+    pairs = ", ".join(sql_literal(x) for pair in table.items() for x in pair)
+    return F.try_element_at(F.expr(f"map({pairs})"), c)
 
 
 def contains_any(c: Column, parts: tuple[str, ...]) -> Column:

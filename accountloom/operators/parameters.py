@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from accountloom import spec
 from accountloom.functions import numbers, ordered, text
@@ -146,7 +145,7 @@ def parameter_completeness(block: DataFrame, values: list[str], label: str) -> D
 def drifted_constants(actual: DataFrame) -> DataFrame:
     """Model constants that are missing or changed, and forecast years that do not sum to ten."""
     spark = actual.sparkSession
-    expected = spark.createDataFrame(list(spec.CONVENTIONS.items()), "cell string, expected double")
+    expected = text.constant_rows(spark, list(spec.CONVENTIONS.items()), "cell, expected")
     joined = expected.join(actual, "cell", "left")
     off = F.col("value").isNull() | (F.abs(F.col("value") - F.col("expected")) > 1e-9)
     each = joined.where(off).select("cell", "expected", F.col("value").alias("found"))
@@ -330,13 +329,7 @@ def riskfree_from_series(series: DataFrame) -> DataFrame:
     return last.select((value / 100).alias("value"), F.col("last.TIME_PERIOD").alias("as_of"), status.alias("status"))
 
 
-LADDER_SCHEMA = T.StructType([
-    T.StructField("table", T.StringType()), T.StructField("row", T.IntegerType()),
-    T.StructField("coverage_from", T.DoubleType()), T.StructField("rating", T.StringType()),
-    T.StructField("rating_full", T.StringType()), T.StructField("spread", T.DoubleType())])
-
-
-def stored_ladder(spark) -> DataFrame:
+def stored_ladder(spark: SparkSession) -> DataFrame:
     """The thirty constant rungs as rows."""
     rows = [(name, i, *rung) for name, rungs in spec.LADDERS.items() for i, rung in enumerate(rungs)]
-    return spark.createDataFrame(rows, LADDER_SCHEMA)
+    return text.constant_rows(spark, rows, "table, row, coverage_from, rating, rating_full, spread")

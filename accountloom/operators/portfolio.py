@@ -27,36 +27,43 @@ def with_next_run(runs: DataFrame) -> DataFrame:
     return runs.join(calendar, "run_date")
 
 
+def one_per_day(rows: DataFrame, day: str, order: list[Column]) -> DataFrame:
+    """One row per company and day, the last one in ``order``.
+
+    This bounds every later window over a company by the calendar, however many rows a
+    single company brings; the reduction itself is combined before the shuffle.
+    """
+    carry = [c for c in rows.columns if c not in ("lei", day)]
+    return ordered.latest(rows, ["lei", day], order, carry)
+
+
 def timeline(runs: DataFrame, quotes: DataFrame) -> DataFrame:
     """Runs and quotes of a company in one ordered stream; on one day the run comes first.
 
     ``runs``: run_date, lei, ticker, value_per_share, price, verdict, research_flag, void,
     blocked, next_run.  ``quotes``: lei, as_of, price, seen_on.
     """
-    value_ok = F.col("value_per_share")
-    r = runs.select(
+    r0 = one_per_day(runs, "run_date", [F.col("ticker")])
+    q0 = one_per_day(quotes.select("lei", "as_of", "price", "seen_on"), "as_of", [F.col("seen_on")])
+    r = r0.select(
         "lei", F.col("run_date").alias("at"), F.lit(RUN_SIDE).alias("side"), "price",
         F.struct("run_date", "next_run", "ticker", "verdict", (F.col("void") | void_text(F.col("verdict"))).alias("void"),
                  "blocked", F.col("value_per_share").alias("value")).alias("run"),
-        F.when(~(F.col("void") | void_text(F.col("verdict"))), value_ok).alias("live_value"),
+        F.when(~(F.col("void") | void_text(F.col("verdict"))), F.col("value_per_share")).alias("live_value"),
         "research_flag", F.lit(None).cast("date").alias("seen_on"))
-    q = quotes.select("lei", F.col("as_of").alias("at"), F.lit(QUOTE_SIDE).alias("side"), "price", "seen_on")
+    q = q0.select("lei", F.col("as_of").alias("at"), F.lit(QUOTE_SIDE).alias("side"), "price", "seen_on")
     return r.unionByName(q, allowMissingColumns=True)
 
 
-def month(c: str) -> Column:
-    return F.trunc(c, "month")
-
-
 def position_events(runs: DataFrame, quotes: DataFrame) -> DataFrame:
     """Entries and exits of every company over its whole history.
 
     Each row signals enter, exit or nothing; the state before a row is the last signal
-    before it, so positions come from carry-forward windows instead of a replay.
+    before it, so positions come from windows over one shuffle instead of a replay.
     """
-    rows = timeline(with_next_run(runs), quotes).withColumn("seg", month("at"))
-    known = ordered.carry_forward(rows, ["lei"], ["at", "side"], "seg",
-                                  {"last_run": F.col("run"), "last_value": F.col("live_value")})
+    rows = timeline(with_next_run(runs), quotes)
+    known = ordered.known_so_far(rows, ["lei"], ["at", "side"],
+                                 {"last_run": F.col("run"), "last_value": F.col("live_value")})
     run, is_run = F.col("last_run"), F.col("side") == RUN_SIDE
     fresh = F.datediff("seen_on", "at") <= spec.QUOTE_MAX_AGE
     usable = (F.col("price") > 0) & fresh
@@ -69,8 +76,8 @@ def position_events(runs: DataFrame, quotes: DataFrame) -> DataFrame:
                      .when(~run["void"] & (run["verdict"] != spec.UNDERVALUED), 0))
               .otherwise(F.when(enter_quote, 1).when(exit_quote, 0)))
     marked = known.withColumn("signal", signal)
-    state = ordered.carry_forward(marked, ["lei"], ["at", "side"], "seg",
-                                  {"held_before": F.col("signal")}, include_current=False)
+    state = ordered.known_so_far(marked, ["lei"], ["at", "side"],
+                                 {"held_before": F.col("signal")}, include_current=False)
     held = F.coalesce("held_before", F.lit(0))
     edge = F.when((F.col("signal") == 1) & (held == 0), "entry") \
         .when((F.col("signal") == 0) & (held == 1), "exit")
@@ -83,20 +90,19 @@ def positions(runs: DataFrame, quotes: DataFrame) -> DataFrame:
     value = F.col("last_run.value")
     entry = F.struct(F.col("at").alias("date"), "price", value.alias("value"),
                      F.col("last_run.ticker").alias("ticker"))
-    trips = ordered.carry_forward(
-        events.withColumn("entry_row", F.when(F.col("event") == "entry", entry)),
-        ["lei"], ["at", "side"], "seg", {"entry": F.col("entry_row")})
+    trips = ordered.known_so_far(events, ["lei"], ["at", "side"],
+                                 {"entry": F.when(F.col("event") == "entry", entry)})
     closing = F.when(F.col("event") == "exit", F.struct(
         F.col("at").alias("date"), "price",
         F.when(F.col("side") == RUN_SIDE, F.col("last_run.verdict"))
         .otherwise(F.lit(spec.EXIT_AT_FAIR_VALUE)).alias("verdict"), "last_value"))
     per_trip = trips.withColumn("closing", closing).groupBy("lei", "entry").agg(
         F.first("closing", True).alias("closing"))
-    seen = ordered.latest(runs, ["lei"], [F.col("run_date")], ["run_date", "verdict"]) \
-        .withColumnRenamed("verdict", "run_verdict")
-    live = runs.where(~F.col("void") & ~void_text(F.col("verdict")) & F.col("value_per_share").isNotNull())
-    last_live = ordered.latest(live, ["lei"], [F.col("run_date")], ["value_per_share"])
-    joined = per_trip.join(seen, "lei", "left").join(last_live, "lei", "left")
+    live = ~F.col("void") & ~void_text(F.col("verdict")) & F.col("value_per_share").isNotNull()
+    seen = runs.groupBy("lei").agg(
+        F.max("run_date").alias("run_date"), F.max_by("verdict", "run_date").alias("run_verdict"),
+        F.max_by("value_per_share", F.when(live, F.col("run_date"))).alias("value_per_share"))
+    joined = per_trip.join(seen, "lei", "left")
     is_open = F.col("closing").isNull()
     after = is_open & (F.col("run_date") >= F.col("entry.date"))
     return joined.select(
@@ -224,15 +230,15 @@ def performance_series(book: DataFrame, prices: DataFrame, today: Column) -> Dat
     b = book.where((F.col("entry_price") != 0) & (F.col("entry_date") <= today)).select(
         "lei", "entry_date", "exit_date", "entry_price",
         F.coalesce(numbers.nonzero(F.col("exit_price")), F.col("entry_price")).alias("final_price"))
-    held_prices = prices.join(b.select("lei").distinct(), "lei", "left_semi")
+    held_prices = one_per_day(prices.select("lei", "as_of", "price"), "as_of", [F.col("price")]) \
+        .join(b.select("lei").distinct(), "lei", "left_semi")
     lasting = b.where(F.col("exit_date").isNull() | (F.col("exit_date") > F.col("entry_date")))
     trip = F.struct("entry_date", "entry_price", "exit_date")
     stream = held_prices.select("lei", F.col("as_of").alias("at"), F.lit(0).alias("kind"), "price") \
         .unionByName(lasting.select("lei", F.col("entry_date").alias("at"), F.lit(1).alias("kind"),
-                                    trip.alias("trip")), allowMissingColumns=True) \
-        .withColumn("seg", month("at"))
-    known = ordered.carry_forward(stream, ["lei"], ["at", "kind"], "seg",
-                                  {"now": F.col("trip"), "known": F.col("price")})
+                                    trip.alias("trip")), allowMissingColumns=True)
+    known = ordered.known_so_far(stream, ["lei"], ["at", "kind"],
+                                 {"now": F.col("trip"), "known": F.col("price")})
     inside = F.col("now.exit_date").isNull() | (F.col("at") < F.col("now.exit_date"))
     moving = known.where(F.col("now").isNotNull() & F.col("known").isNotNull() & inside).select(
         "lei", "now.entry_date", F.col("at").alias("date"),
@@ -257,14 +263,14 @@ def performance_series(book: DataFrame, prices: DataFrame, today: Column) -> Dat
 
 
 def as_of_price(asks: DataFrame, prices: DataFrame) -> DataFrame:
-    """Price known on or before each asked date; null where none is known yet.
+    """Price known on or before each asked (company, date), asked once per distinct pair.
 
-    One ordered stream per company instead of a range join.
+    One ordered stream per company instead of a range join; null where no price is known.
     """
-    both = prices.select("lei", F.col("as_of").alias("at"), F.lit(0).alias("side"), "price").unionByName(
-        asks.select("lei", "at", F.lit(1).alias("side")), allowMissingColumns=True) \
-        .withColumn("seg", month("at"))
-    filled = ordered.carry_forward(both, ["lei"], ["at", "side"], "seg", {"known_price": F.col("price")})
+    p = one_per_day(prices.select("lei", "as_of", "price"), "as_of", [F.col("price")])
+    both = p.select("lei", F.col("as_of").alias("at"), F.lit(0).alias("side"), "price").unionByName(
+        asks.select("lei", "at").distinct().withColumn("side", F.lit(1)), allowMissingColumns=True)
+    filled = ordered.known_so_far(both, ["lei"], ["at", "side"], {"known_price": F.col("price")})
     return filled.where(F.col("side") == 1).select("lei", "at", "known_price")
 
 

@@ -85,17 +85,16 @@ def test_specification_shape():
     assert all(len(rungs) == 15 and list(rungs) == sorted(rungs) for rungs in spec.LADDERS.values())
 
 
-def test_carry_forward_matches_a_replay(spark):
-    """One key holds most rows and spans many segments."""
+def test_known_so_far_matches_a_replay(spark):
     import random
     rng = random.Random(1)
-    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", i, i // 7,
-             float(i) if rng.random() < 0.2 else None) for i in range(600)]
-    df = spark.createDataFrame(rows, "k string, t int, seg int, v double").repartition(6)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", i, float(i) if rng.random() < 0.2 else None)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").repartition(6)
     for current in (True, False):
-        out = ordered.carry_forward(df, ["k"], ["t"], "seg", {"known": F.col("v")}, include_current=current)
+        out = ordered.known_so_far(df, ["k"], ["t"], {"known": F.col("v")}, include_current=current)
         last, want = {}, {}
-        for k, t, _, v in rows:
+        for k, t, v in rows:
             before = last.get(k)
             last[k] = v if v is not None else before
             want[k, t] = last[k] if current else before
