@@ -388,3 +388,47 @@ def vocabulary_problems(spark, d):
     headers = docs.select(F.col("doc_id").alias("lei"), F.lit(2000).alias("fiscal_year"), F.lit("esef").alias("source"),
                           F.when(F.col("lang") == "en", "complete").otherwise(F.col("lang")).alias("status"))
     return store.vocabulary_problems(headers, facts).select(F.col("lei").alias("doc_id"), "problem")
+
+
+@query(f"""WITH {EXTRACT_SQL} SELECT h.lei, h.fiscal_year, h.status, f.field, round(f.value, 2) AS value FROM headers h
+LEFT JOIN fact f ON (h.lei, h.fiscal_year) = (f.lei, f.fiscal_year) WHERE h.fiscal_year = 1998""")
+def company_year_lookup(spark, d):
+    headers, facts = _store(spark, d)
+    wanted = headers.where("fiscal_year = 1998").select(*KEYS)
+    return store.company_year_lookup(headers.select(*KEYS, "status"), facts, wanted).select(
+        *KEYS, "status", "field", F.round("value", 2).alias("value"))
+
+
+@query(f"""WITH {EXTRACT_SQL}, u AS (SELECT DISTINCT lei FROM headers), sp AS (SELECT lei, y::INT AS y FROM u, (SELECT unnest({YEARS}) AS y))
+SELECT sp.lei, sp.y AS fiscal_year, CASE WHEN h.status IN ('complete', 'partial') AND sp.y < 2000 THEN 'cached'
+WHEN sp.y % 2 = 0 AND h.lei IS NOT NULL THEN 'todo' ELSE 'no_filing' END AS state FROM sp LEFT JOIN headers h ON (sp.lei, sp.y) = (h.lei, h.fiscal_year)""")
+def extraction_plan(spark, d):
+    headers, _ = _store(spark, d)
+    stored = headers.where("fiscal_year < 2000")
+    lookup = headers.where("fiscal_year % 2 = 0").select("lei", F.col("fiscal_year").alias("year"), F.lit("u").alias("json_url"))
+    return screening.extraction_plan(headers.select("lei").distinct(), stored, lookup, YEARS).drop("json_url")
+
+
+@query()
+def screening_run(spark, d):
+    """Extraction to research flag in one flow, over every filing of every company."""
+    headers, facts = _store(spark, d)
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier").withColumn("lei", F.concat(F.lit("S"), k))
+    day = F.lit("2001-08-01").cast("date")
+    listings = s.select("lei", F.concat(F.lit("I"), k).alias("isin"), F.concat(F.lit("T"), k).alias("ticker"),
+                        F.lit("IM").alias("exchange"), F.lit(True).alias("is_primary"))
+    prices = s.select("lei", F.date_sub(day, (k % 12).cast("int")).alias("as_of"), (F.col("s_acctbal") / 1e6).alias("price"))
+    counts = s.select("lei", day.alias("as_of"), F.lit(50000.0).alias("shares"))
+    mapping = s.select("lei", pick(("Retail", "Machinery", "Unknown"), k % 3).alias("industry"))
+    p = table(spark, d, "part").agg(F.avg("p_size").alias("size"))
+    industries = p.select(F.explode(F.array(F.lit("Retail"), F.lit("Machinery"))).alias("name"), F.lit(0.9).alias("unlevered_beta"),
+                          (F.col("size") / 20).alias("sales_to_capital"), F.lit(0.1).alias("ebit_margin"), F.lit(0.12).alias("roic"))
+    countries = headers.select("country").distinct().select("country", F.lit(0.01).alias("crp"), F.lit(0.25).alias("tax_rate"))
+    excluded = s.where(k % 10 == 0).select("lei", F.lit("by hand").alias("reason"))
+    market = {"risk_free_rate": F.lit(0.025), "mature_market_erp": F.lit(0.045), "long_run_nominal_growth": F.lit(0.025)}
+    valued, skipped = screening.screen_run(headers, facts, listings, prices, counts, mapping, industries, countries, excluded,
+                                           market, YEARS, day)
+    flags = valued.select("lei", "verdict", "research_flag", F.array_join("blocking_checks", " ").alias("note"))
+    return flags.unionByName(skipped.select("lei", F.lit("skipped").alias("verdict"), F.lit(False).alias("research_flag"),
+                                            F.col("reason").alias("note")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from accountloom import spec
 from accountloom.bindings.base import pick, table
 from accountloom.functions import dates, numbers, text
+from accountloom.sources.records import fingerprint
 
 QUERIES, ORACLE = {}, {}
 
@@ -104,4 +105,17 @@ def listing_marks(spark, d):
 
 @query("SELECT page_id, substr(sha256(html), 1, 16) AS fingerprint FROM pages")
 def parameter_fingerprints(spark, d):
-    return table(spark, d, "pages").select("page_id", F.substring(F.sha2("html", 256), 1, 16).alias("fingerprint"))
+    return table(spark, d, "pages").select("page_id", fingerprint(F.col("html")).alias("fingerprint"))
+
+
+@query("SELECT c_nationkey, c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+def largest_companies(spark, d):
+    """A top list: filter first, then order and cut."""
+    c = table(spark, d, "customer").where(F.col("c_custkey") % 2 == 0)
+    return c.orderBy(F.desc("c_acctbal"), "c_custkey").limit(25).select("c_nationkey", "c_custkey", "c_name")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'SK' WHEN 1 THEN 'NL' WHEN 2 THEN 'DE' WHEN 3 THEN NULL ELSE 'GR' END AS iso FROM nation""")
+def country_codes(spark, d):
+    names = pick((" Slovak Republic ", "Netherlands (the)", "GERMANY", "Mars", "greece"), F.col("n_nationkey") % 5)
+    return table(spark, d, "nation").select("n_nationkey", text.country_code(names).alias("iso"))

@@ -543,6 +543,21 @@ def backfill_start(spark, d):
     return portfolio.backfill_start(_book(spark, d), store.latest_price(prices(spark, d)))
 
 
+@query(f"""WITH {_BOOK_SQL}, x AS (SELECT min(greatest(entry_date, coalesce(n.as_of, entry_date))) AS since FROM book LEFT JOIN newest n USING (lei) WHERE status = 'open')
+SELECT lei, since FROM book, x WHERE status = 'open'""")
+def refresh_plan(spark, d):
+    book, p = ordered_frames(spark, d)
+    e = table(spark, d, "events")
+    state = e.agg(F.to_date(F.max("ts")).cast("string").alias("value")).select(F.lit("prices_refreshed").alias("key"), "value")
+    return portfolio.refresh_plan(book, store.latest_price(p), state, F.lit("2024-01-31").cast("date"))
+
+
+@query(f"""WITH {_BOOK_SQL} SELECT lei, entry_date, exit_date, round((coalesce(exit_price, entry_price) / entry_price - 1), 6) AS return_pct
+FROM book WHERE status = 'closed'""")
+def sold_positions(spark, d):
+    return portfolio.book_order(_marked(spark, d), "sold").select("lei", "entry_date", "exit_date", F.round("return_pct", 6).alias("return_pct"))
+
+
 @query(f"""WITH {_BOOK_SQL}, rec AS (SELECT lei, run_date, t, vps, price, verdict, right(lei, 1) IN ('1', '2', '3') AS old FROM run)
 SELECT lei, run_date, CASE WHEN NOT old THEN verdict WHEN vps IS NULL THEN 'VOID - failed validation' WHEN (vps - price) / price > 0.25 THEN 'UNDERVALUED - investigate'
 WHEN (vps - price) / price < -0.25 THEN 'OVERVALUED - screen out' ELSE 'FAIRLY VALUED - no action' END AS verdict, t = 'purchase' AS research_flag FROM rec""")

@@ -299,6 +299,20 @@ def backfill_start(book: DataFrame, newest: DataFrame) -> DataFrame:
     return o.agg(F.min(F.greatest("entry_date", F.coalesce("as_of", "entry_date"))).alias("since"))
 
 
+def refresh_plan(book: DataFrame, newest: DataFrame, state: DataFrame, today: Column) -> DataFrame:
+    """Held companies to refresh and the day to backfill from; empty once done for today.
+
+    ``state`` is the key-value run state; its refresh date is checked by an anti join, so
+    the decision is part of the plan.
+    """
+    done = state.where((F.col("key") == "prices_refreshed") & (F.col("value") == today.cast("string"))) \
+        .select(F.lit(1).alias("_one"))
+    start = backfill_start(book, newest).withColumn("_one", F.lit(1))
+    due = start.where(F.col("since").isNotNull()).join(done, "_one", "left_anti")
+    held = book.where(F.col("status") == "open").select("lei", F.lit(1).alias("_one"))
+    return held.join(due, "_one").select("lei", "since")
+
+
 def book_order(marked: DataFrame, view: str) -> DataFrame:
     """Orders of the published lists: all, held, sold, and the stored reads."""
     open_ = F.col("status") == "open"

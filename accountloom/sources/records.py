@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,3 +75,16 @@ def read_triggers(spark: SparkSession, path: str) -> DataFrame:
                       F.coalesce("research_queue", F.array().cast("array<string>")).alias("queue"),
                       F.explode("triggers").alias("key", "t"))
     return rows.select("run_date", "key", F.array_contains("queue", F.col("key")).alias("queued"), "t.*")
+
+
+def fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """First sixteen hex digits of the SHA-256 of each parameter file; null when it is missing."""
+    wanted = spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1],) for p in paths], "name string")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*").option("ignoreMissingFiles", "true") \
+        .load(sorted({p.rsplit("/", 1)[0] for p in paths})).select(
+            F.element_at(F.split("path", "/"), -1).alias("name"), fingerprint(F.col("content")).alias("fingerprint"))
+    return wanted.join(found, "name", "left")
+
+
+def fingerprint(content: Column) -> Column:
+    return F.substring(F.sha2(content, 256), 1, 16)
