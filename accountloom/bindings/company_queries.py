@@ -87,9 +87,9 @@ def _resolved(spark, d):
     k = F.col("c_custkey")
     entities = c.select(F.concat(F.lit("C"), k).alias("lei"), F.col("c_name").alias("name"),
                         pick(spec.EURO_AREA, F.col("c_nationkey") % 20).alias("country"))
-    overrides = c.where(k % 50 < 3).select(
-        F.concat(F.lit("C"), k).alias("lei"), F.when(k % 50 > 0, "OVR").alias("ticker"),
-        F.when(k % 50 > 0, "FP").alias("exchange"), (k % 50 == 0).alias("exclude"),
+    overrides = c.select(
+        F.concat(F.lit("C"), k).alias("lei"), F.when((k % 50).isin(1, 2), "OVR").alias("ticker"),
+        F.when((k % 50).isin(1, 2), "FP").alias("exchange"), (k % 50 == 0).alias("exclude"),
         F.when(k % 50 == 1, "2024-01-01").alias("reviewed"))
     isin_lines = ins.where(~F.col("by_name"))
     isins = isin_lines.groupBy("lei").agg(F.count(F.lit(1)).alias("n_isins"))
@@ -136,11 +136,12 @@ def listing_outcome_counts(spark, d):
     return identity.outcome_counts(_resolved(spark, d)[1])
 
 
-@query(f"""WITH {_RESOLVE_SQL} SELECT 'C' || c_custkey AS lei, 'OVR' AS ticker, false AS is_new FROM customer WHERE c_custkey % 50 = 2
-UNION ALL SELECT lei, ticker, true FROM outcomes WHERE outcome = 'cross_listing_risk' AND NOT pending""")
+@query(f"""WITH {_RESOLVE_SQL} SELECT 'C' || c_custkey AS lei, 'OVR' AS ticker, false AS is_new FROM customer WHERE c_mktsegment = 'MACHINERY'
+UNION ALL SELECT lei, ticker, true FROM outcomes WHERE outcome IN ('cross_listing_risk', 'domicile') AND (outcome <> 'domicile' OR pending)
+AND lei NOT IN (SELECT 'C' || c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""")
 def review_stub(spark, d):
     k = F.col("c_custkey")
-    existing = table(spark, d, "customer").where(k % 50 == 2).select(
+    existing = table(spark, d, "customer").where(F.col("c_mktsegment") == "MACHINERY").select(
         F.concat(F.lit("C"), k).alias("lei"), F.lit("OVR").alias("ticker"), F.lit("FP").alias("exchange"),
         F.lit(False).alias("exclude"), F.lit("kept").alias("note"), F.lit(None).cast("string").alias("reviewed"))
     stub = identity.review_stub(existing, identity.needs_review(_resolved(spark, d)[1]))
@@ -442,17 +443,16 @@ def industry_parameters(spark, d):
 
 
 @query(f"""WITH {_INDUSTRY_SQL}, old AS (SELECT p_type AS name, 1.0::DOUBLE AS unlevered_beta, 0.5::DOUBLE AS roic FROM part GROUP BY 1
-UNION ALL SELECT name, 7.0, 8.0 FROM ind WHERE b < 9)
+UNION ALL SELECT name, 7.0, 8.0 FROM ind)
 SELECT coalesce(o.name, n.name) AS name, coalesce(n.unlevered_beta, o.unlevered_beta) AS unlevered_beta, coalesce(n.roic, o.roic) AS roic,
 CASE WHEN coalesce(n.unlevered_beta, n.roic) IS NOT NULL THEN 'sheet' ELSE o.src END AS source
 FROM (SELECT *, 'stored' AS src FROM old) o FULL JOIN industries n ON o.name = n.name""")
 def merged_industry_parameters(spark, d):
     p = table(spark, d, "part")
-    brand = F.regexp_extract("p_brand", r"([0-9]+)", 1).cast("int")
     row = lambda df, beta, roic: df.select("name", F.lit(beta).alias("unlevered_beta"), F.lit(roic).alias("roic"),
                                            F.lit("stored").alias("source"), F.lit("2020-01-01").cast("date").alias("as_of"))
     old = row(p.select(F.col("p_type").alias("name")).distinct(), 1.0, 0.5).unionByName(
-        row(p.where(brand < 9).select(F.col("p_brand").alias("name")).distinct(), 7.0, 8.0))
+        row(p.select(F.col("p_brand").alias("name")).distinct(), 7.0, 8.0))
     return parameters.merge_parameters(old, _industries(spark, d), "name", ["unlevered_beta", "roic"], "sheet", _today()).drop("as_of")
 
 
@@ -577,14 +577,14 @@ def _classified(spark, d):
     c = table(spark, d, "customer")
     companies = c.select(lei.alias("lei"), F.when(k % 13 > 0, F.concat(F.lit("T"), (k % 700).cast("string"))).alias("ticker"),
                          F.col("c_name").alias("name"), (F.col("c_acctbal") * 1e6).alias("revenue"))
-    mapping = c.where(k % 4 == 0).select(lei.alias("lei"), pick(("Bank (Money Center)", "Machinery", "R.E.I.T. REIT", "", "Retail"), k % 5).alias("industry"))
-    excluded = c.where(k % 9 == 0).select(lei.alias("lei"), F.lit("by hand").alias("reason"))
+    mapping = c.where(F.col("c_mktsegment") == "HOUSEHOLD").select(lei.alias("lei"), pick(("Bank (Money Center)", "Machinery", "R.E.I.T. REIT", "", "Retail"), k % 5).alias("industry"))
+    excluded = c.where(F.col("c_acctbal") > 9000).select(lei.alias("lei"), F.lit("by hand").alias("reason"))
     return companies, mapping, excluded
 
 
 _CLASS_SQL = """co AS (SELECT 'C' || c_custkey AS lei, c_custkey AS k, CASE WHEN c_custkey % 13 > 0 THEN 'T' || (c_custkey % 700) END AS ticker,
-  c_name AS name, c_acctbal * 1e6 / 1e6 AS revenue_m, CASE WHEN c_custkey % 4 = 0 THEN ['Bank (Money Center)', 'Machinery', 'R.E.I.T. REIT', '', 'Retail'][(c_custkey % 5 + 1)::INT] END AS industry FROM customer),
-un AS (SELECT * FROM co WHERE ticker IS NOT NULL AND coalesce(industry, '') = '' AND k % 9 > 0)"""
+  c_name AS name, c_acctbal > 9000 AS out, c_acctbal * 1e6 / 1e6 AS revenue_m, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN ['Bank (Money Center)', 'Machinery', 'R.E.I.T. REIT', '', 'Retail'][(c_custkey % 5 + 1)::INT] END AS industry FROM customer),
+un AS (SELECT * FROM co WHERE ticker IS NOT NULL AND coalesce(industry, '') = '' AND NOT out)"""
 
 
 @query(f"WITH {_CLASS_SQL} SELECT lei, ticker, round(revenue_m, 4) AS revenue_m FROM un")
@@ -634,19 +634,19 @@ def reply_counts(spark, d):
         parameters.parse_replies(_replies(spark, d)), parameters.unmapped(*_classified(spark, d)), _industries(spark, d)))
 
 
-@query(f"""WITH {_CLASS_SQL} SELECT 'mapping' AS t, lei FROM co WHERE industry IS NOT NULL AND k % 6 > 0
-UNION ALL SELECT 'excluded', lei FROM co WHERE k % 9 = 0 OR (k % 6 = 0 AND industry IS NOT NULL)""")
+@query(f"""WITH {_CLASS_SQL} SELECT 'mapping' AS t, lei FROM co WHERE industry <> 'Machinery'
+UNION ALL SELECT 'excluded', lei FROM co WHERE out OR industry = 'Machinery'""")
 def excluded_companies(spark, d):
     companies, mapping, excluded = _classified(spark, d)
-    out = mapping.where(F.substring("lei", 2, 20).cast("bigint") % 6 == 0).select("lei")
+    out = mapping.where(F.col("industry") == "Machinery").select("lei")
     m, x = parameters.exclude_companies(mapping, excluded, out, "Excluded business type")
     return m.select(F.lit("mapping").alias("t"), "lei").unionByName(x.select(F.lit("excluded").alias("t"), "lei"))
 
 
-@query(f"WITH {_CLASS_SQL} SELECT lei FROM co WHERE k % 9 = 0 AND k % 2 = 1")
+@query(f"WITH {_CLASS_SQL} SELECT lei FROM co WHERE out AND revenue_m <= 9500")
 def included_companies(spark, d):
     companies, _, excluded = _classified(spark, d)
-    back = companies.where(F.substring("lei", 2, 20).cast("bigint") % 2 == 0).select("lei")
+    back = companies.where(F.col("revenue") > 9.5e9).select("lei")
     return parameters.include_companies(excluded, back).select("lei")
 
 
@@ -670,7 +670,7 @@ def _readiness(spark, d):
     return policy.readiness(rows), excluded
 
 
-_READY_SQL = f"""{_CLASS_SQL}, {_INDUSTRY_SQL}, r0 AS (SELECT co.lei, co.k, co.ticker, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN 'Brand#' || (k % 40) ELSE 'Brand#2' END AS ind FROM co),
+_READY_SQL = f"""{_CLASS_SQL}, {_INDUSTRY_SQL}, r0 AS (SELECT co.lei, co.k, co.ticker, co.out, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN 'Brand#' || (k % 40) ELSE 'Brand#2' END AS ind FROM co),
 r AS (SELECT r0.*, i.name IS NOT NULL AS known FROM r0 LEFT JOIN industries i ON i.name = r0.ind),
 gaps AS (SELECT lei, 'listing' AS gap FROM r WHERE ticker IS NULL UNION ALL SELECT lei, 'price' FROM r WHERE k % 6 = 0 UNION ALL SELECT lei, 'shares' FROM r WHERE k % 8 = 0
  UNION ALL SELECT lei, 'industry' FROM r WHERE ind IS NULL UNION ALL SELECT lei, 'industry ''' || ind || ''' not in the parameter store' FROM r WHERE ind IS NOT NULL AND NOT known
@@ -692,7 +692,7 @@ def readiness_gap_texts(spark, d):
     return policy.gap_text_counts(_readiness(spark, d)[0])
 
 
-@query(f"WITH {_READY_SQL} SELECT lei FROM r WHERE k % 9 > 0 AND NOT EXISTS (SELECT 1 FROM gaps g WHERE g.lei = r.lei)")
+@query(f"WITH {_READY_SQL} SELECT lei FROM r WHERE NOT out AND NOT EXISTS (SELECT 1 FROM gaps g WHERE g.lei = r.lei)")
 def eligible_companies(spark, d):
     checked, excluded = _readiness(spark, d)
     return policy.eligible(checked, excluded).select("lei")

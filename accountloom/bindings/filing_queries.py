@@ -391,21 +391,21 @@ def vocabulary_problems(spark, d):
 
 
 @query(f"""WITH {EXTRACT_SQL} SELECT h.lei, h.fiscal_year, h.status, f.field, round(f.value, 2) AS value FROM headers h
-LEFT JOIN fact f ON (h.lei, h.fiscal_year) = (f.lei, f.fiscal_year) WHERE h.fiscal_year = 1998""")
+LEFT JOIN fact f ON (h.lei, h.fiscal_year) = (f.lei, f.fiscal_year) WHERE h.status = 'complete'""")
 def company_year_lookup(spark, d):
     headers, facts = _store(spark, d)
-    wanted = headers.where("fiscal_year = 1998").select(*KEYS)
+    wanted = headers.where("status = 'complete'").select(*KEYS)
     return store.company_year_lookup(headers.select(*KEYS, "status"), facts, wanted).select(
         *KEYS, "status", "field", F.round("value", 2).alias("value"))
 
 
 @query(f"""WITH {EXTRACT_SQL}, u AS (SELECT DISTINCT lei FROM headers), sp AS (SELECT lei, y::INT AS y FROM u, (SELECT unnest({YEARS}) AS y))
 SELECT sp.lei, sp.y AS fiscal_year, CASE WHEN h.status IN ('complete', 'partial') AND sp.y < 2000 THEN 'cached'
-WHEN sp.y % 2 = 0 AND h.lei IS NOT NULL THEN 'todo' ELSE 'no_filing' END AS state FROM sp LEFT JOIN headers h ON (sp.lei, sp.y) = (h.lei, h.fiscal_year)""")
+WHEN h.status = 'complete' THEN 'todo' ELSE 'no_filing' END AS state FROM sp LEFT JOIN headers h ON (sp.lei, sp.y) = (h.lei, h.fiscal_year)""")
 def extraction_plan(spark, d):
     headers, _ = _store(spark, d)
     stored = headers.where("fiscal_year < 2000")
-    lookup = headers.where("fiscal_year % 2 = 0").select("lei", F.col("fiscal_year").alias("year"), F.lit("u").alias("json_url"))
+    lookup = headers.where("status = 'complete'").select("lei", F.col("fiscal_year").alias("year"), F.lit("u").alias("json_url"))
     return screening.extraction_plan(headers.select("lei").distinct(), stored, lookup, YEARS).drop("json_url")
 
 
@@ -425,7 +425,7 @@ def screening_run(spark, d):
     industries = p.select(F.explode(F.array(F.lit("Retail"), F.lit("Machinery"))).alias("name"), F.lit(0.9).alias("unlevered_beta"),
                           (F.col("size") / 20).alias("sales_to_capital"), F.lit(0.1).alias("ebit_margin"), F.lit(0.12).alias("roic"))
     countries = headers.select("country").distinct().select("country", F.lit(0.01).alias("crp"), F.lit(0.25).alias("tax_rate"))
-    excluded = s.where(k % 10 == 0).select("lei", F.lit("by hand").alias("reason"))
+    excluded = s.where(F.col("s_acctbal") < 500).select("lei", F.lit("by hand").alias("reason"))
     market = {"risk_free_rate": F.lit(0.025), "mature_market_erp": F.lit(0.045), "long_run_nominal_growth": F.lit(0.025)}
     valued, skipped = screening.screen_run(headers, facts, listings, prices, counts, mapping, industries, countries, excluded,
                                            market, YEARS, day)

@@ -354,7 +354,7 @@ def price_echo_problems(spark, d):
 # -- portfolio: users are companies, some event days carry a run --------------------------
 
 def _runs(spark, d):
-    e = table(spark, d, "events").where(F.dayofmonth("ts") % 7 == 1)
+    e = table(spark, d, "events").where(F.weekday("ts") == 0)
     rows = e.select(F.concat(F.lit("U"), "user_id").alias("lei"), F.to_date("ts").alias("run_date"), "event_id", "event_type", "value")
     one = ordered.earliest(rows, ["lei", "run_date"], [F.col("event_id")], ["event_type", "value", "event_id"])
     t = F.col("event_type")
@@ -376,7 +376,7 @@ run AS (SELECT 'U' || user_id AS lei, ts::DATE AS run_date, event_type AS t, val
   value * CASE WHEN event_type IN ('purchase', 'view') THEN 2.0 WHEN event_type = 'error' THEN 0.5 WHEN event_type = 'click' THEN 1.1 END AS vps,
   CASE WHEN event_type IN ('purchase', 'view') THEN 'UNDERVALUED - investigate' WHEN event_type = 'error' THEN 'OVERVALUED - screen out'
     WHEN event_type = 'click' THEN 'FAIRLY VALUED - no action' ELSE 'VOID - failed validation' END AS verdict
-  FROM events WHERE day(ts) % 7 = 1 QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) = 1),
+  FROM events WHERE isodow(ts) = 1 QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) = 1),
 cal AS (SELECT run_date, lead(run_date) OVER (ORDER BY run_date) AS next_run FROM (SELECT DISTINCT run_date FROM run)),
 tl AS (SELECT lei, run_date AS d_at, 0 AS side, price, vps, verdict, t, run_date, next_run, NULL::DATE AS seen FROM run JOIN cal USING (run_date)
   UNION ALL SELECT lei, as_of, 1, price, NULL, NULL, NULL, NULL, NULL, CASE WHEN day(as_of) = 20 THEN as_of + 9 ELSE as_of END FROM price),

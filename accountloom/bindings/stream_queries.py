@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from accountloom import spec
 from accountloom.bindings.base import table
 from accountloom.bindings.company_queries import _QUOTE_SQL, TODAY
-from accountloom.operators import portfolio
+from accountloom.bindings.run_queries import _run_quotes, _runs
 from accountloom.session import shared_folder
+from accountloom.sources import quotes
 from accountloom.streaming import daily
 
 QUERIES, ORACLE = {}, {}
@@ -50,17 +51,16 @@ def streamed_prices(spark, d):
     return daily.stored_prices(spark, f"{folder}/prices")
 
 
-@query(f"""WITH {_QUOTE_SQL}, t AS (SELECT 'U' || user_id AS lei, max(value) / 3 AS trigger_price, max(value) / 2.5 AS watch_price FROM events WHERE user_id % 3 > 0 GROUP BY user_id)
+@query(f"""WITH {_QUOTE_SQL}, t AS (SELECT 'U' || user_id AS lei, max(value) / 3 AS trigger_price, max(value) / 2.5 AS watch_price FROM events GROUP BY user_id)
 SELECT g.lei, as_of, CASE WHEN price <= trigger_price THEN 'crossed' ELSE 'approaching' END AS status, count(*) AS n
 FROM g JOIN t ON g.lei = t.lei WHERE outcome = 'ok' AND price <= watch_price GROUP BY ALL""")
 def streamed_price_watch(spark, d):
     folder = _folder(spark)
-    e = table(spark, d, "events").where(F.col("user_id") % 3 > 0)
+    e = table(spark, d, "events")
     triggers = e.groupBy("user_id").agg(F.max("value").alias("top")).select(
         F.concat(F.lit("U"), "user_id").alias("lei"), F.lit("T").alias("ticker"), F.lit(spec.FAIRLY_VALUED).alias("verdict"),
         F.lit(1.0).alias("price"), (F.col("top") / 3).alias("trigger_price"), (F.col("top") / 2.5).alias("watch_price"))
-    from accountloom.sources import quotes as q
-    gated = q.gate_quotes(_quotes(_event_stream(spark, d)), F.lit(TODAY).cast("date")).where("outcome = 'ok'")
+    gated = quotes.gate_quotes(_quotes(_event_stream(spark, d)), F.lit(TODAY).cast("date")).where("outcome = 'ok'")
     hits = daily.watch_stream(gated, triggers)
     daily.run_available(hits, f"{folder}/hits", f"{folder}/checkpoint").awaitTermination()
     out = spark.read.schema(hits.schema).parquet(f"{folder}/hits")
@@ -78,8 +78,6 @@ def streamed_fresh_days(spark, d):
 @query()
 def streamed_positions(spark, d):
     """Same entries and exits as ``position_events``, kept by the stateful stream."""
-    from accountloom.bindings.run_queries import _run_quotes, _runs
-
     folder = _folder(spark)
     runs = _runs(spark, d)
     run_dates = [r.run_date for r in runs.select("run_date").distinct().collect()]

@@ -310,7 +310,7 @@ def refresh_plan(book: DataFrame, newest: DataFrame, state: DataFrame, today: Co
     start = backfill_start(book, newest).withColumn("_one", F.lit(1))
     due = start.where(F.col("since").isNotNull()).join(done, "_one", "left_anti")
     held = book.where(F.col("status") == "open").select("lei", F.lit(1).alias("_one"))
-    return held.join(due, "_one").select("lei", "since")
+    return held.join(F.broadcast(due), "_one").select("lei", "since")   # one row by construction
 
 
 def book_order(marked: DataFrame, view: str) -> DataFrame:

@@ -182,3 +182,31 @@ def test_alerts_are_sorted(spark):
     h = health.stage_health(stages(spark, prices=date(2026, 2, 20), extract=False, tables=date(2024, 12, 1)), F.lit(date(2026, 3, 4)))
     rows = health.alerts(h, health.calendar_reminders(h, date(2026, 3, 4), F.lit(date(2026, 1, 1)))).collect()
     assert [r.health for r in rows][:2] == ["blocking", "missing"] and rows[1].message == "has never been run"
+
+
+def test_fingerprints(spark, tmp_path):
+    import hashlib
+    (tmp_path / "a.json").write_bytes(b"{}")
+    out = {r.name: r.fingerprint for r in records.fingerprints(spark, [str(tmp_path / "a.json"), str(tmp_path / "gone.json")]).collect()}
+    assert out == {"a.json": hashlib.sha256(b"{}").hexdigest()[:16], "gone.json": None}
+
+
+def test_refresh_runs_once_a_day(spark):
+    from accountloom.operators import portfolio
+    book = spark.createDataFrame([("A", "open", date(2024, 1, 5)), ("B", "open", date(2024, 1, 9)), ("C", "closed", date(2023, 1, 1))],
+                                 "lei string, status string, entry_date date")
+    newest = spark.createDataFrame([("A", date(2024, 1, 8))], "lei string, as_of date")
+    state = lambda day: spark.createDataFrame([("prices_refreshed", day)], "key string, value string")
+    today = F.lit(date(2024, 1, 10))
+    assert {(r.lei, r.since) for r in portfolio.refresh_plan(book, newest, state("2024-01-09"), today).collect()} == {
+        ("A", date(2024, 1, 8)), ("B", date(2024, 1, 8))}
+    assert portfolio.refresh_plan(book, newest, state("2024-01-10"), today).count() == 0
+
+
+def test_cells_and_listing_buckets(spark, tmp_path):
+    cells = spark.createDataFrame([("f", "s", 0, 0, "x", None)], records.CELLS)
+    cells.write.parquet(str(tmp_path / "cells"))
+    assert records.read_cells(spark, str(tmp_path / "cells")).first().text == "x"
+    listings = spark.createDataFrame([("A", "I"), ("B", "J")], "lei string, isin string")
+    sinks.write_listings(listings, str(tmp_path / "l"), 4)
+    assert sinks.read_table(spark, str(tmp_path / "l")).select("lei", "isin").exceptAll(listings).count() == 0
