@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,17 +22,17 @@ def local_session(app: str = "accountloom", cpus: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir`` for data all executors share.
+    """The folder for data that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    A folder of our own is made only when none is configured and the session runs on one
-    machine, as in tests.
+    Where that is unset, a folder in the warehouse, which all executors share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="run-")
-    return named
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that a job writes and reads again."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
