@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountloom.llm import decontaminate, mixing, quality_rules, token_counts, token_orc, warc
+from accountloom.llm import (
+    decontaminate, mixing, phrase_dedup, quality_rules, suffix_dedup, token_counts, token_orc, warc)
 from accountloom.llm.common import read
 from accountloom.session import work_path
 
@@ -26,6 +27,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -48,7 +53,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_decontaminate, op6_quality_rules, op7_token_orc,
-                                   op8_warc)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_mixing, op3_decontaminate, op4_phrase_dedup, op6_quality_rules, op7_token_orc, op8_warc,
+    op10_suffix_dedup)}
 
 ORACLE: dict[str, str] = {}
