@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountloom.llm import (
-    decontaminate, mixing, phrase_dedup, quality_rules, suffix_dedup, token_counts, token_orc, warc)
+    decontaminate, jaccard_join, mixing, phrase_dedup, quality_rules, suffix_dedup, token_counts, token_orc, warc)
 from accountloom.llm.common import read
 from accountloom.session import work_path
 
@@ -31,6 +31,10 @@ def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_classes(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -59,7 +63,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_mixing, op3_decontaminate, op4_phrase_dedup, op6_quality_rules, op7_token_orc, op8_warc,
+    op1_token_counts, op2_mixing, op3_decontaminate, op4_phrase_dedup, op5_jaccard_join, op6_quality_rules, op7_token_orc, op8_warc,
     op10_suffix_dedup)}
 
 ORACLE: dict[str, str] = {}
