@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountloom.llm import (
-    decontaminate, jaccard_join, mixing, phrase_dedup, quality_rules, suffix_dedup, token_counts, token_orc, warc)
+    decontaminate, jaccard_join, mixing, phrase_dedup, quality_rules, suffix_dedup, token_counts, token_orc, toxicity, warc)
 from accountloom.llm.common import read
 from accountloom.session import work_path
 
@@ -57,13 +57,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_mixing, op3_decontaminate, op4_phrase_dedup, op5_jaccard_join, op6_quality_rules, op7_token_orc, op8_warc,
-    op10_suffix_dedup)}
+    op1_token_counts, op2_mixing, op3_decontaminate, op4_phrase_dedup, op5_jaccard_join, op6_quality_rules,
+    op7_token_orc, op8_warc, op9_toxicity, op10_suffix_dedup)}
 
 ORACLE: dict[str, str] = {}
