@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from accountloom.llm import (
     decontaminate, jaccard_join, mixing, phrase_dedup, quality_rules, suffix_dedup, token_counts, token_orc, toxicity, warc)
 from accountloom.llm.common import read
+from accountloom.llm.oracles import ORACLE  # noqa: F401 - read by the entry module
 from accountloom.session import work_path
 
 
@@ -70,5 +71,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_mixing, op3_decontaminate, op4_phrase_dedup, op5_jaccard_join, op6_quality_rules,
     op7_token_orc, op8_warc, op9_toxicity, op10_suffix_dedup)}
-
-ORACLE: dict[str, str] = {}
