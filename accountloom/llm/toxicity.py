@@ -23,14 +23,16 @@ from accountloom.llm.common import prepare
 
 WINDOW = 8
 LEVEL = 5
-SAMPLE = 2400
-"""Most labelled texts of either label that the model is fitted on: the first by hash of the id,
-five times as many ordinary ones. This bounds the fit, which runs on the driver."""
+SAMPLE = 1200
+"""Most toxic texts that the model is fitted on, the first by hash of the id, with at most four
+times as many ordinary ones. This bounds the fit, which runs on the driver."""
+ORDINARY = 4
 SAMPLE_CHARS = 1 << 17
 """Longer labelled texts are not used for fitting."""
-PLAIN_BYTES, TOXIC_BYTES = 8192, 2048
+PLAIN_BYTES, TOXIC_BYTES = 8192, 1024
 GRAM = 6
 PHI, Z, SEEN = 0.13, 4.0, 4
+FOLDS = 3
 SAVINGS = (2, 4)
 
 
@@ -91,6 +93,7 @@ def dictionaries(texts: list[str], labels: np.ndarray) -> tuple[bytes, bytes]:
     passages = [b" " + w for t, y in zip(texts, labels) if y for w in words_of(t)
                 if any(g in telling for g in _grams(w))]
     toxic = _trained([b"".join(passages[i:i + GRAM]) for i in range(0, len(passages), GRAM)], TOXIC_BYTES)
+    plain = plain or b"\0" * 8
     return plain, toxic + plain
 
 
@@ -134,15 +137,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """Dictionaries from two thirds of the texts, the calibration from the rest."""
-    turn = np.arange(len(texts)) % 3 < 2
-    plain, toxic = dictionaries([t for t, u in zip(texts, turn) if u], labels[turn])
-    pair = compressors(plain or b"\0" * 8, toxic or b"\0" * 8)
-    rest = ~turn if len(set(labels[~turn].tolist())) == 2 else np.ones(len(texts), bool)
-    x = np.array([features(t, pair) for t, u in zip(texts, rest) if u] or [[0.0] * (4 + len(SAVINGS))])
-    y = labels[rest].astype(float) if len(texts) else np.zeros(1)
+    """Dictionaries from all texts; the calibration from texts that their fold's had not seen."""
+    fold = np.arange(len(texts)) % FOLDS
+    x = np.zeros((max(1, len(texts)), 4 + len(SAVINGS)))
+    for f in range(FOLDS):
+        pair = compressors(*dictionaries([t for t, g in zip(texts, fold) if g != f], labels[fold != f]))
+        for i in np.flatnonzero(fold == f).tolist():
+            x[i] = features(texts[i], pair)
+    y = labels.astype(float) if len(texts) else np.zeros(1)
     center, scale = x.mean(0), x.std(0) + 1e-9
-    return Model(plain or b"\0" * 8, toxic or b"\0" * 8, center, scale, _logistic((x - center) / scale, y))
+    return Model(*dictionaries(texts, labels), center, scale, _logistic((x - center) / scale, y))
 
 
 def score(text: str, model: Model, pair) -> float:
@@ -157,20 +161,27 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` toxic and five times as many ordinary texts.
+    """A model from at most ``sample`` toxic and ``ORDINARY`` times as many ordinary texts.
 
-    Labels other than 0 and 1, ids without a text and held-out ids are left out. Without labels
+    The share of toxic labels among all that may be learned corrects the intercept. Labels other than 0 and 1, ids without a text and held-out ids are left out. Without labels
     the model scores every text alike.
     """
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")) \
         .where(F.col("label").isin(0, 1) & ~held_out(F.col("id"))).dropDuplicates(["id"]) \
         .withColumn("turn", F.xxhash64("id"))
-    first = [ids.where(F.col("label") == y).orderBy("turn", "id").limit(sample * k) for y, k in ((0, 5), (1, 1))]
+    first = [ids.where(F.col("label") == y).orderBy("turn", "id").limit(n)
+             for y, n in ((0, sample * ORDINARY), (1, sample))]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # bounded by ``sample``
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
         .where(F.length("text") <= SAMPLE_CHARS).join(chosen, "id").dropDuplicates(["id"]) \
         .select("turn", "id", "label", "text").toArrow().sort_by([("turn", "ascending"), ("id", "ascending")])
-    return fit(rows.column("text").to_pylist(), rows.column("label").to_numpy().astype(np.int64))
+    learned = rows.column("label").to_numpy().astype(np.int64)
+    model = fit(rows.column("text").to_pylist(), learned)
+    there = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    have = np.bincount(learned, minlength=2)
+    if len(there) == 2 and have.all():
+        model.weights[0] += np.log(there[1] / there[0]) - np.log(have[1] / have[0])
+    return model
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
