@@ -126,11 +126,11 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def _anchors(docs: DataFrame, u: Units, n: int) -> DataFrame:
-    """(key, text) to packed anchors by bucket."""
+    """(key, id, text) to packed anchors by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            data, offs = text_buffer(batch.column(1))
+            data, offs = text_buffer(batch.column(2))
             got = []
             for lo, hi in pieces(offs):
                 units, first = u.split(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
@@ -305,11 +305,13 @@ def earlier_windows(docs: DataFrame, id_col: str, text_col: str, u: Units,
     firsts = narrow.groupBy("digest").agg(F.min(F.struct("rank", "key")).alias("first"))
     copies = narrow.join(firsts, "digest").where(F.col("rank") > F.col("first.rank")) \
         .select("key").distinct().withColumn("whole", F.lit(True))
-    heads = firsts.select(F.col("first.key").alias("key"), F.col("first.rank").alias("rank"))
-    head_rows = rows.join(heads, "key").select("key", "rank", "text")
-    runs = _anchors(head_rows.select("key", "text"), u, n).groupBy("bucket").applyInArrow(_repeating, _ddl(_RUNS)) \
+    heads = firsts.select(F.col("first.key").alias("key"))
+    # All three joins need the same columns of ``rows``, so its one shuffle serves them all.
+    runs = _anchors(rows.join(heads, "key").select("key", "id", "text"), u, n) \
+        .groupBy("bucket").applyInArrow(_repeating, _ddl(_RUNS)) \
         .groupBy("key").agg(F.collect_list(F.shiftleft("start", 8).bitwiseOR(F.col("n"))).alias("runs"))
-    sent = _stretches(head_rows.join(runs, "key").select("key", "rank", "text", "runs"), u, n)
+    ranked = F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("rank")
+    sent = _stretches(rows.join(runs, "key").select("key", ranked, "text", "runs"), u, n)
     verdicts = sent.groupBy("bucket").applyInArrow(_solved(u, solve), _ddl(_RUNS)) \
         .groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     return rows.join(verdicts.join(copies, "key", "full"), "key", "left") \
