@@ -5,14 +5,17 @@ among its ``gram``-unit pieces, its anchor. Equal windows name equal anchors at
 window can repeat only if its anchor does. Neighbouring windows mostly share an anchor: a run.
 
 1. Documents with equal text are settled by digest; only the first of them goes on.
-2. Anchors are dealt into buckets by hash, as packed numbers. A bucket tells which repeat.
-3. The stretches around repeating anchors are dealt into shards by anchor, units and all, and a
-   solver of the operator's own finds, exactly, which windows start earlier elsewhere.
+   A run's stretch is all units of its windows.
+2. Anchors are dealt into buckets by hash, as packed numbers, each with a hash of its stretch. A
+   bucket settles equal stretches: all but the earliest start earlier elsewhere. Where an anchor
+   has several stretches, one of each goes on.
+3. Those are dealt into shards by anchor, units and all, and a solver of the operator's own finds,
+   exactly, which windows start earlier elsewhere.
 4. The verdicts go back to the documents by key.
 
-Hot anchors and hot stretches do not pile up: a batch hands in one of equal anchors (the others
-are known to repeat) and one of equal stretches (the others are known to come later). Buckets and
-shards are as many as the size of the input asks for, so each fits in memory.
+Hot anchors and hot stretches do not pile up: a batch settles its own equal stretches, and hands
+in a few stretches of any anchor to its bucket (the others are known to go on). Buckets and shards
+are as many as the size of the input asks for.
 """
 
 from __future__ import annotations
@@ -25,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accountloom.llm.common import buckets_for, flat_ranges, gram_hashes, hash_spans, mix, pieces, prepare, text_buffer
+from accountloom.llm.common import (
+    _P, _powers, buckets_for, flat_ranges, gram_hashes, hash_spans, mix, pieces, prepare, text_buffer)
 
 BUCKET_BYTES = 6 << 20
-"""Bytes of text per bucket and per shard."""
+"""Bytes of text per shard; a bucket, whose records are smaller, takes four times as many."""
+VARIANTS = 4
+"""How many stretches of an anchor a batch hands in to the anchor's bucket."""
 STEP = 1 << 19
 LAST = (1 << 63) - 1
 
@@ -62,7 +68,8 @@ class Stretches(NamedTuple):
 
 
 def anchor_runs(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share an anchor: row, start, number of windows, place and hash of the anchor."""
+    """Runs of windows that share an anchor: row, start, number of windows, place and hash of the
+    anchor, hash of the stretch."""
     found: list[tuple] = []
     width = window - gram + 1
     usable = np.maximum(np.diff(first) - window + 1, 0)
@@ -90,10 +97,14 @@ def anchor_runs(units: np.ndarray, first: np.ndarray, window: int, gram: int) ->
         starts, owner = starts[good], owner[good]
         stop = np.minimum(np.append(starts[1:], len(least)), end[owner])
         place = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        found.append((row[owner], starts + lo, stop - starts, place + lo, mix(hashes[place] ^ np.uint64(window))))
+        up, down = _powers(_P, len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * up[:len(part)], out=sums[1:])
+        whole = mix((sums[stop + window - 1] - sums[starts]) * down[starts] + (stop - starts).astype(np.uint64))
+        found.append((row[owner], starts + lo, stop - starts, place + lo, mix(hashes[place] ^ np.uint64(window)), whole))
     if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64)
+        none, no_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none, none, none, no_hash, no_hash
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -114,7 +125,11 @@ def _joined(table: pa.Table, name: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for c in table.column(name).chunks for x in c), dtype)
 
 
-_ANCHORS = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in ("hash", "key", "start", "size", "sure")]])
+_ANCHORS = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in (
+    "hash", "whole", "more", "key", "rank", "runs", "start", "size", "kind")]])
+_FOUND = pa.schema([("key", pa.int64()), ("run", pa.int64())])
+OPEN, SEVERAL, ON, GONE = 0, 1, 2, 3
+"""Of a run: not known to repeat; its batch has more stretches of its anchor; goes on; settled."""
 _RUNS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 _SENT = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in (
     "units", "length", "anchor", "rank", "key", "at")]])
@@ -125,45 +140,96 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[str(f.type)]}" for f in schema)
 
 
+def _settle(h: np.ndarray, whole: np.ndarray, rank: np.ndarray, key: np.ndarray, start: np.ndarray,
+            u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """(gone, head) of runs: those whose stretch stands earlier among them, and the first of each stretch."""
+    name = mix(h) ^ whole
+    _, at, back, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    gone, head = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    head[at] = True
+    many = np.flatnonzero(count[back] > 1)
+    if len(many):
+        order = many[np.lexsort((start[many], key[many], rank[many], back[many]))]
+        new = np.concatenate([[True], back[order[1:]] != back[order[:-1]]])
+        head[many] = False
+        head[order[new]] = True
+        least = order[new][np.cumsum(new) - 1]
+        gone[order] = rank[order] > rank[least]
+        if u.within:
+            gone[order] |= (key[order] != key[least]) | (start[order] != start[least])
+    return gone, head
+
+
 def _anchors(docs: DataFrame, u: Units, n: int) -> DataFrame:
-    """(key, id, text) to packed anchors by bucket."""
+    """(key, id, rank, text) to packed anchors by bucket; ``runs`` counts those of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            data, offs = text_buffer(batch.column(2))
+            keys, ranks = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            data, offs = text_buffer(batch.column(3))
             got = []
             for lo, hi in pieces(offs):
                 units, first = u.split(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
-                row, start, size, _, h = anchor_runs(units, first, u.window, u.gram)
-                got.append((row + lo, start - first[row], size, h))
-            row, start, size, h = (np.concatenate(x) for x in zip(*got)) if got else [np.zeros(0, np.int64)] * 4
-            if not len(h):
+                row, start, size, _, h, whole = anchor_runs(units, first, u.window, u.gram)
+                got.append((row + lo, start - first[row], size, h, whole))
+            if not got or not sum(len(x[0]) for x in got):
                 continue
-            _, at, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            sure = count[back] > 1
-            other = sure.copy()
-            other[at] = False
-            spread = mix(keys[row].view(np.uint64) + start.astype(np.uint64))
-            bucket = (np.where(other, spread, h) >> np.uint64(32)) % np.uint64(n)
-            yield _batch(list(_packed(bucket.astype(np.int64), n, {
-                "hash": h.astype(np.uint32), "key": keys[row], "start": start.astype(np.int32),
-                "size": size.astype(np.uint8), "sure": (sure + 2 * other).astype(np.uint8)})), _ANCHORS)
+            row, start, size, h, whole = (np.concatenate(x) for x in zip(*got))
+            rank, key = ranks[row], keys[row]
+            gone, head = _settle(h, whole, rank, key, start, u)
+            kind = np.where(gone, GONE, OPEN).astype(np.uint8)
+            # Stretches of one anchor: the first few go to its bucket, the others go on at once.
+            live = np.flatnonzero(~gone)
+            live = live[np.argsort(h[live], kind="stable")]
+            new = np.concatenate([[True], h[live[1:]] != h[live[:-1]]])
+            turn = np.arange(len(live)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+            kind[live[several]] = SEVERAL
+            kind[live[turn >= VARIANTS]] = ON
+            spread = mix(key.view(np.uint64) + start.astype(np.uint64))
+            bucket = ((np.where(kind >= ON, spread, h) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+            order = np.lexsort((start, row, bucket))
+            bucket, row = bucket[order], row[order]
+            edges = np.searchsorted(bucket, np.arange(n + 1))
+            columns = {"hash": h.astype(np.uint32), "whole": whole.astype(np.uint32),
+                       "more": (whole >> np.uint64(32)).astype(np.uint16), "start": start.astype(np.int32),
+                       "size": size.astype(np.uint8), "kind": kind}
+            columns = {k: v[order] for k, v in columns.items()}
+            records = []
+            for b in np.flatnonzero(np.diff(edges)):
+                part = slice(edges[b], edges[b + 1])
+                own, count = np.unique(row[part], return_counts=True)
+                records.append({"bucket": int(b), "key": keys[own].tobytes(), "rank": ranks[own].tobytes(),
+                                "runs": count.astype(np.int32).tobytes()} | {k: v[part].tobytes() for k, v in columns.items()})
+            yield _batch(records, _ANCHORS)
 
     return docs.mapInArrow(run, _ddl(_ANCHORS))
 
 
-def _repeating(table: pa.Table) -> pa.Table:
-    """The runs of a bucket whose anchor another run has, too."""
-    hashes, sure = _joined(table, "hash", "<u4"), _joined(table, "sure", "u1")
-    key, start, size = _joined(table, "key", "<i8"), _joined(table, "start", "<i4"), _joined(table, "size", "u1")
-    keep = (sure & 1).astype(bool)
-    own = np.flatnonzero(sure < 2)
-    order = own[np.argsort(hashes[own], kind="stable")]
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    keep[order[1:][same]] = True
-    keep[order[:-1][same]] = True
-    return pa.table([pa.array(key[keep]), pa.array(start[keep].astype(np.int64)),
-                     pa.array(size[keep].astype(np.int64))], schema=_RUNS)
+def _repeating(u: Units) -> Callable[[pa.Table], pa.Table]:
+    """The runs of a bucket that go on, and those that are settled (lowest bit)."""
+    def run(table: pa.Table) -> pa.Table:
+        h = _joined(table, "hash", "<u4").astype(np.uint64)
+        whole = _joined(table, "whole", "<u4").astype(np.uint64) | (_joined(table, "more", "<u2").astype(np.uint64) << np.uint64(32))
+        start, size = _joined(table, "start", "<i4").astype(np.int64), _joined(table, "size", "u1").astype(np.int64)
+        runs, kind = _joined(table, "runs", "<i4"), _joined(table, "kind", "u1")
+        key, rank = np.repeat(_joined(table, "key", "<i8"), runs), np.repeat(_joined(table, "rank", "<i8"), runs)
+        gone, on = kind == GONE, kind == ON
+        own = np.flatnonzero(kind < ON)
+        lost, _ = _settle(h[own], whole[own], rank[own], key[own], start[own], u)
+        gone[own[lost]] = True
+        left = own[~lost]
+        # An anchor whose stretches are all equal is settled; else what is left goes on.
+        left = left[np.argsort(h[left], kind="stable")]
+        new = np.concatenate([[True], h[left[1:]] != h[left[:-1]]])[:len(left)]
+        group = np.cumsum(new) - 1
+        low, high = (f(whole[left], np.flatnonzero(new)) for f in (np.minimum.reduceat, np.maximum.reduceat)) \
+            if len(left) else (whole[left], whole[left])
+        known = np.bincount(group, weights=kind[left] == SEVERAL) > 0 if len(left) else new
+        on[left[((low != high) | known)[group]]] = True
+        some = np.flatnonzero(gone | on)
+        return pa.table([pa.array(key[some]), pa.array((start[some] << 9) | (size[some] << 1) | gone[some])], schema=_FOUND)
+
+    return run
 
 
 def _stretches(docs: DataFrame, u: Units, n: int) -> DataFrame:
@@ -178,53 +244,48 @@ def _stretches(docs: DataFrame, u: Units, n: int) -> DataFrame:
                 units, first = u.split(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
                 row = np.repeat(np.arange(hi - lo), np.diff(edge[lo:hi + 1]))
                 own = flat[edge[lo]:edge[hi]]
-                start, size = own >> 8, own & 255
+                settled = (own & 1).astype(bool)
+                start, size = own >> 9, (own >> 1) & 255
+                yield from _settled(row[settled], start[settled], size[settled], keys[lo:hi], u, n)
                 order = np.lexsort((start, row))
-                row, start, size = row[order], start[order], size[order]
-                yield from _send(units, first, row, start, size, keys[lo:hi], ranks[lo:hi], u, n)
+                order = order[~settled[order]]
+                yield from _send(units, first, row[order], start[order], size[order], keys[lo:hi], ranks[lo:hi], u, n)
 
     return docs.mapInArrow(run, _ddl(_SENT))
 
 
+def _settled(row: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, u: Units,
+             n: int) -> Iterator[pa.RecordBatch]:
+    """Settled runs, spread over the shards by document."""
+    if len(row):
+        spread = (mix(keys[row].view(np.uint64)) >> np.uint64(32)) % np.uint64(n)
+        yield _batch([{"known": True, "units": b"", "anchor": b"", "rank": b""} | x for x in _packed(
+            spread.astype(np.int64), n, {"key": keys[row], "at": start.astype(np.int32),
+                                         "length": (size + u.window - 1).astype(np.uint16)})], _SENT)
+
+
 def _send(units: np.ndarray, first: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray,
           keys: np.ndarray, ranks: np.ndarray, u: Units, n: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of the runs that go on, packed by shard; repeated rows' runs only once."""
     begin, length = first[row] + start, size + u.window - 1
     if not len(begin):
         return
     # Anchors again, with the rule of anchor_runs, on the stretches alone.
-    at_unit = _concat(units, begin, length)
+    units = _concat(units, begin, length)
     edge = np.concatenate([[0], np.cumsum(length)])
-    r, s, _, place, h = anchor_runs(at_unit, edge, u.window, u.gram)
+    r, _, _, place, h, _ = anchor_runs(units, edge, u.window, u.gram)
     one = np.unique(r, return_index=True)[1]
-    anchor, h = place[one] - edge[r[one]], h[one]
-    whole = hash_spans(at_unit.view(np.uint8), edge[:-1] * at_unit.itemsize, edge[1:] * at_unit.itemsize)
-    rank, key = ranks[row], keys[row]
-    order = np.lexsort((start, key, rank, whole))
-    new = np.concatenate([[True], whole[order[1:]] != whole[order[:-1]]])
-    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    later = rank[order] > rank[head]
-    if u.within:
-        later |= (key[order] != key[head]) | (start[order] != start[head])
-    known = np.zeros(len(order), bool)
-    known[order] = later
-    sent = np.flatnonzero(~known)
+    anchor = (place[one] - edge[r[one]]).astype(np.uint16)
+    bucket = ((h[one] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(n + 1))
     records = []
-    bucket = ((h[sent] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-    by = sent[np.argsort(bucket, kind="stable")]
-    bucket = np.sort(bucket)
-    edges = np.searchsorted(bucket, np.arange(n + 1))
     for b in np.flatnonzero(np.diff(edges)):
-        i = by[edges[b]:edges[b + 1]]
-        records.append({"bucket": int(b), "known": False, "rank": rank[i].tobytes(), "key": key[i].tobytes(),
-                        "units": _concat(at_unit, edge[i], length[i]).astype(u.dtype).tobytes(),
-                        "length": length[i].astype(np.uint16).tobytes(), "anchor": anchor[i].astype(np.uint16).tobytes(),
+        i = order[edges[b]:edges[b + 1]]
+        records.append({"bucket": int(b), "known": False, "rank": ranks[row[i]].tobytes(), "key": keys[row[i]].tobytes(),
+                        "units": _concat(units, edge[i], length[i]).astype(u.dtype).tobytes(),
+                        "length": length[i].astype(np.uint16).tobytes(), "anchor": anchor[i].tobytes(),
                         "at": start[i].astype(np.int32).tobytes()})
-    i = np.flatnonzero(known)
-    if len(i):
-        spread = (mix(key[i].view(np.uint64)) >> np.uint64(32)) % np.uint64(n)
-        records += [{"known": True, "units": b"", "anchor": b"", "rank": b""} | x for x in _packed(
-            spread.astype(np.int64), n, {"key": key[i], "at": start[i].astype(np.int32),
-                                         "length": length[i].astype(np.uint16)})]
     yield _batch(records, _SENT)
 
 
@@ -306,11 +367,11 @@ def earlier_windows(docs: DataFrame, id_col: str, text_col: str, u: Units,
     copies = narrow.join(firsts, "digest").where(F.col("rank") > F.col("first.rank")) \
         .select("key").distinct().withColumn("whole", F.lit(True))
     heads = firsts.select(F.col("first.key").alias("key"))
-    # All three joins need the same columns of ``rows``, so its one shuffle serves them all.
-    runs = _anchors(rows.join(heads, "key").select("key", "id", "text"), u, n) \
-        .groupBy("bucket").applyInArrow(_repeating, _ddl(_RUNS)) \
-        .groupBy("key").agg(F.collect_list(F.shiftleft("start", 8).bitwiseOR(F.col("n"))).alias("runs"))
     ranked = F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("rank")
+    # All three joins need the same columns of ``rows``, so its one shuffle serves them all.
+    runs = _anchors(rows.join(heads, "key").select("key", "id", ranked, "text"), u, buckets_for(total, 4 * bucket_bytes)) \
+        .groupBy("bucket").applyInArrow(_repeating(u), _ddl(_FOUND)) \
+        .groupBy("key").agg(F.collect_set("run").alias("runs"))
     sent = _stretches(rows.join(runs, "key").select("key", ranked, "text", "runs"), u, n)
     verdicts = sent.groupBy("bucket").applyInArrow(_solved(u, solve), _ddl(_RUNS)) \
         .groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
