@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountloom.llm.common import (
@@ -127,7 +127,7 @@ def shingle_counts(docs: DataFrame, text_col: str, shared) -> np.ndarray:
 
 def occurrences(words: np.ndarray, first: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first word and window number of every occurrence of a block's windows in some rows."""
-    rows, starts, windows = [], [], []
+    rows, starts, windows = ([np.zeros(0, np.int64)] for _ in range(3))
     for k in block.sizes:
         hit = block.table.get(shingles(words, k))
         pos = np.flatnonzero(hit >= 0)
@@ -186,6 +186,21 @@ def _scan(docs: DataFrame, shared, kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, same long, n_words long, runs binary, items array<string>")
 
 
+def blocks(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str,
+           window: int, block_windows: int) -> Iterator[Block]:
+    """The blocks of a benchmark, at least one, with prefixes chosen by counts over all documents."""
+    prepare(spark)
+    windows = item_windows(items, item_col, item_text_col, window)
+    n_blocks = max(1, -(-windows.count() // block_windows))
+    numbered = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(n_blocks)))
+    for b in range(n_blocks):
+        block = Block(numbered.where(F.col("block") == b).select("item", "words").collect(), window)
+        shared = spark.sparkContext.broadcast(block)
+        block.keep_rarest(shingle_counts(docs, text_col, shared))
+        shared.unpersist()
+        yield block
+
+
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
          item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per document: ``id_col``, n_words, hits (runs of hit words, start and end) and items.
@@ -195,21 +210,13 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     give repeated rows; other columns are not read; an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    prepare(spark)
-    windows = item_windows(items, item_col, item_text_col, window)
-    n = windows.count()
-    n_blocks = max(1, -(-n // block_windows))
-    numbered = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(n_blocks)))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
-    kind, parts = docs.schema[id_col].dataType.simpleString(), None
-    for b in range(n_blocks):
-        block = Block(numbered.where(F.col("block") == b).select("item", "words").collect(), window)
-        first = spark.sparkContext.broadcast(block)
-        seen = shingle_counts(docs, text_col, first)
-        first.unpersist()
-        block.keep_rarest(seen)
-        part = _scan(rows, spark.sparkContext.broadcast(block), kind)
-        parts = part if parts is None else parts.unionAll(part)
+    kind = docs.schema[id_col].dataType.simpleString()
+    scans = [_scan(rows, spark.sparkContext.broadcast(block), kind) for block in blocks(
+        spark, docs, items, text_col, item_col, item_text_col, window, block_windows)]
+    n_blocks, parts = len(scans), scans[0]
+    for scan in scans[1:]:
+        parts = parts.unionAll(scan)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,3 +241,27 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         merge, f"id {kind}, n_words long, items array<string>, times long, hits array<struct<start:bigint,end:bigint>>") \
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))) \
         .select(F.col("id").alias(id_col), "n_words", "hits", "items")
+
+
+def without_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                 item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text holds no window of any item.
+
+    The blocks of the benchmark are applied one after the other, each in one scan without a shuffle.
+    """
+    spark = docs.sparkSession
+    for block in blocks(spark, docs, items, text_col, item_col, item_text_col, window, block_windows):
+        shared = spark.sparkContext.broadcast(block)
+        at = docs.columns.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offs = text_buffer(batch.column(at))
+                clean = np.ones(len(batch), bool)
+                for lo, hi in pieces(offs):
+                    words, first = word_hashes(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
+                    clean[lo + occurrences(words, first, shared.value)[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
