@@ -114,15 +114,26 @@ def _packed(buckets: np.ndarray, n: int, arrays: dict[str, np.ndarray]) -> Itera
     edges = np.searchsorted(buckets[order], np.arange(n + 1))
     arrays = {k: v[order] for k, v in arrays.items()}
     for b in np.flatnonzero(np.diff(edges)):
-        yield {"bucket": int(b)} | {k: v[edges[b]:edges[b + 1]].tobytes() for k, v in arrays.items()}
+        yield {"bucket": int(b)} | {k: _planes(v[edges[b]:edges[b + 1]]) for k, v in arrays.items()}
 
 
 def _batch(records: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(records, schema)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """An array as bytes, all first bytes first: what the high bytes repeat then compresses well."""
+    k = values.itemsize
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, k).T.tobytes()
+
+
 def _joined(table: pa.Table, name: str, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for c in table.column(name).chunks for x in c), dtype)
+    """The arrays of a column, one after the other; see ``_planes``."""
+    k = np.dtype(dtype).itemsize
+    raw = [np.frombuffer(x.as_buffer(), np.uint8) for c in table.column(name).chunks for x in c if x.as_buffer().size]
+    if not raw:
+        return np.zeros(0, dtype)
+    return np.concatenate([x.reshape(k, -1).T for x in raw]).reshape(-1).view(dtype)
 
 
 _ANCHORS = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in (
@@ -191,15 +202,15 @@ def _anchors(docs: DataFrame, u: Units, n: int) -> DataFrame:
             bucket, row = bucket[order], row[order]
             edges = np.searchsorted(bucket, np.arange(n + 1))
             columns = {"hash": h.astype(np.uint32), "whole": whole.astype(np.uint32),
-                       "more": (whole >> np.uint64(32)).astype(np.uint16), "start": start.astype(np.int32),
+                       "more": (whole >> np.uint64(32)).astype(np.uint8), "start": start.astype(np.int32),
                        "size": size.astype(np.uint8), "kind": kind}
             columns = {k: v[order] for k, v in columns.items()}
             records = []
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
                 own, count = np.unique(row[part], return_counts=True)
-                records.append({"bucket": int(b), "key": keys[own].tobytes(), "rank": ranks[own].tobytes(),
-                                "runs": count.astype(np.int32).tobytes()} | {k: v[part].tobytes() for k, v in columns.items()})
+                records.append({"bucket": int(b), "key": _planes(keys[own]), "rank": _planes(ranks[own]),
+                                "runs": _planes(count.astype(np.int32))} | {k: _planes(v[part]) for k, v in columns.items()})
             yield _batch(records, _ANCHORS)
 
     return docs.mapInArrow(run, _ddl(_ANCHORS))
@@ -209,7 +220,7 @@ def _repeating(u: Units) -> Callable[[pa.Table], pa.Table]:
     """The runs of a bucket that go on, and those that are settled (lowest bit)."""
     def run(table: pa.Table) -> pa.Table:
         h = _joined(table, "hash", "<u4").astype(np.uint64)
-        whole = _joined(table, "whole", "<u4").astype(np.uint64) | (_joined(table, "more", "<u2").astype(np.uint64) << np.uint64(32))
+        whole = _joined(table, "whole", "<u4").astype(np.uint64) | (_joined(table, "more", "u1").astype(np.uint64) << np.uint64(32))
         start, size = _joined(table, "start", "<i4").astype(np.int64), _joined(table, "size", "u1").astype(np.int64)
         runs, kind = _joined(table, "runs", "<i4"), _joined(table, "kind", "u1")
         key, rank = np.repeat(_joined(table, "key", "<i8"), runs), np.repeat(_joined(table, "rank", "<i8"), runs)
@@ -282,10 +293,9 @@ def _send(units: np.ndarray, first: np.ndarray, row: np.ndarray, start: np.ndarr
     records = []
     for b in np.flatnonzero(np.diff(edges)):
         i = order[edges[b]:edges[b + 1]]
-        records.append({"bucket": int(b), "known": False, "rank": ranks[row[i]].tobytes(), "key": keys[row[i]].tobytes(),
-                        "units": _concat(units, edge[i], length[i]).astype(u.dtype).tobytes(),
-                        "length": length[i].astype(np.uint16).tobytes(), "anchor": anchor[i].tobytes(),
-                        "at": start[i].astype(np.int32).tobytes()})
+        records.append({"bucket": int(b), "known": False} | {k: _planes(v) for k, v in (
+            ("rank", ranks[row[i]]), ("key", keys[row[i]]), ("units", _concat(units, edge[i], length[i]).astype(u.dtype)),
+            ("length", length[i].astype(np.uint16)), ("anchor", anchor[i]), ("at", start[i].astype(np.int32)))})
     yield _batch(records, _SENT)
 
 
