@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from accountloom.llm.common import (
     LOWER, WHITE, Table, buckets_for, flat_ranges, gram_hashes, hash_spans, mix, pieces, prepare, spans_of, text_buffer)
@@ -34,11 +35,11 @@ SHINGLE = 5
 PERCENT = 75
 BUCKET_BYTES = 8 << 20
 """Bytes of text per bucket."""
-TILE_BYTES = 8 << 20
+TILE_BYTES = 16 << 20
 """Bytes of text that a tile holds of either of its sides, but for a longer document."""
 FREQUENT = 1 << 20
-"""How many frequent shingles are moved to the end of the order; 9 bytes each are broadcast."""
-RARE = 10
+"""How many frequent shingles are moved to the end of the order; 18 to 36 bytes each are broadcast."""
+RARE = 3
 """Shingles that occur less often than this are not moved."""
 ROWS = 1 << 14
 _KEY = 46
@@ -87,7 +88,7 @@ def _only(data: np.ndarray, offs: np.ndarray, keep: np.ndarray) -> tuple[np.ndar
     return data[flat_ranges(offs[:-1][keep], length)] if not keep.all() else data, np.concatenate([[0], np.cumsum(length)])
 
 
-_COUNTS = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("n", pa.binary())])
+_COUNTS = pa.schema([("bucket", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("n", pa.binary())])
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("node", pa.binary()), ("size", pa.binary())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -114,15 +115,17 @@ def frequent_shingles(nodes: DataFrame, size: int, n: int, most: int, rare: int)
             g = mix(keys)
             if len(keys):
                 yield _batch(list(_packed(((g >> np.uint64(32)) % np.uint64(n)).astype(np.int64), n, {
-                    "key": keys, "n": np.minimum(found, 255).astype(np.uint8)})), _COUNTS)
+                    "low": keys.astype(np.uint32), "high": (keys >> np.uint64(32)).astype(np.uint16),
+                    "n": np.minimum(found, 255).astype(np.uint8)})), _COUNTS)
 
     def total(table: pa.Table) -> pa.Table:
-        keys, back = np.unique(_joined(table, "key", "<u8"), return_inverse=True)
+        keys = _joined(table, "low", "<u4").astype(np.uint64) | (_joined(table, "high", "<u2").astype(np.uint64) << np.uint64(32))
+        keys, back = np.unique(keys, return_inverse=True)
         found = np.bincount(back, weights=_joined(table, "n", "u1"))
         often = found >= rare
         return pa.table({"key": pa.array(keys[often].astype(np.int64)), "n": pa.array(found[often].astype(np.int64))})
 
-    best = nodes.select("node", "text").mapInArrow(count, "bucket int, key binary, n binary") \
+    best = nodes.select("node", "text").mapInArrow(count, "bucket int, low binary, high binary, n binary") \
         .groupBy("bucket").applyInArrow(total, "key long, n long").orderBy(F.desc("n"), "key").limit(most).toArrow()
     keys = best.column("key").to_numpy().astype(np.uint64)
     table = Table(max(4, (2 * len(keys) + 1).bit_length()), np.int8)
@@ -254,28 +257,26 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             yield pa.record_batch([*batch.columns, pa.array(np.floor(band).astype(np.int32))],
                                   ["node", "component", "text", "band"])
 
-    # One copy of every node that has a tie, with its band; the text is shuffled for these only once.
-    members = nodes.mapInArrow(_once_per_task, "node long, text string") \
-        .join(tied, "node").select("node", "component", "text").mapInArrow(banded, "node long, component long, text string, band int")
-    members = members.groupBy("node").agg(F.first("component").alias("component"), F.first("band").alias("band"),
-                                          F.first("text").alias("text"))
+    # One copy of every node that has a tie; join and grouping share one shuffle of the text.
+    members = nodes.mapInArrow(_once_per_task, "node long, text string").join(tied, "node") \
+        .groupBy("node").agg(F.first("component").alias("component"), F.first("text").alias("text"))
     path = work_path(spark, "members")
     members.write.parquet(path)
-    members = spark.read.parquet(path)
-    cells = members.groupBy("component", "band").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    whole = cells.groupBy("component").agg(F.sum("bytes").alias("all_bytes"))
-    cells = cells.join(whole, "component").select(
-        "component", "band", F.when(F.col("all_bytes") <= tile_bytes, F.lit(0))
-        .otherwise(F.ceil(F.col("bytes") / tile_bytes)).cast("int").alias("parts"))
-    cells = cut_lineage(cells)
-    small = members.join(cells.where("parts = 0"), ["component", "band"]) \
-        .select(F.concat_ws("/", F.col("component")).alias("tile"), F.lit(0).alias("side"), "node", "text")
-    own = members.join(cells.where("parts > 0"), ["component", "band"]) \
+    members = spark.read.schema("node long, component long, text string").parquet(path)
+    weight = F.sum(F.octet_length("text"))
+    large = cut_lineage(members.groupBy("component").agg(weight.alias("bytes")).where(F.col("bytes") > tile_bytes)
+                        .select("component"))
+    small = members.join(large, "component", "left_anti") \
+        .select(F.col("component").cast("string").alias("tile"), F.lit(0).alias("side"), "node", "text")
+    members = members.join(large, "component").select("node", "component", "text") \
+        .mapInArrow(banded, "node long, component long, text string, band int")
+    cells = cut_lineage(members.groupBy("component", "band").agg(F.ceil(weight / tile_bytes).cast("int").alias("parts")))
+    own = members.join(cells, ["component", "band"]) \
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = cells.where("parts > 0").select(F.col("component").alias("c"), F.col("band").alias("band2"),
+    other = cells.select(F.col("component").alias("c"), F.col("band").alias("band2"),
                                             F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
     mine, theirs = F.struct("band", "part"), F.struct(F.col("band2").alias("band"), F.col("part2").alias("part"))
-    large = own.join(other, (F.col("component") == F.col("c")) & (F.abs(F.col("band") - F.col("band2")) <= 1)) \
+    cut = own.join(other, (F.col("component") == F.col("c")) & (F.abs(F.col("band") - F.col("band2")) <= 1)) \
         .select(F.concat_ws("/", "component", F.least(mine, theirs)["band"], F.least(mine, theirs)["part"],
                             F.greatest(mine, theirs)["band"], F.greatest(mine, theirs)["part"]).alias("tile"),
                 F.when(mine == theirs, 0).when(mine < theirs, 1).otherwise(2).alias("side"), "node", "text")
@@ -286,7 +287,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
                         schema=_EDGES)
 
-    return small.unionByName(large).groupBy("tile").applyInArrow(compare, "a long, b long")
+    return small.unionByName(cut).groupBy("tile").applyInArrow(compare, "a long, b long")
 
 
 def _sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:
@@ -310,6 +311,22 @@ def with_node(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .withColumn("node", F.xxhash64(F.translate("text", upper, upper.lower())))
 
 
+def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+                        percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have the smallest id of their class.
+
+    Documents without words are classes of their own. Of rows that repeat id and text one stays;
+    a null id stays only where its class has no other.
+    """
+    found = similar_classes(docs, id_col, text_col, size, percent)
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(name.alias("name")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"),
+                       F.xxhash64(text_col).alias("same"))
+    turn = F.row_number().over(Window.partitionBy("name", "same").orderBy("same"))
+    return rows.join(stays, "name", "left_semi").withColumn("turn", turn).where("turn = 1").select("row.*")
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
             percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Per document: ``id_col``, n_shingles and component_id, the smallest id it is linked to.

@@ -82,7 +82,7 @@ class Segmented:
 class Cache:
     """What a worker has encoded so far: counts, or ids in one pool; both are bounded."""
 
-    def __init__(self, path: str, bits: int = 21, pool: int = 1 << 23):
+    def __init__(self, path: str, bits: int = 22, pool: int = 1 << 23):
         self.path, self.table, self.limit = path, Table(bits, np.int64), pool
         self.pool, self.used = np.empty(0, np.int32), 0
 
@@ -105,27 +105,29 @@ class Cache:
 
     def ids(self, seg: Segmented) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and the start and length in it of every segment of ``seg``."""
-        new, first, back = np.unique(seg.hashes, return_index=True, return_inverse=True)
-        where = self.table.get(new)
-        if self.used > self.limit or not self.table.room(int((where < 0).sum())):
+        where = self.table.get(seg.hashes)
+        open_ = np.flatnonzero(where < 0)
+        new, first, back = np.unique(seg.hashes[open_], return_index=True, return_inverse=True)
+        if self.used > self.limit or not self.table.room(len(new)):
             self.table.clear()
-            self.used, where = 0, np.full(len(new), -1, np.int64)
-        miss = np.flatnonzero(where < 0)
-        for lo in range(0, len(miss), 20_000):
-            part = miss[lo:lo + 20_000]
-            ids = encode(self.path, seg.strings(first[part]))
+            self.used, open_ = 0, np.arange(len(where))
+            new, first, back = np.unique(seg.hashes, return_index=True, return_inverse=True)
+        first = open_[first]
+        found = np.empty(len(new), np.int64)
+        for lo in range(0, len(new), 20_000):
+            ids = encode(self.path, seg.strings(first[lo:lo + 20_000]))
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for y in ids for x in y), np.int32, int(lengths.sum()))
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool[:self.used], np.empty(max(len(flat), 1 << 20, self.used), np.int32)])
             self.pool[self.used:self.used + len(flat)] = flat
-            where[part] = ((self.used + np.cumsum(lengths) - lengths) << 24) | lengths
             if (lengths >> 24).any():
                 raise ValueError("a segment of more than 2^24 tokens")
+            found[lo:lo + 20_000] = ((self.used + np.cumsum(lengths) - lengths) << 24) | lengths
             self.used += len(flat)
-        if len(miss) and self.table.room(len(miss)):
-            self.table.put(new[miss], where[miss])
-        where = where[back]
+        if self.table.room(len(new)):
+            self.table.put(new, found)
+        where[open_] = found[back]
         return self.pool, where >> 24, where & ((1 << 24) - 1)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from accountloom.llm.common import prepare, buckets_for, flat_ranges, text_bytes
 from accountloom.llm.segments import Segmented, bare, encode, worker_cache
+from accountloom.session import cut_lineage
 
 FILE_BYTES = 16 << 20
 STRIPE_BYTES = 16 << 20
@@ -90,8 +91,8 @@ def token_index(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
                                    pa.array(crc, pa.int64())], ["place", "id", "n_tokens", "ids_crc32"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    rows = tokens.select("place", F.col(id_col).alias("id"), "ids") \
-        .mapInArrow(digest, f"place long, id {kind}, n_tokens long, ids_crc32 long") \
+    rows = cut_lineage(tokens.select("place", F.col(id_col).alias("id"), "ids")
+                       .mapInArrow(digest, f"place long, id {kind}, n_tokens long, ids_crc32 long")) \
         .withColumn("block", F.shiftright("place", ORDER_BITS))
     blocks = rows.groupBy("block").agg(F.sum("n_tokens").alias("sum"))
     before = blocks.select("block", (F.sum("sum").over(Window.orderBy("block")) - F.col("sum")).alias("before"))
