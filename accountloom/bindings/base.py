@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from accountloom import spec
 from accountloom.functions import text
-from accountloom.functions.ordered import spread_small_scan
 
 YEARS = [1996, 1997, 1998, 1999, 2000]
 
@@ -112,7 +111,7 @@ FACT_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 def filing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One small xBRL-JSON document per line item; documents of a filing share its key."""
-    li, s = spread_small_scan(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "supplier")
+    li, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     y, line, q = F.year("l_shipdate"), F.col("l_linenumber"), F.col("l_quantity")
     jan = lambda year: F.concat(year.cast("string"), F.lit("-01-01T00:00:00"))
     year_of = F.when(line == 6, y - 1).otherwise(y)

@@ -8,7 +8,7 @@ from accountloom import spec
 from accountloom.bindings.base import pick, sql_list, table
 from accountloom.functions import numbers, text
 from accountloom.operators import health, identity, parameters, policy, shares, store
-from accountloom.session import cut_lineage
+from accountloom.session import stored
 from accountloom.sources import quotes
 
 QUERIES, ORACLE = {}, {}
@@ -145,7 +145,7 @@ def review_stub(spark, d):
         F.concat(F.lit("C"), k).alias("lei"), F.lit("OVR").alias("ticker"), F.lit("FP").alias("exchange"),
         F.lit(False).alias("exclude"), F.lit("kept").alias("note"), F.lit(None).cast("string").alias("reviewed"))
     stub = identity.review_stub(existing, identity.needs_review(_resolved(spark, d)[1]))
-    return stub.select("lei", "ticker", F.col("note").startswith("AUTO").alias("is_new"))
+    return stub.select("lei", "ticker", F.col("note").startswith("to review").alias("is_new"))
 
 
 @query(f"""WITH {_INSTRUMENT_SQL} SELECT ord, CASE exchange {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in spec.VENUE_TO_MIC.items())} END AS mic,
@@ -359,6 +359,11 @@ _COUNTRY_HEAD = ("Notes", "Country", "Rating", "Country Risk Premium", "Total Eq
 
 
 def _cells(spark, d):
+    """The sheets' cells, written once for all queries of an application."""
+    return stored(spark, "cells", d, lambda: _made_cells(spark, d))
+
+
+def _made_cells(spark, d):
     """The sheet cells as a stored table: every sheet reads it several times."""
     region, nation = table(spark, d, "region"), table(spark, d, "nation")
     c, p = table(spark, d, "customer"), table(spark, d, "part")
@@ -395,7 +400,7 @@ def _cells(spark, d):
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return cut_lineage(out)
+    return out
 
 
 _COUNTRY_SQL = f"""per AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1),
@@ -534,13 +539,12 @@ def _two_ladders(spark, d):
 
 
 @query(f"""WITH {_LADDER_SQL}, l AS (SELECT *, page_id::VARCHAR AS tbl, substr(rating, 2)::INT AS row FROM rungs)
-SELECT tbl AS "table", row, row >= 14 AS fresh, row < 14 AND (row + page_id) % 4 = 0 AS moved, row < 14 AND (row + page_id) % 6 = 0 AS respread
+SELECT tbl AS "table", row, tbl || ' | ' || rating_full || ' | ' || CASE WHEN row >= 14 THEN 'added' ELSE concat_ws('; ',
+  CASE WHEN (row + page_id) % 4 = 0 THEN 'coverage_from ' || (coverage_from + 1)::DOUBLE || ' to ' || coverage_from::DOUBLE END,
+  CASE WHEN (row + page_id) % 6 = 0 THEN 'spread ' || printf('%.4f', spread + 0.001) || ' to ' || printf('%.4f', spread) END) END AS text
 FROM l WHERE row >= 14 OR (row + page_id) % 4 = 0 OR (row + page_id) % 6 = 0""")
 def ladder_differences(spark, d):
-    return parameters.ladder_diff(*_two_ladders(spark, d)).select(
-        "table", "row", F.col("text").contains("new row").alias("fresh"),
-        (F.col("text").contains(": coverage") | F.col("text").contains(", coverage")).alias("moved"),
-        (F.col("text").rlike("[:,] spread") & ~F.col("text").contains("new row")).alias("respread"))
+    return parameters.ladder_diff(*_two_ladders(spark, d)).select("table", "row", "text")
 
 
 @query(f"""WITH {_LADDER_SQL} SELECT page_id::VARCHAR AS "table", substr(rating, 2)::INT AS row, coverage_from, spread, 4300.0::DOUBLE AS cutoff,

@@ -11,7 +11,7 @@ from accountloom.bindings.base import (
 from accountloom.functions import text
 from accountloom.operators import coverage, extraction, store
 from accountloom.plans import screening
-from accountloom.session import cut_lineage
+from accountloom.session import stored
 from accountloom.sources import filings
 
 QUERIES, ORACLE = {}, {}
@@ -39,9 +39,14 @@ def _voted(spark, d, **options):
     return screening.extraction_run(filing_documents(spark, d), FACT_ORDER, **options)
 
 
+def _stored_vote(spark, d):
+    """One extraction for all queries of an application: written once to the shared folder."""
+    return stored(spark, "company_years", d, lambda: _voted(spark, d))
+
+
 def _store(spark, d):
-    """Headers and facts of one extraction, which is stored before both are read."""
-    voted = cut_lineage(_voted(spark, d))
+    """Headers and facts of the stored extraction."""
+    voted = _stored_vote(spark, d)
     return extraction.company_year_rows(voted, F.lit("2002-01-01").cast("timestamp")), extraction.fact_rows(voted)
 
 
@@ -225,14 +230,12 @@ def company_years(spark, d):
 
 
 @query(f"""WITH {EXTRACT_SQL} SELECT lei, fiscal_year, n_missing::INT AS n_missing,
-(debt > 0 AND interest_expense IS NULL) AS zero_interest, (debt <= 0 AND coalesce(interest_expense, 0) > 0) AS no_debt_found
-FROM headers""")
+CASE WHEN debt > 0 AND interest_expense IS NULL THEN 'debt of ' || format('{{:,}}', round_even(debt, 0)::BIGINT) || ' without an interest line'
+WHEN debt <= 0 AND coalesce(interest_expense, 0) > 0 THEN 'interest of ' || format('{{:,}}', round_even(interest_expense, 0)::BIGINT) || ' without any debt line'
+ELSE '' END AS reason FROM headers""")
 def interest_contradictions(spark, d):
-    blocked = F.col("blocked")
-    return _voted(spark, d).select(
-        *KEYS, F.size("missing_required").alias("n_missing"),
-        F.exists(blocked, lambda b: b.startswith("interest expense")).alias("zero_interest"),
-        F.exists(blocked, lambda b: b.startswith("pays")).alias("no_debt_found"))
+    return _stored_vote(spark, d).select(
+        *KEYS, F.size("missing_required").alias("n_missing"), F.array_join("blocked", "; ").alias("reason"))
 
 
 @query(f"""WITH {EXTRACT_SQL} SELECT lei, fiscal_year, round(coalesce(ebit, pretax_income + coalesce(interest_expense, 0)
@@ -246,7 +249,7 @@ def ebit_fallback(spark, d):
 @query(f"""WITH {EXTRACT_SQL} SELECT lei, bool_and(likely_financial) AS is_financial, bool_or(likely_financial) AS any_financial
 FROM headers GROUP BY 1""")
 def financial_vote(spark, d):
-    return _voted(spark, d).select("lei", "is_financial", "any_financial").distinct()
+    return _stored_vote(spark, d).select("lei", "is_financial", "any_financial").distinct()
 
 
 @query(f"""WITH {EXTRACT_SQL}, o AS (SELECT CASE WHEN status = 'failed' THEN 'financial' ELSE status END AS outcome FROM headers
@@ -255,7 +258,7 @@ UNION ALL SELECT 'mixed_financial_signal' FROM (SELECT DISTINCT lei FROM headers
 UNION ALL SELECT 'no_filing' FROM (SELECT DISTINCT lei FROM headers))
 SELECT outcome, count(*) AS n FROM o GROUP BY 1""")
 def extraction_counters(spark, d):
-    voted = cut_lineage(_voted(spark, d))
+    voted = _stored_vote(spark, d)
     todo = voted.select(*KEYS, F.lit("todo").alias("state"))
     none = voted.select("lei").distinct().select("lei", F.lit(1990).alias("fiscal_year"), F.lit("no_filing").alias("state"))
     return extraction.extraction_counts(todo.unionByName(none), voted)
@@ -266,7 +269,7 @@ round(net_income / nullif(basic, 0), 6) AS wavg_basic,
 round(coalesce(net_income / nullif(diluted, 0), net_income / nullif(basic, 0)), 6) AS wavg_diluted,
 round(basic / nullif(diluted, 0), 6) AS dilution_factor FROM headers WHERE net_income <> 0""")
 def share_estimates(spark, d):
-    return extraction.share_estimates(_voted(spark, d)).select(
+    return extraction.share_estimates(_stored_vote(spark, d)).select(
         *KEYS, F.round("net_income", 2).alias("net_income"), F.round("wavg_basic", 6).alias("wavg_basic"),
         F.round("wavg_diluted", 6).alias("wavg_diluted"), F.round("dilution_factor", 6).alias("dilution_factor"))
 

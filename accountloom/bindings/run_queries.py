@@ -11,7 +11,7 @@ from accountloom.bindings.base import YEARS, pick, sql_list, table
 from accountloom.bindings.company_queries import _QUOTE_SQL, prices
 from accountloom.functions import numbers, ordered, text
 from accountloom.operators import health, policy, portfolio, results, store, valuation
-from accountloom.session import cut_lineage
+from accountloom.session import stored
 from accountloom.sources import records
 
 QUERIES, ORACLE = {}, {}
@@ -163,12 +163,10 @@ def research_queue(spark, d):
 
 
 @query(f"""WITH {_RESULT_SQL} SELECT lei, short AS short_verdict, CASE WHEN void THEN 'statement cells are missing' WHEN flag THEN 'RESEARCH'
-WHEN s104 AND s122 THEN 'estimates diverge  (+1)' WHEN s104 THEN 'estimates diverge' ELSE 'ladder older than fourteen month' || '…' END AS note
+WHEN s104 AND s122 THEN 'estimates diverge  (+1)' WHEN s104 THEN 'estimates diverge' ELSE 'ladder older than fourteen mont' || '…' END AS note
 FROM r WHERE void OR flag OR held""")
 def findings(spark, d):
-    return results.findings(_results(spark, d)).select(
-        "lei", "short_verdict", F.when(F.col("note").startswith("ladder"), F.lit("ladder older than fourteen month…"))
-        .otherwise(F.col("note")).alias("note"))
+    return results.findings(_results(spark, d)).select("lei", "short_verdict", "note")
 
 
 @query(f"""WITH {_RESULT_SQL} SELECT lei, concat_ws(', ', 'WACC ' || printf('%.1f', wacc * 100) || '%' || CASE WHEN rating IS NULL THEN '' ELSE ' (AA)' END,
@@ -179,7 +177,7 @@ def reasons(spark, d):
 
 
 @query(f"""WITH {_RESULT_SQL} SELECT lei, concat_ws(', ', 'discount rate ' || printf('%.1f', wacc * 100) || '%' || CASE WHEN rating IS NULL THEN '' ELSE ' (AA)' END,
-CASE WHEN terminal IS NOT NULL THEN printf('%.0f', terminal * 100) || '% of the value sits beyond the forecast' END, CASE WHEN margin IS NOT NULL THEN 'margins ' || printf('%.2f', margin) || '× the industry' END) AS why FROM r""")
+CASE WHEN terminal IS NOT NULL THEN printf('%.0f', terminal * 100) || '% terminal value' END, CASE WHEN margin IS NOT NULL THEN 'margin ratio ' || printf('%.2f', margin) END) AS why FROM r""")
 def published_reasons(spark, d):
     return _results(spark, d).select("lei", text.why_public(
         F.col("wacc"), F.col("implied_rating"), F.col("terminal_share_of_ev"), F.col("margin_vs_industry")).alias("why"))
@@ -199,12 +197,16 @@ def results_sheet(spark, d):
         "name", "current_price", "trigger_price", "flag", "held_back_by", "warnings", "notes", "fails")
 
 
-@query(f"WITH {_RESULT_SQL} SELECT lei, verdict, round(upside, 6) AS upside FROM r WHERE flag")
+def _published(df):
+    """The public view's whole list of columns beside its rows, so that a leaked one shows."""
+    public = results.public_view(df)
+    return public.withColumn("published", F.lit(", ".join(sorted(public.columns))))
+
+
+@query(f"""WITH {_RESULT_SQL} SELECT lei, verdict, round(upside, 6) AS upside, 'blocking_checks, country, credit_table, exchange, finding, implied_rating, industry, lei, name, price_as_of, qualifies_on_verdict, research_flag, short_verdict, suppressed_by, ticker, upside, verdict, void, wacc' AS published FROM r WHERE flag""")
 def published_results(spark, d):
     r = results.with_labels(_results(spark, d)).where("research_flag")
-    public = results.public_view(r)
-    return public.select(*[c for c in public.columns if c in ("lei", "verdict", "price", "current_price", "value_per_share")],
-                         F.round("upside", 6).alias("upside"))
+    return _published(r).select("lei", "verdict", F.round("upside", 6).alias("upside"), "published")
 
 
 @query(f"""WITH {_RESULT_SQL} SELECT lei, ticker, value / 1.25 AS trigger_price, value / 1.2 AS watch_price, verdict, flag AS research_flag, void
@@ -351,10 +353,10 @@ def price_echo_problems(spark, d):
     return valuation.echo_problems(back, given).select("lei")
 
 
-# -- portfolio: users are companies, some event days carry a run --------------------------
+# -- portfolio: users are companies, every day of theirs carries a run --------------------------
 
 def _runs(spark, d):
-    e = table(spark, d, "events").where(F.weekday("ts") == 0)
+    e = table(spark, d, "events")
     rows = e.select(F.concat(F.lit("U"), "user_id").alias("lei"), F.to_date("ts").alias("run_date"), "event_id", "event_type", "value")
     one = ordered.earliest(rows, ["lei", "run_date"], [F.col("event_id")], ["event_type", "value", "event_id"])
     t = F.col("event_type")
@@ -376,7 +378,7 @@ run AS (SELECT 'U' || user_id AS lei, ts::DATE AS run_date, event_type AS t, val
   value * CASE WHEN event_type IN ('purchase', 'view') THEN 2.0 WHEN event_type = 'error' THEN 0.5 WHEN event_type = 'click' THEN 1.1 END AS vps,
   CASE WHEN event_type IN ('purchase', 'view') THEN 'UNDERVALUED - investigate' WHEN event_type = 'error' THEN 'OVERVALUED - screen out'
     WHEN event_type = 'click' THEN 'FAIRLY VALUED - no action' ELSE 'VOID - failed validation' END AS verdict
-  FROM events WHERE isodow(ts) = 1 QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) = 1),
+  FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) = 1),
 cal AS (SELECT run_date, lead(run_date) OVER (ORDER BY run_date) AS next_run FROM (SELECT DISTINCT run_date FROM run)),
 tl AS (SELECT lei, run_date AS d_at, 0 AS side, price, vps, verdict, t, run_date, next_run, NULL::DATE AS seen FROM run JOIN cal USING (run_date)
   UNION ALL SELECT lei, as_of, 1, price, NULL, NULL, NULL, NULL, NULL, CASE WHEN day(as_of) = 20 THEN as_of + 9 ELSE as_of END FROM price),
@@ -457,7 +459,7 @@ def performance_series(spark, d):
 
 def ordered_frames(spark, d):
     """The book and the prices as stored tables: both are read several times."""
-    return cut_lineage(_book(spark, d)), cut_lineage(prices(spark, d))
+    return stored(spark, "book", d, lambda: _book(spark, d)), stored(spark, "prices", d, lambda: prices(spark, d))
 
 
 @query(f"""WITH {_QUOTE_SQL}, asks AS (SELECT 'U' || user_id AS lei, max(ts)::DATE - 5 AS d_at FROM events GROUP BY 1)

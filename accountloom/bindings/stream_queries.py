@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from accountloom import spec
 from accountloom.bindings.base import table
 from accountloom.bindings.company_queries import _QUOTE_SQL, TODAY
+from accountloom.bindings.run_queries import ORACLE as RUN_ORACLE
 from accountloom.bindings.run_queries import _run_quotes, _runs
 from accountloom.session import shared_folder
 from accountloom.sources import quotes
 from accountloom.streaming import daily
 
 QUERIES, ORACLE = {}, {}
+ORACLE_POSITIONS = RUN_ORACLE["position_events"]
 
 
 def query(sql: str | None = None):
@@ -67,23 +69,22 @@ def streamed_price_watch(spark, d):
     return out.groupBy("lei", F.col("price_as_of").alias("as_of"), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT 'U' || user_id AS lei, ts::DATE AS as_of FROM events WHERE event_type <> 'signup' AND event_id % 29 > 0 AND event_id % 31 > 0")
+@query(f"WITH {_QUOTE_SQL} SELECT lei, as_of, price, DATE '{TODAY}' - as_of > 7 AS stale FROM price")
 def streamed_fresh_days(spark, d):
+    """Every company and day once, with the price of its newest fetch."""
     folder = _folder(spark)
-    fresh = daily.fresh_stream(_quotes(_event_stream(spark, d)), F.lit(TODAY).cast("date")).select("lei", "as_of")
-    daily.run_available(fresh, f"{folder}/fresh", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(fresh.schema).parquet(f"{folder}/fresh")
+    fresh = daily.fresh_stream(_quotes(_event_stream(spark, d)), F.lit(TODAY).cast("date"))
+    daily.store_fresh(fresh, f"{folder}/fresh", f"{folder}/checkpoint").awaitTermination()
+    return daily.stored_prices(spark, f"{folder}/fresh")
 
 
-@query()
+@query(ORACLE_POSITIONS)
 def streamed_positions(spark, d):
     """Same entries and exits as ``position_events``, kept by the stateful stream."""
     folder = _folder(spark)
-    runs = _runs(spark, d)
-    run_dates = [r.run_date for r in runs.select("run_date").distinct().collect()]
-    rows = daily.position_input(runs, _run_quotes(spark, d), run_dates)
+    rows = daily.position_input(_runs(spark, d), _run_quotes(spark, d))
     rows.write.parquet(f"{folder}/rows")
     stream = daily.position_stream(daily.read_stream(spark, f"{folder}/rows", rows.schema))
     daily.run_available(stream, f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
-    out = spark.read.schema(daily.EVENTS).parquet(f"{folder}/events")
+    out = daily.standing_events(spark.read.schema(daily.EVENTS).parquet(f"{folder}/events"))
     return out.select("lei", F.col("day").alias("at"), "side", "event", "price")

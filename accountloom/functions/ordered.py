@@ -45,13 +45,3 @@ def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
     made = df.select("*", F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_made"))
     return made.select(*df.columns, F.explode(F.array("_made")).alias("_made")).select(
         *df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
-
-
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores before work that is heavy per row.
-
-    A large table already has more splits than cores and is left as it is, so this adds no
-    shuffle at scale; a single small file would otherwise be parsed by one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

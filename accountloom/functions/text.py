@@ -87,7 +87,8 @@ def severity(c: Column) -> Column:
 
 
 def exit_reason(c: Column) -> Column:
-    return F.initcap(F.substring_index(F.coalesce(c, F.lit("")), " - ", 1))
+    label = F.substring_index(F.coalesce(c, F.lit("")), " - ", 1)
+    return F.array_join(F.transform(F.split(label, "-"), F.initcap), "-")
 
 
 def short_verdict(verdict: Column, held_back: Column) -> Column:
@@ -115,15 +116,15 @@ def why(wacc: Column, rating: Column, terminal: Column, margin: Column, roic: Co
 
 
 def why_public(wacc: Column, rating: Column, terminal: Column, margin: Column) -> Column:
-    """The longer wording used on the published page."""
+    """The figures as the published page words them."""
     rated = F.when(F.coalesce(rating, F.lit("")) != "", F.concat(F.lit(" ("), rating, F.lit(")"))) \
         .otherwise(F.lit(""))
     return F.concat_ws(
         ", ",
         F.when(wacc.isNotNull(), F.concat(F.format_string("discount rate %.1f%%", wacc * 100), rated)),
         F.when(terminal.isNotNull(),
-               F.format_string("%.0f%% of the value sits beyond the forecast", terminal * 100)),
-        F.when(margin.isNotNull(), F.format_string("margins %.2f× the industry", margin)))
+               F.format_string("%.0f%% terminal value", terminal * 100)),
+        F.when(margin.isNotNull(), F.format_string("margin ratio %.2f", margin)))
 
 
 def is_cross_listed(ticker: Column) -> Column:
@@ -154,19 +155,22 @@ def joined_reasons(messages: Column) -> Column:
         .otherwise(F.lit("—"))
 
 
+LADDER_PARTS = ("coverage_from", "rating_full", "spread")
+
+
+def changed_parts(was: Column, now: Column) -> Column:
+    """Columns of a rung that differ, each with its old and new value as text; empty if none do."""
+    differs = {"coverage_from": was["coverage_from"] != now["coverage_from"],
+               "rating_full": was["rating_full"] != now["rating_full"],
+               "spread": F.abs(was["spread"] - now["spread"]) > 1e-9}
+    shown = lambda side, k: F.format_string("%.4f", side[k]) if k == "spread" else side[k].cast("string")
+    return F.array_compact(F.array(*[
+        F.when(differs[k], F.struct(F.lit(k).alias("part"), shown(was, k).alias("was"), shown(now, k).alias("now")))
+        for k in LADDER_PARTS]))
+
+
 def ladder_change(table: Column, was: Column, now: Column) -> Column:
-    """Wording of one changed rung; ``was`` is null for a new row."""
-    label = F.concat(table, F.lit(" — "), now["rating_full"])
-    bits = F.concat_ws(
-        ", ",
-        F.when(was["coverage_from"] != now["coverage_from"],
-               F.concat(F.lit("coverage ≥"), was["coverage_from"].cast("string"), F.lit(" → ≥"),
-                        now["coverage_from"].cast("string"))),
-        F.when(was["rating_full"] != now["rating_full"],
-               F.concat(F.lit("rating "), was["rating_full"], F.lit(" → "), now["rating_full"])),
-        F.when(F.abs(was["spread"] - now["spread"]) > 1e-9,
-               F.format_string("spread %.2f%% → %.2f%%", was["spread"] * 100, now["spread"] * 100)))
-    fresh = F.concat(F.lit(": new row (coverage ≥ "), now["coverage_from"].cast("string"),
-                     F.format_string(", spread %.2f%%)", now["spread"] * 100))
-    return F.concat(label, F.when(was.isNull(), fresh).otherwise(
-        F.concat(F.lit(": "), F.when(bits == "", F.lit("unchanged")).otherwise(bits))))
+    """One line for a changed rung, from its changed parts; ``was`` is null for a new rung."""
+    parts = F.transform(changed_parts(was, now), lambda x: F.concat(x["part"], F.lit(" "), x["was"], F.lit(" to "), x["now"]))
+    what = F.when(was.isNull(), F.lit("added")).when(F.size(parts) == 0, F.lit("same")).otherwise(F.array_join(parts, "; "))
+    return F.concat_ws(" | ", table, now["rating_full"], what)

@@ -9,7 +9,6 @@ from accountloom import spec
 from accountloom.functions import numbers, ordered, text
 
 SHEET = ["file", "sheet"]
-MAX_ROWS = 400
 
 
 # -- sheets found by content -------------------------------------------------------
@@ -41,8 +40,7 @@ def sheet_columns(cells: DataFrame, words: tuple[str, ...],
     Header and columns are found by content.  One pass finds the columns, one groups the
     data cells by row; both are combined aggregations.
     """
-    top = cells.where(F.col("row") < MAX_ROWS)
-    headed = top.join(header_rows(top, words), SHEET)
+    headed = cells.join(header_rows(cells, words), SHEET)
     at = headed.where(F.col("row") == F.col("header")).groupBy(*SHEET).agg(
         F.coalesce(F.min(F.when(heading(name_words), F.col("col"))), F.lit(0)).alias("c_name"),
         *[F.min(F.when(heading(inc, exc), F.col("col"))).alias(f"c_{k}") for k, (inc, exc) in wanted.items()])
@@ -90,7 +88,7 @@ def percent_guard(countries: DataFrame, values: list[str]) -> DataFrame:
     over = F.greatest(*[F.coalesce(v, F.lit(0.0)) for v in values])
     flag = countries.agg(F.max(over).alias("top")).where(F.coalesce("top", F.lit(0.0)) <= 1) \
         .select(F.lit(1).alias("_one"))
-    return countries.withColumn("_one", F.lit(1)).join(flag, "_one", "left_semi").drop("_one")
+    return countries.withColumn("_one", F.lit(1)).join(F.broadcast(flag), "_one", "left_semi").drop("_one")  # one row
 
 
 def industry_rows(cells: DataFrame) -> DataFrame:
@@ -181,12 +179,33 @@ def ladder_from_html(pages: DataFrame, key: str = "page_id", html: str = "html")
                         "rating_full", "spread")
 
 
+# Named marks that occur in rating tables, with their characters.
+NAMED_ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "\u2013", "mdash": "\u2014", "minus": "\u2212",
+    "le": "\u2264", "ge": "\u2265", "plusmn": "\u00b1", "times": "\u00d7", "middot": "\u00b7", "hellip": "\u2026",
+    "thinsp": "\u2009", "ensp": "\u2002", "emsp": "\u2003", "shy": "\u00ad", "euro": "\u20ac", "pound": "\u00a3",
+    "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "amp": "&"}
+
+
 def _unescape(c: Column) -> Column:
-    """The entities rating tables use; the ampersand last."""
-    for mark, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                       ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(mark), F.lit(char))
-    return c
+    """Entities as characters: by decimal or hexadecimal number, or by name; each is read once.
+
+    The text is cut before every ampersand, and the mark that a part begins with is replaced.
+    """
+    names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+
+    def part(x: Column) -> Column:
+        mark = F.regexp_extract(x, r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);", 1)
+        code = F.when(mark.rlike("^#[xX]"), F.conv(F.substring(mark, 3, 6), 16, 10)) \
+            .when(mark.startswith("#"), F.substring(mark, 2, 7)).try_cast("int")
+        # From four UTF-32 bytes, so that numbers above 255 are characters, too.
+        char = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(
+            F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        known = F.coalesce(F.when(code == 160, F.lit(" ")), char, names[mark])
+        return F.when((mark != "") & known.isNotNull(),
+                      F.concat(known, F.substr(x, F.length(mark) + 3))).otherwise(x)
+
+    return F.array_join(F.transform(F.split(c, "(?=&)"), part), "")
 
 
 def accepted_ladders(rungs: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
@@ -265,13 +284,16 @@ def parse_replies(lines: DataFrame, column: str = "line") -> DataFrame:
         *[c for c in lines.columns if c != column], "reply.key", "reply.answer")
 
 
-def match_replies(replies: DataFrame, open_companies: DataFrame, industries: DataFrame) -> DataFrame:
+def match_replies(replies: DataFrame, open_companies: DataFrame, industries: DataFrame,
+                  letters: int = 6) -> DataFrame:
     """Every reply with its company, its outcome and a suggestion for unknown answers.
 
     The key is matched on the ticker without case first, then on the entity code.  Where
-    several open companies share a ticker the last one by entity code answers.  A suggestion
-    is the first valid name that contains the first six letters of the answer; it is found
-    by an equi-join on the letter runs of the valid names, not by comparing all pairs.
+    several open companies share a ticker, the one with the smallest revenue answers, then the
+    first by entity code.  A suggestion is the first valid name that contains the first
+    ``letters`` letters of the answer: that is how the rule reads, and answers that agree in
+    them get the same suggestion.  It is found by an equi-join on the letter runs of the valid
+    names, not by comparing all pairs.
     """
     by_ticker = ordered.earliest(
         open_companies.select(F.upper("ticker").alias("t"), F.col("lei").alias("t_lei"), "revenue_m"),
@@ -283,7 +305,7 @@ def match_replies(replies: DataFrame, open_companies: DataFrame, industries: Dat
         .withColumn("lei", F.coalesce("t_lei", "l_lei")) \
         .join(valid, F.col("answer") == F.col("valid_name"), "left")
     starts = valid.select("valid_name", F.lower("valid_name").alias("low"))
-    runs = starts.select("valid_name", "low", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("width")) \
+    runs = starts.select("valid_name", "low", F.explode(F.sequence(F.lit(1), F.lit(letters))).alias("width")) \
         .where(F.length("low") >= F.col("width")) \
         .select("valid_name", F.explode(F.transform(
             F.sequence(F.lit(1), F.length("low") - F.col("width") + 1),
@@ -292,7 +314,7 @@ def match_replies(replies: DataFrame, open_companies: DataFrame, industries: Dat
     outcome = F.when(F.col("lei").isNull(), "unknown").when(F.col("valid_name").isNull(), "rejected") \
         .otherwise("stored")
     return matched.withColumn("outcome", outcome).withColumn(
-        "probe", F.when(F.col("outcome") == "rejected", F.substring(F.lower("answer"), 1, 6))) \
+        "probe", F.when(F.col("outcome") == "rejected", F.substring(F.lower("answer"), 1, letters))) \
         .join(suggestion, F.col("probe") == F.col("run"), "left") \
         .select(*replies.columns, "lei", "outcome", "suggestion")
 

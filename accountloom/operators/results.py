@@ -51,14 +51,14 @@ def suppression_report(results: DataFrame, policy: spec.Policy = spec.Policy())
     """Counts with their share of the undervalued and the remark that goes with them.
 
     The total rides along as a pseudo cell of the same aggregation, so the report needs no
-    second pass and no join of a scalar.
+    second pass; it is one row, which is broadcast.
     """
     under = results.where("qualifies_on_verdict").select(
         F.explode(F.array_append("suppressed_by", F.lit(""))).alias("cell"))
     counts = under.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     whole = counts.where(F.col("cell") == "").select(F.lit(1).alias("_k"), F.col("n").alias("undervalued"))
     share = F.col("n") / F.col("undervalued")
-    return counts.where(F.col("cell") != "").withColumn("_k", F.lit(1)).join(whole, "_k").select(
+    return counts.where(F.col("cell") != "").withColumn("_k", F.lit(1)).join(F.broadcast(whole), "_k").select(
         "cell", "n", share.alias("share"),
         numbers.suppression_tag(F.col("cell"), tuple(policy.graded), share).alias("remark"))
 
@@ -188,13 +188,19 @@ def results_sheet(results: DataFrame) -> DataFrame:
         "warnings": count("WARNING"), "notes": count("NOTE"), "fails": count("FAIL")}).select(*RESULT_SHEET)
 
 
-PUBLIC_DROPS = ("current_price", "price", "value_per_share", "trigger_price", "watch_price",
-                "entry_price", "fair_band_low", "fair_band_high")
+# What may be published.  No quoted price, no value per share, and nothing from
+# which one follows (units are a stake divided by the entry price).
+PUBLIC_COLUMNS = (
+    "lei", "ticker", "name", "exchange", "country", "industry", "run_date", "verdict", "short_verdict", "flag",
+    "research_flag", "qualifies_on_verdict", "held_back_by", "suppressed_by", "upside", "current_upside", "wacc",
+    "implied_rating", "credit_table", "price_as_of", "price_age_days", "warnings", "notes", "fails", "why", "why_public",
+    "size_band", "sub_industry", "void", "finding", "blocking_checks", "entry_date", "exit_date", "exit_verdict",
+    "last_seen_date", "last_verdict", "status", "return_pct", "unvaluable", "missing_price", "n")
 
 
 def public_view(df: DataFrame) -> DataFrame:
-    """Without any quoted price or fair value; percentages stay."""
-    return df.drop(*[c for c in PUBLIC_DROPS if c in df.columns])
+    """Only the columns that may be published; percentages and verdicts are among them."""
+    return df.select(*[c for c in df.columns if c in PUBLIC_COLUMNS])
 
 
 def triggers(results: DataFrame, run_date: Column) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,7 @@ def local_session(app: str = "accountloom", cpus: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LOCAL_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.environ.get("SHARED_FOLDER", f"{tempfile.gettempdir()}/{app}-shared"))
         .getOrCreate()
     )
 
@@ -35,6 +39,19 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: set[str] = set()
+
+
+def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from ``source``, written once per application to the shared folder, read back."""
+    mark = hashlib.sha256(source.encode()).hexdigest()[:16]
+    path = f"{shared_folder(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{name}-{mark}"
+    if path not in _WRITTEN:
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN.add(path)
+    return spark.read.parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     context = df.sparkSession.sparkContext

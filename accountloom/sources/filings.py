@@ -50,17 +50,16 @@ def normalise_filings(raw: DataFrame, order: Column) -> DataFrame:
 
 
 def read_filing_index(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array per country file; a file that does not parse yields no rows.
+    """One JSON array per country file, read element by element; what does not parse yields no rows.
 
-    The record order of the archive decides ties later, so it is kept as (file, position).
+    A file is never split, so the row id ascends in it: the record order of the archive, which
+    decides ties later, is (file, row id).
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json") \
-        .select(F.col("_metadata.file_name").alias("file"), "value")
-    records = files.select(
-        "file", F.posexplode(F.from_json("value", T.ArrayType(RAW_FILING))).alias("pos", "r"))
-    raw = records.select("file", "pos", "r.*").withColumn(
-        "country", F.coalesce(text.blank_to_null(F.col("country")),
-                              F.regexp_replace("file", r"\.json$", "")))
+    records = spark.read.schema(RAW_FILING) \
+        .json(path, multiLine=True, mode="DROPMALFORMED", pathGlobFilter="*.json")
+    raw = records.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("pos")) \
+        .withColumn("country", F.coalesce(text.blank_to_null(F.col("country")),
+                                          F.regexp_replace("file", r"\.json$", "")))
     return normalise_filings(raw, F.struct("file", "pos"))
 
 

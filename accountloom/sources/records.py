@@ -26,9 +26,11 @@ def read_ladder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rate_series(spark: SparkSession, path: str) -> DataFrame:
-    """Observations of a rate file in file order."""
+    """Observations of rate files; ``ord`` orders them by file name, block and line."""
     rows = spark.read.csv(path, header=True)
-    return rows.select("OBS_VALUE", "TIME_PERIOD", F.monotonically_increasing_id().alias("ord"))
+    return rows.select("OBS_VALUE", "TIME_PERIOD", F.struct(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line")).alias("ord"))
 
 
 CELLS = T.StructType([

@@ -295,10 +295,10 @@ def test_ladder_diff_and_shape(spark, tmp_path):
     now = parameters.stored_ladder(spark)
     was = now.withColumn("spread", F.when((F.col("table") == "LARGE") & (F.col("row") == 3), 0.16).otherwise(F.col("spread")))
     changes = parameters.ladder_diff(was, now).collect()
-    assert len(changes) == 1 and changes[0].text == "LARGE — Caa/CCC: spread 16.00% → 8.85%"
+    assert len(changes) == 1 and changes[0].text == "LARGE | Caa/CCC | spread 0.1600 to 0.0885"
     assert parameters.ladder_diff(now, now).count() == 0
     short = was.where("not (table = 'SMALL' and row = 14)")
-    assert any("new row" in r.text for r in parameters.ladder_diff(short, now).collect())
+    assert any(r.text.endswith("added") for r in parameters.ladder_diff(short, now).collect())
     assert parameters.ladder_shape_problems(now).count() == 0
     swapped = now.withColumn("row", F.when(F.col("row") == 1, 2).when(F.col("row") == 2, 1).otherwise(F.col("row")))
     assert {r.problem for r in parameters.ladder_shape_problems(swapped.union(now.limit(1))).collect()} >= {"thresholds are not ascending"}
@@ -331,3 +331,27 @@ def test_classification(spark):
     assert out == {("bre", "Auto Parts"): ("L2", "stored", None), ("L1", "auto part"): ("L1", "rejected", "Auto Parts"),
                    ("???", "Auto Parts"): (None, "unknown", None), ("BRE", "Auto"): ("L2", "rejected", "Auto & Truck")}
     assert [r.ticker for r in parameters.excluded_type_audit(mapping, companies).collect()] == ["X"]
+
+
+def test_entities_in_ladder_cells(spark):
+    marks = {"&#160;": " ", "&#xA0;": " ", "&nbsp;": " ", "&#65;": "A", "&#x2014;": "\u2014", "&ndash;": "\u2013", "&amp;lt;": "&lt;",
+             "&unknown;": "&unknown;", "&": "&", "a&lt;b&gt;c": "a<b>c", "&#8364;5": "\u20ac5"}
+    rows = spark.createDataFrame([(k, v) for k, v in marks.items()], "raw string, want string")
+    got = rows.select("raw", "want", parameters._unescape(F.col("raw")).alias("got")).collect()
+    assert all(r.got == r.want for r in got), [(r.raw, r.got) for r in got if r.got != r.want]
+
+
+def test_sheet_rows_far_down_are_read(spark):
+    cells = [("f", "s", 900, 0, "Country", None), ("f", "s", 900, 1, "Country Risk Premium", None),
+             ("f", "s", 5000, 0, "Norway", None), ("f", "s", 5000, 1, None, 0.02)]
+    df = spark.createDataFrame(cells, "file string, sheet string, row int, col int, text string, number double")
+    out = parameters.sheet_columns(df, ("country", "country risk premium"), {"crp": (("country risk premium",), ())}, ("country",))
+    assert [(r["row"], r.name, r.crp) for r in out.collect()] == [(5000, "Norway", 0.02)]
+
+
+def test_rates_of_several_files_keep_file_order(spark, tmp_path):
+    from accountloom.sources import records
+    for name, rows in (("b.csv", "2024-02,3.0\n2024-03,4.0\n"), ("a.csv", "2023-12,1.0\n2024-01,2.0\n")):
+        (tmp_path / name).write_text("TIME_PERIOD,OBS_VALUE\n" + rows)
+    last = parameters.riskfree_from_series(records.read_rate_series(spark, str(tmp_path))).first()
+    assert (last.as_of, last.value) == ("2024-03", 0.04)

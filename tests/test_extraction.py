@@ -165,8 +165,8 @@ def test_status_and_blocks(rows):
     status = {k: r.status for k, r in rows.items()}
     assert status["base"] == "complete" and status["unknown_ebit"] == "partial" and status["extension_ebit"] == "complete"
     assert status["debt_no_interest"] == "partial" and not rows["debt_no_interest"].missing_required
-    assert rows["debt_no_interest"].blocked == ["interest expense assumed zero despite 200,000,000 of debt"]
-    assert rows["interest_no_debt"].blocked[0].startswith("pays 5,000,000 of interest with no debt found")
+    assert rows["debt_no_interest"].blocked == ["debt of 200,000,000 without an interest line"]
+    assert rows["interest_no_debt"].blocked[0]== "interest of 5,000,000 without any debt line"
     assert rows["unknown_ebit"].missing_required == ["ebit"]
 
 

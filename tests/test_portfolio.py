@@ -87,18 +87,19 @@ def test_events_match_a_replay(spark, seed):
     assert got == replay(runs, quotes)
 
 
-def test_stream_matches_a_replay_over_several_batches(spark, tmp_path):
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 3, 0, 2)])
+def test_stream_matches_a_replay_over_several_batches(spark, tmp_path, order):
     runs, quotes = history(7, companies=12, days=40)
-    run_days = sorted({r[0] for r in runs})
-    rows = daily.position_input(spark.createDataFrame(runs, RUN), spark.createDataFrame(quotes, QUOTE), run_days).cache()
+    rows = daily.position_input(spark.createDataFrame(runs, RUN), spark.createDataFrame(quotes, QUOTE)).cache()
     out, mark = str(tmp_path / "events"), str(tmp_path / "mark")
     first = (DAY0 - date(1970, 1, 1)).days
-    for part in range(4):
+    for part in order:
         inside = (F.col("day") >= first + part * 10) & (F.col("day") < first + part * 10 + 10)
         rows.where(inside).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
         stream = daily.position_stream(daily.read_stream(spark, str(tmp_path / "rows"), rows.schema))
         daily.run_available(stream, out, mark).awaitTermination()
-    got = sorted((r.lei, r.day, r.side, r.event, r.price) for r in spark.read.schema(daily.EVENTS).parquet(out).collect())
+    events = daily.standing_events(spark.read.schema(daily.EVENTS).parquet(out))
+    got = sorted((r.lei, r.day, r.side, r.event, r.price) for r in events.collect())
     assert got == replay(runs, quotes)
 
 
@@ -116,6 +117,21 @@ def test_price_store_keeps_corrections_and_late_quotes(spark, tmp_path):
     assert got == {("a", date(2024, 1, 1)): (11.0, False), ("a", date(2023, 11, 1)): (9.0, True)}
 
 
+def test_fresh_quotes_take_the_newest_fetch(spark, tmp_path):
+    from datetime import datetime
+    schema = "lei string, as_of date, fetched_at timestamp, price double, currency string, status string"
+    path, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    batches = [[("a", date(2024, 1, 20), datetime(2024, 1, 20), 10.0, "EUR", "ok"), ("a", date(2024, 1, 19), datetime(2024, 1, 20), 8.0, "EUR", "ok")],
+               [("a", date(2024, 1, 20), datetime(2024, 1, 21), 11.0, "EUR", "ok"), ("a", date(2024, 1, 19), datetime(2024, 1, 19), 7.0, "EUR", "ok")],
+               [("a", date(2024, 1, 2), datetime(2024, 1, 22), 9.0, "EUR", "ok")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = daily.read_stream(spark, path, spark.createDataFrame([], schema).schema)
+        daily.store_fresh(daily.fresh_stream(stream, F.lit("2024-01-22").cast("date")), out, mark).awaitTermination()
+    got = {(r.lei, r.as_of): r.price for r in daily.stored_prices(spark, out).collect()}
+    assert got == {("a", date(2024, 1, 20)): 11.0, ("a", date(2024, 1, 19)): 8.0}   # the last is over a week late
+
+
 def test_round_trips(spark):
     runs, quotes = history(5)
     events = replay(runs, quotes)

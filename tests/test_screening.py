@@ -118,7 +118,8 @@ def test_run_values_only_eligible_companies(run):
 def test_run_is_published_without_prices(run, tmp_path, spark):
     valued, skipped = run
     public = results.public_view(results.with_labels(valued))
-    assert not set(public.columns) & set(results.PUBLIC_DROPS)
+    assert not any(word in c for c in public.columns for word in ("price", "value", "units", "band_low", "band_high")
+                   if c not in ("price_as_of", "price_age_days", "unvaluable"))
     assert len(results.results_sheet(valued).columns) == 19
     sinks.write_records(results.sidecars(valued, F.lit("r")), str(tmp_path / "cars"))
     assert json.loads(spark.read.text(str(tmp_path / "cars")).first().value)["company"]["lei"] == "A"
@@ -181,7 +182,7 @@ def test_reminders(spark, today, industries, keys):
 def test_alerts_are_sorted(spark):
     h = health.stage_health(stages(spark, prices=date(2026, 2, 20), extract=False, tables=date(2024, 12, 1)), F.lit(date(2026, 3, 4)))
     rows = health.alerts(h, health.calendar_reminders(h, date(2026, 3, 4), F.lit(date(2026, 1, 1)))).collect()
-    assert [r.health for r in rows][:2] == ["blocking", "missing"] and rows[1].message == "has never been run"
+    assert [r.health for r in rows][:2] == ["blocking", "missing"] and rows[1].message == "no run on record"
 
 
 def test_fingerprints(spark, tmp_path):
