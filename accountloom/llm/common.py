@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
-PIECE = 4 << 20
+PIECE = 2 << 20
 """Bytes of text that are turned into word arrays together; one longer text is taken alone."""
 
 _P = 0x9E3779B97F4A7C15 | 1
@@ -196,7 +196,7 @@ def prepare(spark: SparkSession) -> None:
     The package goes to the executors as a zip file, once per application. Batches are bounded in
     bytes, whatever the length of the texts.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
