@@ -8,8 +8,8 @@ from accountloom import spec
 from accountloom.bindings.base import pick, sql_list, table
 from accountloom.functions import numbers, text
 from accountloom.operators import health, identity, parameters, policy, shares, store
-from accountloom.session import stored
-from accountloom.sources import quotes
+from accountloom.session import stored, work_path
+from accountloom.sources import quotes, records
 
 QUERIES, ORACLE = {}, {}
 TODAY = "2024-01-31"
@@ -154,13 +154,27 @@ def venue_codes(spark, d):
     return identity.add_venue_codes(_instruments(spark, d)).select("ord", "mic", "quote_suffix")
 
 
-@query(f"""WITH {_INSTRUMENT_SQL}, k AS (SELECT *, coalesce(CASE WHEN ord % 3 > 0 THEN 'F' || (ord % 4) END, isin || ':' || coalesce(exchange, '?')) AS f2 FROM ins)
-SELECT lei, f2 AS figi, isin FROM k QUALIFY row_number() OVER (PARTITION BY lei, f2 ORDER BY ord DESC) = 1""")
+@query(f"""WITH {_INSTRUMENT_SQL}, k AS (SELECT *,
+  coalesce(CASE WHEN ord % 3 > 0 THEN 'F' || (ord % 4) END, isin || ':' || coalesce(exchange, '?')) AS f2
+  FROM ins WHERE o_custkey % 3 > 0),
+new AS (SELECT lei, f2 AS figi, isin FROM k QUALIFY row_number() OVER (PARTITION BY lei, f2 ORDER BY ord DESC) = 1)
+SELECT * FROM new UNION ALL SELECT lei, 'S' || ord, isin FROM ins WHERE o_custkey % 3 = 0""")
 def replaced_listings(spark, d):
     ins = _instruments(spark, d).withColumn("figi", F.when(F.col("ord") % 3 > 0, F.concat(
         F.lit("F"), (F.col("ord") % 4).cast("string"))))
-    stored = ins.where(F.lit(False)).select("lei", "figi", "isin")
-    return store.replace_listings(stored, ins, [F.col("ord")])
+    stored = ins.select("lei", F.concat(F.lit("S"), F.col("ord")).alias("figi"), "isin")
+    incoming = ins.where(F.substring("lei", 2, 20).cast("bigint") % 3 > 0)
+    return store.replace_listings(stored, incoming, [F.col("ord")])
+
+
+@query("SELECT round(arg_max(value, event_id) / 100, 8) AS value, arg_max(ts::DATE, event_id)::VARCHAR AS as_of, 'ok' AS status FROM events")
+def riskfree_from_files(spark, d):
+    """The last observation of rate files that Spark has written in id order, read back by the reader."""
+    path = work_path(spark, "rates")
+    table(spark, d, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(
+        F.col("value").cast("string").alias("OBS_VALUE"), F.to_date("ts").cast("string").alias("TIME_PERIOD")) \
+        .write.csv(path, header=True)
+    return parameters.riskfree_from_series(records.read_rate_series(spark, path)).withColumn("value", F.round("value", 8))
 
 
 # -- quotes: events, entities are users ------------------------------------------------

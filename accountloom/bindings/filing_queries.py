@@ -11,8 +11,8 @@ from accountloom.bindings.base import (
 from accountloom.functions import text
 from accountloom.operators import coverage, extraction, store
 from accountloom.plans import screening
-from accountloom.session import stored
-from accountloom.sources import filings
+from accountloom.session import stored, work_path
+from accountloom.sources import filings, sinks
 
 QUERIES, ORACLE = {}, {}
 KEYS = extraction.KEYS
@@ -102,6 +102,14 @@ def coverage_report(spark, d):
     return coverage.coverage_report(_coverage(spark, d), YEARS)
 
 
+@query(f"WITH {FILINGS_SQL} SELECT lei, name, country, years_held::INT AS years_held FROM done WHERE years_held = 5")
+def universe_from_report(spark, d):
+    """The written coverage report read back as the universe of complete entities."""
+    path = work_path(spark, "coverage")
+    sinks.write_report(coverage.coverage_report(_coverage(spark, d), YEARS), path)
+    return filings.read_universe(spark, path).select("lei", "name", "country", "years_held")
+
+
 @query(f"""WITH {FILINGS_SQL}, u AS (SELECT list_contains(years, 2001) AS nxt FROM done WHERE years_held = 5)
 SELECT 2001 AS next_year, count(*) FILTER (nxt) AS filed, count(*) AS universe,
 (count(*) FILTER (nxt)) / count(*) AS share, (count(*) FILTER (nxt)) / count(*) >= 0.8 AS rolls FROM u""")
@@ -291,6 +299,13 @@ def unresolved_capex_years(spark, d):
     return store.unresolved_company_years(*_store(spark, d), "capex")
 
 
+@query(f"""WITH {EXTRACT_SQL} SELECT h.lei, h.fiscal_year FROM headers h LEFT JOIN fact f
+ON (h.lei, h.fiscal_year) = (f.lei, f.fiscal_year) AND f.field = 'revenue' WHERE h.status <> 'failed' AND f.value IS NULL""")
+def unresolved_revenue_years(spark, d):
+    """A line that does have gaps."""
+    return store.unresolved_company_years(*_store(spark, d), "revenue")
+
+
 @query(f"""WITH {EXTRACT_SQL} SELECT h.lei, h.fiscal_year, k.field, f.value IS NOT NULL AS resolved
 FROM headers h CROSS JOIN (SELECT unnest({sql_list(spec.LINE_ITEM_KEYS)}) AS field) k
 LEFT JOIN fact f ON (h.lei, h.fiscal_year, k.field) = (f.lei, f.fiscal_year, f.field) WHERE h.status <> 'failed'""")
