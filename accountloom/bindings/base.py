@@ -246,14 +246,16 @@ open_lines AS (
          CASE WHEN t1.value IS NOT NULL THEN (CASE WHEN t1.ifrs THEN 'reported' ELSE 'extension' END)
               WHEN t2.value IS NOT NULL THEN (CASE WHEN t2.ifrs THEN 'summed' ELSE 'extension' END)
               WHEN t3.value IS NOT NULL THEN 'extension' END AS derivation,
-         CASE WHEN t1.value IS NOT NULL THEN t1.concept WHEN t2.value IS NOT NULL THEN NULL ELSE t3.concept END AS element,
+         CASE WHEN t1.value IS NOT NULL THEN t1.concept WHEN t2.value IS NOT NULL THEN NULL
+  ELSE t3.concept END AS element,
          CASE WHEN t1.value IS NULL AND t2.value IS NOT NULL THEN t2.parts ELSE '' END AS parts
   FROM period p CROSS JOIN (SELECT unnest({sql_list(spec.LINE_ITEM_KEYS)}) AS field) k
   LEFT JOIN tier1 t1 ON (p.lei, p.fy, k.field) = (t1.lei, t1.fy, t1.field)
   LEFT JOIN tier2 t2 ON (p.lei, p.fy, k.field) = (t2.lei, t2.fy, t2.field)
   LEFT JOIN tier3 t3 ON (p.lei, p.fy, k.field) = (t3.lei, t3.fy, t3.field)),
 signed AS (
-  SELECT *, CASE WHEN field IN ('depreciation_amortisation', 'interest_expense', 'capex') THEN abs(v0) ELSE v0 END AS value,
+  SELECT *, CASE WHEN field IN ('depreciation_amortisation', 'interest_expense', 'capex') THEN abs(v0)
+  ELSE v0 END AS value,
          coalesce(field IN ('depreciation_amortisation', 'interest_expense', 'capex') AND v0 < 0, false) AS flipped
   FROM open_lines),
 named AS (
@@ -307,14 +309,16 @@ fact AS (
       WHEN 'total_current_assets' THEN h.total_current_assets
       WHEN 'total_current_liabilities' THEN h.total_current_liabilities
       WHEN 'long_term_debt' THEN coalesce(h.long_term_debt, 0)
-      ELSE coalesce(s.value, CASE WHEN s.field IN ({", ".join(f"'{k}'" for k in spec.OPTIONAL_KEYS)}) THEN 0 END) END AS value,
+      ELSE coalesce(s.value, CASE WHEN s.field IN ({", ".join(f"'{k}'" for k in spec.OPTIONAL_KEYS)})
+  THEN 0 END) END AS value,
     CASE WHEN s.field = 'net_income' AND open_ni AND h.net_income IS NOT NULL THEN 'computed'
       WHEN s.field = 'pretax_income' AND open_pt AND h.pretax_income IS NOT NULL THEN 'computed'
       WHEN s.field = 'total_current_assets' AND open_ca AND h.total_current_assets IS NOT NULL THEN 'computed'
       WHEN s.field = 'total_current_liabilities' AND open_cl AND h.total_current_liabilities IS NOT NULL THEN 'computed'
       WHEN s.field = 'long_term_debt' AND open_debt AND h.long_term_debt IS NOT NULL THEN 'debt_proxy'
       WHEN s.derivation IS NOT NULL THEN s.derivation
-      WHEN s.field IN ({", ".join(f"'{k}'" for k in spec.OPTIONAL_KEYS)}) THEN 'assumed_zero' ELSE 'reported' END AS derivation,
+      WHEN s.field IN ({", ".join(f"'{k}'" for k in spec.OPTIONAL_KEYS)}) THEN 'assumed_zero'
+  ELSE 'reported' END AS derivation,
     CASE WHEN s.field = 'net_income' AND open_ni THEN h.profit_c
       WHEN s.field = 'pretax_income' AND open_pt AND h.pretax_income IS NOT NULL THEN h.profit_c
       WHEN s.field = 'total_current_assets' AND open_ca AND h.total_current_assets IS NOT NULL THEN h.nca_c

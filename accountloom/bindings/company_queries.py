@@ -63,8 +63,10 @@ ins AS (SELECT 'C' || o_custkey AS lei, o_custkey, c_name AS name, {sql_list(spe
   FROM orders JOIN customer ON o_custkey = c_custkey),
 lines AS (SELECT *, CASE country {" ".join(f"WHEN '{c}' THEN exchange IN ({', '.join(repr(x) for x in v)})" for c, v in spec.HOME_VENUES.items())} END AS home
   FROM ins WHERE equity AND security_type <> 'Warrant'),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lei, by_name ORDER BY NOT home, coalesce(ticker, '') SIMILAR TO '[0-9].*',
-  coalesce(ticker, '') LIKE '%EUR', lower(security_type) NOT LIKE '%common%', length(coalesce(ticker, '')), coalesce(ticker, ''), ord) AS r
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lei, by_name ORDER BY NOT home,
+  coalesce(ticker, '') SIMILAR TO '[0-9].*',
+  coalesce(ticker, '') LIKE '%EUR', lower(security_type) NOT LIKE '%common%', length(coalesce(ticker, '')),
+  coalesce(ticker, ''), ord) AS r
   FROM lines WHERE exchange IN {tuple(identity.VENUES)} AND NOT (exchange IN ('GY', 'GR') AND NOT home)
   AND (NOT by_name OR ticker IS NOT NULL))"""
 
@@ -101,7 +103,8 @@ _RESOLVE_SQL = f"""{_INSTRUMENT_SQL},
 decided AS (SELECT 'C' || c_custkey AS lei, c_name AS name, {sql_list(spec.EURO_AREA)}[c_nationkey % 20 + 1] AS country,
     c_custkey % 50 = 2 AS pending, p.ord AS p_ord, p.ticker AS p_ticker, p.exchange AS p_exchange, p.home AS p_home,
     n.ord AS n_ord, n.ticker AS n_ticker, n.exchange AS n_exchange, n.home AS n_home,
-    CASE WHEN c_custkey % 50 = 0 THEN 'excluded' WHEN c_custkey % 50 = 1 THEN 'manual' WHEN p.lei IS NOT NULL THEN 'isin'
+    CASE WHEN c_custkey % 50 = 0 THEN 'excluded' WHEN c_custkey % 50 = 1 THEN 'manual' WHEN p.lei IS NOT NULL
+  THEN 'isin'
          WHEN n.lei IS NOT NULL THEN 'name' ELSE 'none' END AS route,
     (SELECT count(*) FROM lines l WHERE l.lei = 'C' || c_custkey AND NOT by_name) AS n_lines,
     (SELECT count(*) FROM ins i WHERE i.lei = 'C' || c_custkey AND NOT by_name) AS n_isins
@@ -111,7 +114,8 @@ outcomes AS (SELECT lei, name, country, route, pending,
     CASE route WHEN 'excluded' THEN 'excluded_manually' WHEN 'manual' THEN 'manual'
       WHEN 'isin' THEN CASE WHEN p_home THEN 'domicile' ELSE 'cross_listing_risk' END
       WHEN 'name' THEN CASE WHEN n_home THEN 'domicile' ELSE 'cross_listing_risk' END
-      ELSE CASE WHEN n_lines > 0 THEN 'no_home_listing' WHEN n_isins > 0 THEN 'debt_only' ELSE 'unresolved' END END AS outcome,
+      ELSE CASE WHEN n_lines > 0 THEN 'no_home_listing' WHEN n_isins > 0 THEN 'debt_only'
+  ELSE 'unresolved' END END AS outcome,
     CASE route WHEN 'manual' THEN 'OVR' WHEN 'isin' THEN p_ticker WHEN 'name' THEN n_ticker END AS ticker,
     CASE route WHEN 'manual' THEN 'FP' WHEN 'isin' THEN p_exchange WHEN 'name' THEN n_exchange END AS exchange
   FROM decided)"""
@@ -122,10 +126,13 @@ def listing_outcomes(spark, d):
     return _resolved(spark, d)[1]
 
 
-@query(f"""WITH {_RESOLVE_SQL} SELECT lei, 'MANUAL:' || lei AS isin, true AS is_primary, 'manual' AS confidence FROM decided WHERE route = 'manual'
-UNION ALL SELECT l.lei, isin, coalesce(l.ord = p_ord, false), CASE WHEN coalesce(l.ord = p_ord, false) AND NOT p_home THEN 'isin+non_domicile' ELSE 'isin' END
+@query(f"""WITH {_RESOLVE_SQL} SELECT lei, 'MANUAL:' || lei AS isin, true AS is_primary, 'manual' AS confidence FROM decided
+  WHERE route = 'manual'
+UNION ALL SELECT l.lei, isin, coalesce(l.ord = p_ord, false), CASE WHEN coalesce(l.ord = p_ord, false) AND NOT p_home
+  THEN 'isin+non_domicile' ELSE 'isin' END
 FROM lines l JOIN decided d ON l.lei = d.lei WHERE NOT by_name AND route IN ('isin', 'none')
-UNION ALL SELECT l.lei, isin, l.ord = n_ord, CASE WHEN l.ord = n_ord AND NOT n_home THEN 'name+non_domicile' ELSE 'name' END
+UNION ALL SELECT l.lei, isin, l.ord = n_ord, CASE WHEN l.ord = n_ord AND NOT n_home THEN 'name+non_domicile'
+  ELSE 'name' END
 FROM lines l JOIN decided d ON l.lei = d.lei WHERE by_name AND l.ticker IS NOT NULL AND route = 'name'""")
 def resolved_listings(spark, d):
     return _resolved(spark, d)[0].select("lei", "isin", "is_primary", "confidence")
@@ -136,8 +143,10 @@ def listing_outcome_counts(spark, d):
     return identity.outcome_counts(_resolved(spark, d)[1])
 
 
-@query(f"""WITH {_RESOLVE_SQL} SELECT 'C' || c_custkey AS lei, 'OVR' AS ticker, false AS is_new FROM customer WHERE c_mktsegment = 'MACHINERY'
-UNION ALL SELECT lei, ticker, true FROM outcomes WHERE outcome IN ('cross_listing_risk', 'domicile') AND (outcome <> 'domicile' OR pending)
+@query(f"""WITH {_RESOLVE_SQL} SELECT 'C' || c_custkey AS lei, 'OVR' AS ticker, false AS is_new FROM customer
+  WHERE c_mktsegment = 'MACHINERY'
+UNION ALL SELECT lei, ticker, true FROM outcomes WHERE outcome IN ('cross_listing_risk', 'domicile')
+  AND (outcome <> 'domicile' OR pending)
 AND lei NOT IN (SELECT 'C' || c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""")
 def review_stub(spark, d):
     k = F.col("c_custkey")
@@ -189,7 +198,8 @@ def _quotes(spark, d):
 
 
 _QUOTE_SQL = f"""q AS (SELECT 'U' || user_id AS lei, ts::DATE AS as_of, ts AS seen, event_id,
-  CASE WHEN event_id % 29 = 0 THEN 0 ELSE value END AS price, CASE event_type WHEN 'signup' THEN 'USD' ELSE 'EUR' END AS currency,
+  CASE WHEN event_id % 29 = 0 THEN 0 ELSE value END AS price, CASE event_type WHEN 'signup' THEN 'USD'
+  ELSE 'EUR' END AS currency,
   CASE WHEN event_id % 31 = 0 THEN 'HTTP 404' ELSE 'ok' END AS status FROM events),
 g AS (SELECT *, CASE WHEN status <> 'ok' THEN 'fetch_failed' WHEN currency <> 'EUR' THEN 'wrong_currency'
   WHEN price <= 0 THEN 'zero_price' ELSE 'ok' END AS outcome, DATE '{TODAY}' - as_of > 7 AS old FROM q),
@@ -254,8 +264,10 @@ def single_quotes(spark, d):
     return quotes.single_quotes(e.select(F.concat(F.lit("U"), "user_id").alias("lei"), body.alias("body")), _today())
 
 
-@query("""SELECT 'U' || user_id AS lei, arg_max(value, event_id) AS price, arg_max(CASE event_type WHEN 'signup' THEN 'USD' ELSE 'EUR' END, event_id) AS currency,
-arg_max(CASE WHEN event_type = 'click' THEN DATE '2024-01-31' ELSE ts::DATE END, event_id) AS as_of FROM events GROUP BY user_id""")
+@query("""SELECT 'U' || user_id AS lei, arg_max(value, event_id) AS price, arg_max(CASE event_type WHEN 'signup' THEN 'USD'
+  ELSE 'EUR' END, event_id) AS currency,
+arg_max(CASE WHEN event_type = 'click' THEN DATE '2024-01-31' ELSE ts::DATE END, event_id) AS as_of FROM events
+  GROUP BY user_id""")
 def price_file_rows(spark, d):
     e = table(spark, d, "events")
     raw = e.select(
@@ -299,10 +311,12 @@ def _share_rows(spark, d):
 
 
 _SHARE_SQL = """s AS (SELECT 'O' || o_orderkey AS lei, o_orderkey AS k, 'N' || o_orderkey AS name, o_orderkey % 23 > 0 AS listed,
-  CASE WHEN o_orderkey % 19 > 0 THEN o_totalprice / 1000 END AS price, CASE WHEN o_orderkey % 21 > 0 THEN o_totalprice * 1000 END AS revenue,
+  CASE WHEN o_orderkey % 19 > 0 THEN o_totalprice / 1000 END AS price, CASE WHEN o_orderkey % 21 > 0
+  THEN o_totalprice * 1000 END AS revenue,
   CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 1000 - 20) * 40000.5::DOUBLE END AS wavg_diluted, (o_orderkey % 900) * 30000.0::DOUBLE AS wavg_basic,
   CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 1000 - 20) * 40000.0::DOUBLE END AS current_shares,
-  CASE WHEN o_orderkey % 4 = 0 THEN (CASE WHEN o_orderkey % 8 = 0 THEN 'manual' ELSE 'eps-derived' END) END AS current_source FROM orders),
+  CASE WHEN o_orderkey % 4 = 0 THEN (CASE WHEN o_orderkey % 8 = 0 THEN 'manual'
+  ELSE 'eps-derived' END) END AS current_source FROM orders),
 w AS (SELECT *, coalesce(nullif(wavg_diluted, 0), wavg_basic) AS derived,
   coalesce(derived > 0 AND price * derived / revenue BETWEEN 0.05 AND 30, false) AS good FROM s WHERE listed)"""
 
@@ -341,9 +355,11 @@ def _imports(spark, d):
 
 
 _IMPORT_SQL = f"""{_SHARE_SQL}, i AS (SELECT *, coalesce(nullif(wavg_diluted, 0), wavg_basic) AS derived,
-  CASE WHEN k % 12 = 2 THEN -5 WHEN k % 12 IN (3, 4, 5) THEN (k % 1000 - 20) * 40000 WHEN k % 12 > 5 THEN (k % 1000) * 38000 END::DOUBLE AS n,
+  CASE WHEN k % 12 = 2 THEN -5 WHEN k % 12 IN (3, 4, 5) THEN (k % 1000 - 20) * 40000 WHEN k % 12 > 5
+  THEN (k % 1000) * 38000 END::DOUBLE AS n,
   CASE WHEN k % 12 = 3 THEN 'eps-derived' ELSE 'manual' END AS origin FROM s),
-r AS (SELECT lei, n, origin, CASE WHEN k % 12 = 0 THEN 'blank' WHEN k % 12 = 1 THEN 'not_a_number' WHEN n <= 0 THEN 'not_positive'
+r AS (SELECT lei, n, origin, CASE WHEN k % 12 = 0 THEN 'blank' WHEN k % 12 = 1 THEN 'not_a_number' WHEN n <= 0
+  THEN 'not_positive'
   WHEN coalesce(round(current_shares) = round(n) AND current_source = origin, false) THEN 'unchanged'
   WHEN NOT coalesce(price * n / revenue BETWEEN 0.05 AND 30, true) THEN 'out_of_band'
   WHEN derived > 0 AND abs(n - derived) / n > 0.05 THEN 'stored_with_warning' ELSE 'stored' END AS outcome FROM i)"""
@@ -354,8 +370,10 @@ def share_import_outcomes(spark, d):
     return _imports(spark, d).select("lei", "outcome")
 
 
-@query(f"""WITH {_IMPORT_SQL} SELECT count(*) FILTER (outcome LIKE 'stored%') AS stored, count(*) FILTER (outcome = 'unchanged') AS unchanged,
-count(*) FILTER (outcome = 'blank') AS blank, count(*) FILTER (outcome IN ('not_a_number', 'not_positive', 'out_of_band')) AS rejected,
+@query(f"""WITH {_IMPORT_SQL} SELECT count(*) FILTER (outcome LIKE 'stored%') AS stored,
+  count(*) FILTER (outcome = 'unchanged') AS unchanged,
+count(*) FILTER (outcome = 'blank') AS blank,
+  count(*) FILTER (outcome IN ('not_a_number', 'not_positive', 'out_of_band')) AS rejected,
 count(*) FILTER (outcome = 'stored_with_warning') AS warned FROM r""")
 def share_import_counts(spark, d):
     return shares.import_counts(_imports(spark, d))
@@ -419,7 +437,8 @@ def _made_cells(spark, d):
 
 _COUNTRY_SQL = f"""per AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1),
 nat AS (SELECT n_nationkey AS k, {sql_list(_ALIASES)}[n_nationkey % {len(_ALIASES)} + 1] AS alias,
-  CASE WHEN n_nationkey % 6 = 0 THEN 0 ELSE n % 50 / 1000 END AS crp, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey % 30 / 100 END AS tax
+  CASE WHEN n_nationkey % 6 = 0 THEN 0 ELSE n % 50 / 1000 END AS crp, CASE WHEN n_nationkey % 5 > 0
+  THEN n_nationkey % 30 / 100 END AS tax
   FROM nation JOIN per ON n_nationkey = c_nationkey),
 coded AS (SELECT *, CASE alias {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in spec.COUNTRY_ALIASES.items())} END AS iso FROM nat)"""
 
@@ -437,16 +456,19 @@ def country_taxes(spark, d):
     return parameters.country_taxes(_cells(spark, d)).select("iso", F.round("tax_rate", 6).alias("tax_rate"))
 
 
-@query(f"""WITH {_COUNTRY_SQL}, m AS (SELECT iso, min(k) AS k0, arg_max(crp, k) AS crp FROM coded WHERE iso IS NOT NULL GROUP BY iso)
+@query(f"""WITH {_COUNTRY_SQL}, m AS (SELECT iso, min(k) AS k0, arg_max(crp, k) AS crp FROM coded WHERE iso IS NOT NULL
+  GROUP BY iso)
 SELECT round(arg_min(crp + 0.0433, k0), 6) AS mature_market_erp FROM m WHERE abs(crp) < 1e-9""")
 def mature_premium(spark, d):
     return parameters.mature_premium(parameters.country_premiums(_cells(spark, d))).select(
         F.round("mature_market_erp", 6).alias("mature_market_erp"))
 
 
-_INDUSTRY_SQL = """ind AS (SELECT p_brand AS name, regexp_extract(p_brand, '([0-9]+)', 1)::INT AS b, sum(p_size)::BIGINT AS size FROM part GROUP BY ALL),
+_INDUSTRY_SQL = """ind AS (SELECT p_brand AS name, regexp_extract(p_brand, '([0-9]+)', 1)::INT AS b, sum(p_size)::BIGINT AS size
+  FROM part GROUP BY ALL),
 merged AS (SELECT name, CASE WHEN b % 3 > 0 THEN round((size % 977) / 100, 6) END AS unlevered_beta,
-  CASE WHEN b % 4 > 0 THEN round((size % 977 + 1) / 100, 6) END AS roic, CASE WHEN b % 5 > 0 THEN round((size % 977 + 2) / 100, 6) END AS sales_to_capital,
+  CASE WHEN b % 4 > 0 THEN round((size % 977 + 1) / 100, 6) END AS roic, CASE WHEN b % 5 > 0 THEN
+  round((size % 977 + 2) / 100, 6) END AS sales_to_capital,
   CASE WHEN b % 6 > 0 THEN round((size % 977 + 3) / 100, 6) END AS ebit_margin FROM ind WHERE b <> 1),
 industries AS (SELECT * FROM merged WHERE coalesce(unlevered_beta, roic, sales_to_capital, ebit_margin) IS NOT NULL)"""
 
@@ -461,9 +483,11 @@ def industry_parameters(spark, d):
     return _industries(spark, d)
 
 
-@query(f"""WITH {_INDUSTRY_SQL}, old AS (SELECT p_type AS name, 1.0::DOUBLE AS unlevered_beta, 0.5::DOUBLE AS roic FROM part GROUP BY 1
+@query(f"""WITH {_INDUSTRY_SQL}, old AS (SELECT p_type AS name, 1.0::DOUBLE AS unlevered_beta, 0.5::DOUBLE AS roic FROM part
+  GROUP BY 1
 UNION ALL SELECT name, 7.0, 8.0 FROM ind)
-SELECT coalesce(o.name, n.name) AS name, coalesce(n.unlevered_beta, o.unlevered_beta) AS unlevered_beta, coalesce(n.roic, o.roic) AS roic,
+SELECT coalesce(o.name, n.name) AS name, coalesce(n.unlevered_beta, o.unlevered_beta) AS unlevered_beta,
+  coalesce(n.roic, o.roic) AS roic,
 CASE WHEN coalesce(n.unlevered_beta, n.roic) IS NOT NULL THEN 'sheet' ELSE o.src END AS source
 FROM (SELECT *, 'stored' AS src FROM old) o FULL JOIN industries n ON o.name = n.name""")
 def merged_industry_parameters(spark, d):
@@ -481,7 +505,8 @@ def parameter_completeness(spark, d):
     return parameters.parameter_completeness(_industries(spark, d), ["unlevered_beta", "roic"], "industries")
 
 
-@query("""SELECT CASE WHEN key = 'long_run_nominal_growth' THEN coalesce(max(value) FILTER (key = 'risk_free_rate') OVER (), value) ELSE value END AS value, key
+@query("""SELECT CASE WHEN key = 'long_run_nominal_growth' THEN
+  coalesce(max(value) FILTER (key = 'risk_free_rate') OVER (), value) ELSE value END AS value, key
 FROM (SELECT 'risk_free_rate' AS key, max(o_totalprice) / 1e7 AS value FROM orders UNION ALL
 SELECT 'long_run_nominal_growth', 0.5 UNION ALL SELECT 'mature_market_erp', min(o_totalprice) / 1e5 FROM orders)""")
 def growth_equals_riskfree(spark, d):
@@ -500,8 +525,10 @@ def riskfree_from_series(spark, d):
 
 
 @query("""SELECT 'B' || (63 + r_regionkey) AS cell, v AS expected, f AS found FROM (SELECT r_regionkey,
-[5, 5, 0.12, 0.4, 0.02][r_regionkey + 1]::DOUBLE AS v, [5, 6, 0.12, 0.41, NULL][r_regionkey + 1]::DOUBLE AS f FROM region)
-WHERE f IS NULL OR abs(f - v) > 1e-9 UNION ALL SELECT 'B' || k, e, NULL FROM (VALUES (68, 0.9::DOUBLE), (69, 1), (70, 0.005)) t(k, e)
+[5, 5, 0.12, 0.4, 0.02][r_regionkey + 1]::DOUBLE AS v, [5, 6, 0.12, 0.41, NULL][r_regionkey + 1]::DOUBLE AS f
+  FROM region)
+WHERE f IS NULL OR abs(f - v) > 1e-9 UNION ALL SELECT 'B' || k, e, NULL
+  FROM (VALUES (68, 0.9::DOUBLE), (69, 1), (70, 0.005)) t(k, e)
 UNION ALL SELECT 'B63+B64', 10, 11""")
 def drifted_constants(spark, d):
     rk = F.col("r_regionkey")
@@ -527,7 +554,8 @@ def _ladder_pages(spark, d):
 
 
 _LADDER_SQL = """rungs AS (SELECT page_id, (i + page_id % 7)::DOUBLE AS coverage_from, 'A' || i AS rating, 'R' || i || '/A' || i AS rating_full,
-  round_even(((20 - i) || '.' || (page_id % 90 + 10))::DOUBLE / 100, 4) AS spread, CASE WHEN page_id % 5 = 0 THEN 14 ELSE 15 END AS n
+  round_even(((20 - i) || '.' || (page_id % 90 + 10))::DOUBLE / 100, 4) AS spread, CASE WHEN page_id % 5 = 0 THEN 14
+  ELSE 15 END AS n
   FROM pages, range(1, 16) t(i) WHERE i < 15 OR page_id % 5 <> 0)"""
 
 
@@ -553,7 +581,8 @@ def _two_ladders(spark, d):
 
 
 @query(f"""WITH {_LADDER_SQL}, l AS (SELECT *, page_id::VARCHAR AS tbl, substr(rating, 2)::INT AS row FROM rungs)
-SELECT tbl AS "table", row, tbl || ' | ' || rating_full || ' | ' || CASE WHEN row >= 14 THEN 'added' ELSE concat_ws('; ',
+SELECT tbl AS "table", row, tbl || ' | ' || rating_full || ' | ' || CASE WHEN row >= 14 THEN 'added'
+  ELSE concat_ws('; ',
   CASE WHEN (row + page_id) % 4 = 0 THEN 'coverage_from ' || (coverage_from + 1)::DOUBLE || ' to ' || coverage_from::DOUBLE END,
   CASE WHEN (row + page_id) % 6 = 0 THEN 'spread ' || printf('%.4f', spread + 0.001) || ' to ' || printf('%.4f', spread) END) END AS text
 FROM l WHERE row >= 14 OR (row + page_id) % 4 = 0 OR (row + page_id) % 6 = 0""")
@@ -578,7 +607,8 @@ def ladder_shape_problems(spark, d):
 
 @query(f"""SELECT c_custkey, CASE WHEN c_acctbal / 2 >= 4300 THEN 'LARGE' ELSE 'SMALL' END AS tbl, r.rating, r.spread FROM customer
 JOIN (SELECT * FROM (VALUES {", ".join(f"('{t}', {a}::DOUBLE, '{b}', {s}::DOUBLE)" for t, rungs in spec.LADDERS.items() for a, b, _, s in rungs)})
-v(tbl, cov, rating, spread)) r ON r.tbl = CASE WHEN c_acctbal / 2 >= 4300 THEN 'LARGE' ELSE 'SMALL' END AND r.cov <= c_acctbal / 500 - 3
+v(tbl, cov, rating, spread)) r ON r.tbl = CASE WHEN c_acctbal / 2 >= 4300 THEN 'LARGE' ELSE 'SMALL' END
+  AND r.cov <= c_acctbal / 500 - 3
 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY cov DESC) = 1""")
 def ladder_lookup(spark, d):
     cap, cover = F.col("c_acctbal") / 2, F.col("c_acctbal") / 500 - 3
@@ -600,8 +630,11 @@ def _classified(spark, d):
     return companies, mapping, excluded
 
 
-_CLASS_SQL = """co AS (SELECT 'C' || c_custkey AS lei, c_custkey AS k, CASE WHEN c_custkey % 13 > 0 THEN 'T' || (c_custkey % 700) END AS ticker,
-  c_name AS name, c_acctbal > 9000 AS out, c_acctbal * 1e6 / 1e6 AS revenue_m, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN ['Bank (Money Center)', 'Machinery', 'R.E.I.T. REIT', '', 'Retail'][(c_custkey % 5 + 1)::INT] END AS industry FROM customer),
+_CLASS_SQL = """co AS (SELECT 'C' || c_custkey AS lei, c_custkey AS k, CASE WHEN c_custkey % 13 > 0
+  THEN 'T' || (c_custkey % 700) END AS ticker,
+  c_name AS name, c_acctbal > 9000 AS out, c_acctbal * 1e6 / 1e6 AS revenue_m, CASE WHEN c_mktsegment = 'HOUSEHOLD'
+  THEN ['Bank (Money Center)', 'Machinery', 'R.E.I.T. REIT', '', 'Retail'][(c_custkey % 5 + 1)::INT] END AS industry
+  FROM customer),
 un AS (SELECT * FROM co WHERE ticker IS NOT NULL AND coalesce(industry, '') = '' AND NOT out)"""
 
 
@@ -636,16 +669,20 @@ def reply_lines(spark, d):
 
 
 @query(f"""WITH {_REPLY_SQL}, {_CLASS_SQL}, {_INDUSTRY_SQL}, bt AS (SELECT upper(ticker) AS t, arg_min(lei, (revenue_m, lei)) AS lei FROM un GROUP BY 1),
-m AS (SELECT re.*, coalesce(bt.lei, un.lei) AS lei, i.name AS ok FROM re LEFT JOIN bt ON upper(key) = t LEFT JOIN un ON un.lei = key
+m AS (SELECT re.*, coalesce(bt.lei, un.lei) AS lei, i.name AS ok FROM re LEFT JOIN bt ON upper(key) = t LEFT
+  JOIN un ON un.lei = key
 LEFT JOIN industries i ON i.name = answer)
-SELECT p_partkey, key, answer, lei, CASE WHEN lei IS NULL THEN 'unknown' WHEN ok IS NULL THEN 'rejected' ELSE 'stored' END AS outcome,
-CASE WHEN lei IS NOT NULL AND ok IS NULL THEN (SELECT min(name) FROM industries WHERE contains(lower(name), lower(answer)[1:6])) END AS suggestion FROM m""")
+SELECT p_partkey, key, answer, lei, CASE WHEN lei IS NULL THEN 'unknown' WHEN ok IS NULL THEN 'rejected'
+  ELSE 'stored' END AS outcome,
+CASE WHEN lei IS NOT NULL AND ok IS NULL THEN (SELECT min(name) FROM industries
+  WHERE contains(lower(name), lower(answer)[1:6])) END AS suggestion FROM m""")
 def classified_replies(spark, d):
     return parameters.match_replies(parameters.parse_replies(_replies(spark, d)), parameters.unmapped(*_classified(spark, d)), _industries(spark, d))
 
 
 @query(f"""WITH {_REPLY_SQL}, {_CLASS_SQL}, {_INDUSTRY_SQL}, bt AS (SELECT upper(ticker) AS t, min(lei) AS lei FROM un GROUP BY 1)
-SELECT CASE WHEN coalesce(bt.lei, un.lei) IS NULL THEN 'unknown' WHEN i.name IS NULL THEN 'rejected' ELSE 'stored' END AS outcome, count(*) AS n
+SELECT CASE WHEN coalesce(bt.lei, un.lei) IS NULL THEN 'unknown' WHEN i.name IS NULL THEN 'rejected'
+  ELSE 'stored' END AS outcome, count(*) AS n
 FROM re LEFT JOIN bt ON upper(key) = t LEFT JOIN un ON un.lei = key LEFT JOIN industries i ON i.name = answer GROUP BY 1""")
 def reply_counts(spark, d):
     return parameters.reply_counts(parameters.match_replies(
@@ -669,7 +706,8 @@ def included_companies(spark, d):
 
 
 @query(f"""WITH {_CLASS_SQL}, e AS (SELECT lei, lei AS key FROM co UNION SELECT lei, ticker FROM co WHERE ticker IS NOT NULL),
-k AS (SELECT DISTINCT 'T' || (o_custkey % 900) AS key FROM orders) SELECT k.key, min(e.lei) AS lei FROM k LEFT JOIN e USING (key) GROUP BY 1""")
+k AS (SELECT DISTINCT 'T' || (o_custkey % 900) AS key FROM orders) SELECT k.key, min(e.lei) AS lei FROM k LEFT
+  JOIN e USING (key) GROUP BY 1""")
 def found_entities(spark, d):
     keys = table(spark, d, "orders").select(F.concat(F.lit("T"), (F.col("o_custkey") % 900).cast("string")).alias("key")).distinct()
     return parameters.find_entity(_classified(spark, d)[0], keys)
@@ -688,10 +726,13 @@ def _readiness(spark, d):
     return policy.readiness(rows), excluded
 
 
-_READY_SQL = f"""{_CLASS_SQL}, {_INDUSTRY_SQL}, r0 AS (SELECT co.lei, co.k, co.ticker, co.out, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN 'Brand#' || (k % 40) ELSE 'Brand#2' END AS ind FROM co),
+_READY_SQL = f"""{_CLASS_SQL}, {_INDUSTRY_SQL}, r0 AS (SELECT co.lei, co.k, co.ticker, co.out, CASE WHEN k % 5 = 0 THEN NULL
+  WHEN k % 3 = 0 THEN 'Brand#' || (k % 40) ELSE 'Brand#2' END AS ind FROM co),
 r AS (SELECT r0.*, i.name IS NOT NULL AS known FROM r0 LEFT JOIN industries i ON i.name = r0.ind),
-gaps AS (SELECT lei, 'listing' AS gap FROM r WHERE ticker IS NULL UNION ALL SELECT lei, 'price' FROM r WHERE k % 6 = 0 UNION ALL SELECT lei, 'shares' FROM r WHERE k % 8 = 0
- UNION ALL SELECT lei, 'industry' FROM r WHERE ind IS NULL UNION ALL SELECT lei, 'industry ''' || ind || ''' not in the parameter store' FROM r WHERE ind IS NOT NULL AND NOT known
+gaps AS (SELECT lei, 'listing' AS gap FROM r WHERE ticker IS NULL UNION ALL SELECT lei, 'price' FROM r
+  WHERE k % 6 = 0 UNION ALL SELECT lei, 'shares' FROM r WHERE k % 8 = 0
+ UNION ALL SELECT lei, 'industry' FROM r WHERE ind IS NULL UNION ALL
+  SELECT lei, 'industry ''' || ind || ''' not in the parameter store' FROM r WHERE ind IS NOT NULL AND NOT known
  UNION ALL SELECT lei, 'country parameters for None' FROM r WHERE k % 14 = 0)"""
 
 
@@ -716,7 +757,8 @@ def eligible_companies(spark, d):
     return policy.eligible(checked, excluded).select("lei")
 
 
-@query(f"""WITH {_READY_SQL} SELECT count(*) AS entities, count(ticker) AS listings, count(*) FILTER (k % 6 > 0) AS priced, count(*) FILTER (k % 8 > 0) AS with_shares,
+@query(f"""WITH {_READY_SQL} SELECT count(*) AS entities, count(ticker) AS listings, count(*) FILTER (k % 6 > 0) AS priced,
+  count(*) FILTER (k % 8 > 0) AS with_shares,
 count(ind) AS mapped, count(*) FILTER (NOT EXISTS (SELECT 1 FROM gaps g WHERE g.lei = r.lei)) AS ready FROM r""")
 def stage_counts(spark, d):
     return health.stage_counts(_readiness(spark, d)[0])

@@ -131,7 +131,8 @@ def missing_company_years(spark, d):
 
 
 @query(f"""WITH {FILINGS_SQL}, s AS (SELECT country, count(*) AS size FROM done GROUP BY 1),
-r AS (SELECT d.country, size, row_number() OVER (PARTITION BY d.country ORDER BY lei) AS turn FROM done d JOIN s USING (country)),
+r AS (SELECT d.country, size, row_number() OVER (PARTITION BY d.country ORDER BY lei) AS turn FROM done d
+  JOIN s USING (country)),
 p AS (SELECT country FROM r ORDER BY turn, size DESC, country LIMIT 50)
 SELECT country, count(*) AS picked FROM p GROUP BY 1""")
 def stratified_sample_sizes(spark, d):
@@ -189,14 +190,16 @@ def dimensional_only_names(spark, d):
 
 
 @query(f"""WITH {FACTS_SQL} SELECT lei, fy AS fiscal_year, concept, local AS local_name, ifrs AS is_ifrs, "end",
-kind IS NULL OR kind = 'annual' AS is_duration, count(*) AS n, sum(value::DECIMAL(18, 2))::DOUBLE AS total FROM facts GROUP BY ALL""")
+kind IS NULL OR kind = 'annual' AS is_duration, count(*) AS n, sum(value::DECIMAL(18, 2))::DOUBLE AS total FROM facts
+  GROUP BY ALL""")
 def numeric_facts(spark, d):
     return filings.numeric_facts(_parsed(spark, d)).groupBy(
         *KEYS, "concept", "local_name", "is_ifrs", "end", "is_duration").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
-@query(f"""WITH {FACTS_SQL} SELECT lei, fy AS fiscal_year, kind, "end", count(*) AS n FROM facts WHERE kind IS NOT NULL GROUP BY ALL""")
+@query(f"""WITH {FACTS_SQL} SELECT lei, fy AS fiscal_year, kind, "end", count(*) AS n FROM facts WHERE kind IS NOT NULL
+  GROUP BY ALL""")
 def period_end_histogram(spark, d):
     facts = filings.numeric_facts(_parsed(spark, d))
     ends = extraction.annual_period_ends(facts).drop("seen").withColumn("kind", F.lit("annual"))
@@ -230,7 +233,8 @@ def extracted_facts(spark, d):
 
 
 @query(f"""WITH {EXTRACT_SQL} SELECT lei, fiscal_year, CASE WHEN status <> 'failed' THEN name END AS name,
-CASE WHEN status <> 'failed' THEN country END AS country, CASE WHEN status <> 'failed' THEN pe END AS period_end, status,
+CASE WHEN status <> 'failed' THEN country END AS country, CASE WHEN status <> 'failed'
+  THEN pe END AS period_end, status,
 CASE WHEN status = 'failed' THEN '{spec.FINANCIAL_REASON}' ELSE source_ref END AS source_ref FROM headers""")
 def company_years(spark, d):
     return extraction.company_year_rows(_voted(spark, d), F.lit("2002-01-01").cast("timestamp")).select(
@@ -238,8 +242,10 @@ def company_years(spark, d):
 
 
 @query(f"""WITH {EXTRACT_SQL} SELECT lei, fiscal_year, n_missing::INT AS n_missing,
-CASE WHEN debt > 0 AND interest_expense IS NULL THEN 'debt of ' || format('{{:,}}', round_even(debt, 0)::BIGINT) || ' without an interest line'
-WHEN debt <= 0 AND coalesce(interest_expense, 0) > 0 THEN 'interest of ' || format('{{:,}}', round_even(interest_expense, 0)::BIGINT) || ' without any debt line'
+CASE WHEN debt > 0 AND interest_expense IS NULL
+  THEN 'debt of ' || format('{{:,}}', round_even(debt, 0)::BIGINT) || ' without an interest line'
+WHEN debt <= 0 AND coalesce(interest_expense, 0) > 0
+  THEN 'interest of ' || format('{{:,}}', round_even(interest_expense, 0)::BIGINT) || ' without any debt line'
 ELSE '' END AS reason FROM headers""")
 def interest_contradictions(spark, d):
     return _stored_vote(spark, d).select(
@@ -247,7 +253,8 @@ def interest_contradictions(spark, d):
 
 
 @query(f"""WITH {EXTRACT_SQL} SELECT lei, fiscal_year, round(coalesce(ebit, pretax_income + coalesce(interest_expense, 0)
-- abs(coalesce(fin, 0)) - coalesce(assoc, 0)), 2) AS ebit, ebit IS NULL AND pretax_income IS NOT NULL AS computed FROM headers""")
+- abs(coalesce(fin, 0)) - coalesce(assoc, 0)), 2) AS ebit, ebit IS NULL AND pretax_income IS NOT NULL AS computed
+  FROM headers""")
 def ebit_fallback(spark, d):
     return _voted(spark, d, ebit_fallback=True).select(
         *KEYS, F.round("ebit.value", 2).alias("ebit"),
@@ -262,7 +269,8 @@ def financial_vote(spark, d):
 
 @query(f"""WITH {EXTRACT_SQL}, o AS (SELECT CASE WHEN status = 'failed' THEN 'financial' ELSE status END AS outcome FROM headers
 UNION ALL SELECT 'interest_zero_despite_debt' FROM headers WHERE debt > 0 AND interest_expense IS NULL
-UNION ALL SELECT 'mixed_financial_signal' FROM (SELECT DISTINCT lei FROM headers WHERE any_financial AND NOT is_financial)
+UNION ALL SELECT 'mixed_financial_signal' FROM (SELECT DISTINCT lei FROM headers WHERE any_financial
+  AND NOT is_financial)
 UNION ALL SELECT 'no_filing' FROM (SELECT DISTINCT lei FROM headers))
 SELECT outcome, count(*) AS n FROM o GROUP BY 1""")
 def extraction_counters(spark, d):
@@ -285,7 +293,8 @@ def share_estimates(spark, d):
 # -- store -------------------------------------------------------------------------
 
 @query(f"""WITH {EXTRACT_SQL}, t AS (SELECT count(*) AS n FROM headers WHERE status <> 'failed')
-SELECT k.field, (t.n - count(f.field) + count(*) FILTER (f.field IS NOT NULL AND f.value IS NULL))::BIGINT AS unresolved,
+SELECT k.field, (t.n - count(f.field) + count(*) FILTER (f.field IS NOT NULL
+  AND f.value IS NULL))::BIGINT AS unresolved,
 count(*) FILTER (f.derivation = 'assumed_zero') AS assumed_zeros
 FROM (SELECT unnest({sql_list(spec.LINE_ITEM_KEYS)}) AS field) k CROSS JOIN t LEFT JOIN fact f ON f.field = k.field
 GROUP BY k.field, t.n""")
@@ -300,7 +309,8 @@ def unresolved_capex_years(spark, d):
 
 
 @query(f"""WITH {EXTRACT_SQL} SELECT h.lei, h.fiscal_year FROM headers h LEFT JOIN fact f
-ON (h.lei, h.fiscal_year) = (f.lei, f.fiscal_year) AND f.field = 'revenue' WHERE h.status <> 'failed' AND f.value IS NULL""")
+ON (h.lei, h.fiscal_year) = (f.lei, f.fiscal_year) AND f.field = 'revenue' WHERE h.status <> 'failed'
+  AND f.value IS NULL""")
 def unresolved_revenue_years(spark, d):
     """A line that does have gaps."""
     return store.unresolved_company_years(*_store(spark, d), "revenue")
@@ -417,9 +427,11 @@ def company_year_lookup(spark, d):
         *KEYS, "status", "field", F.round("value", 2).alias("value"))
 
 
-@query(f"""WITH {EXTRACT_SQL}, u AS (SELECT DISTINCT lei FROM headers), sp AS (SELECT lei, y::INT AS y FROM u, (SELECT unnest({YEARS}) AS y))
+@query(f"""WITH {EXTRACT_SQL}, u AS (SELECT DISTINCT lei FROM headers), sp AS (SELECT lei, y::INT AS y
+  FROM u, (SELECT unnest({YEARS}) AS y))
 SELECT sp.lei, sp.y AS fiscal_year, CASE WHEN h.status IN ('complete', 'partial') AND sp.y < 2000 THEN 'cached'
-WHEN h.status = 'complete' THEN 'todo' ELSE 'no_filing' END AS state FROM sp LEFT JOIN headers h ON (sp.lei, sp.y) = (h.lei, h.fiscal_year)""")
+WHEN h.status = 'complete' THEN 'todo' ELSE 'no_filing' END AS state FROM sp LEFT
+  JOIN headers h ON (sp.lei, sp.y) = (h.lei, h.fiscal_year)""")
 def extraction_plan(spark, d):
     headers, _ = _store(spark, d)
     stored = headers.where("fiscal_year < 2000")

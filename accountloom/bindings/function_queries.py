@@ -31,7 +31,8 @@ def _messages(spark, d):
         "doc_id", F.concat(pick(_WORDS, F.col("doc_id") % 5), F.lit("  - "), "text").alias("msg"))
 
 
-@query(f"""WITH {_MSG} SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'UNKNOWN' ELSE upper(['OK', 'warning', 'FAIL', 'NOTE', 'odd'][(doc_id % 5 + 1)::INT]) END AS severity,
+@query(f"""WITH {_MSG} SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'UNKNOWN'
+  ELSE upper(['OK', 'warning', 'FAIL', 'NOTE', 'odd'][(doc_id % 5 + 1)::INT]) END AS severity,
 length(flat[position(' - ' IN flat) + 3:])::INT AS stripped_length, md5(flat[position(' - ' IN flat) + 3:]) AS stripped, md5(CASE WHEN length(flat) <= 40 THEN flat ELSE rtrim(flat[1:39]) || '…' END) AS short FROM m""")
 def check_message_parts(spark, d):
     m = F.col("msg")
@@ -40,9 +41,11 @@ def check_message_parts(spark, d):
                                       F.md5(s).alias("stripped"), F.md5(text.shorten(m, 40)).alias("short"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN (CASE WHEN o_orderkey % 2 = 0 THEN 'SUPPRESSED' ELSE 'UNDERVALUED' END) WHEN 1 THEN 'OVERVALUED' WHEN 2 THEN 'FAIRLY VALUED'
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN (CASE WHEN o_orderkey % 2 = 0 THEN 'SUPPRESSED'
+  ELSE 'UNDERVALUED' END) WHEN 1 THEN 'OVERVALUED' WHEN 2 THEN 'FAIRLY VALUED'
 WHEN 3 THEN 'VOID' WHEN 4 THEN left('A LONG UNKNOWN TEXT', 14) ELSE 'PRICE AT FAIR ' END AS short,
-CASE o_orderkey % 6 WHEN 0 THEN 'Undervalued' WHEN 1 THEN 'Overvalued' WHEN 2 THEN 'Fairly Valued' WHEN 3 THEN 'Void' WHEN 4 THEN 'A Long Unknown Text' ELSE 'Price At Fair Value' END AS reason FROM orders""")
+CASE o_orderkey % 6 WHEN 0 THEN 'Undervalued' WHEN 1 THEN 'Overvalued' WHEN 2 THEN 'Fairly Valued' WHEN 3 THEN 'Void'
+  WHEN 4 THEN 'A Long Unknown Text' ELSE 'Price At Fair Value' END AS reason FROM orders""")
 def verdict_labels(spark, d):
     k = F.col("o_orderkey")
     v = pick((spec.UNDERVALUED, spec.OVERVALUED, spec.FAIRLY_VALUED, spec.VOID, "A LONG UNKNOWN TEXT", spec.EXIT_AT_FAIR_VALUE), k % 6)
@@ -50,7 +53,8 @@ def verdict_labels(spark, d):
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS p, l_extendedprice * (0.5 + l_quantity / 40) AS v FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, round((v - p) / p, 6) AS upside, CASE WHEN (v - p) / p > 0.25 THEN 'UNDERVALUED - investigate' WHEN (v - p) / p < -0.25 THEN 'OVERVALUED - screen out'
+SELECT l_orderkey, l_linenumber, l_partkey, round((v - p) / p, 6) AS upside, CASE WHEN (v - p) / p > 0.25
+  THEN 'UNDERVALUED - investigate' WHEN (v - p) / p < -0.25 THEN 'OVERVALUED - screen out'
 ELSE 'FAIRLY VALUED - no action' END AS verdict, v / 1.25 AS trigger_price, v / 1.2 AS watch_price, p / 1000000.0 AS scaled FROM x""")
 def upside_and_triggers(spark, d):
     p = F.col("l_extendedprice")
@@ -61,7 +65,8 @@ def upside_and_triggers(spark, d):
         numbers.trigger_price(v).alias("trigger_price"), numbers.watch_price(v).alias("watch_price"), numbers.scaled(p).alias("scaled"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_totalprice WHEN 1 THEN NULL WHEN 2 THEN -o_orderkey WHEN 3 THEN NULL ELSE o_orderkey * 1000.0 END::DOUBLE AS number,
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_totalprice WHEN 1 THEN NULL WHEN 2 THEN -o_orderkey WHEN 3
+  THEN NULL ELSE o_orderkey * 1000.0 END::DOUBLE AS number,
 round_even(o_orderkey % 1000 / 10000, 4) AS fraction, round_even(o_totalprice, 0) = round_even(o_totalprice + 0.2, 0) AS same FROM orders""")
 def parsed_numbers(spark, d):
     k = F.col("o_orderkey")
@@ -74,7 +79,8 @@ def parsed_numbers(spark, d):
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN d WHEN 1 THEN d WHEN 4 THEN NULL END AS start,
-CASE o_orderkey % 5 WHEN 0 THEN d + 364 WHEN 1 THEN d + 365 WHEN 2 THEN d - 1 WHEN 3 THEN d END AS "end", o_orderkey % 5 < 2 AS is_duration
+CASE o_orderkey % 5 WHEN 0 THEN d + 364 WHEN 1 THEN d + 365 WHEN 2 THEN d - 1 WHEN 3
+  THEN d END AS "end", o_orderkey % 5 < 2 AS is_duration
 FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders) WHERE o_orderkey % 5 < 4""")
 def parsed_periods(spark, d):
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
@@ -95,7 +101,8 @@ def ages_and_quarters(spark, d):
         dates.vintage_date(F.date_format(day, "yyyy-MM")).alias("vintage"))
 
 
-@query("""SELECT p_partkey, p_partkey % 3 = 0 AS cross_listed, CASE WHEN p_partkey % 4 = 0 THEN 'manual' WHEN p_partkey % 2 = 0 THEN 'isin' ELSE 'name+non_domicile' END AS confidence FROM part""")
+@query("""SELECT p_partkey, p_partkey % 3 = 0 AS cross_listed, CASE WHEN p_partkey % 4 = 0 THEN 'manual' WHEN p_partkey % 2 = 0
+  THEN 'isin' ELSE 'name+non_domicile' END AS confidence FROM part""")
 def listing_marks(spark, d):
     k = F.col("p_partkey")
     return table(spark, d, "part").select(
@@ -115,7 +122,8 @@ def largest_companies(spark, d):
     return c.orderBy(F.desc("c_acctbal"), "c_custkey").limit(25).select("c_nationkey", "c_custkey", "c_name")
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'SK' WHEN 1 THEN 'NL' WHEN 2 THEN 'DE' WHEN 3 THEN NULL ELSE 'GR' END AS iso FROM nation""")
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'SK' WHEN 1 THEN 'NL' WHEN 2 THEN 'DE' WHEN 3 THEN NULL
+  ELSE 'GR' END AS iso FROM nation""")
 def country_codes(spark, d):
     names = pick((" Slovak Republic ", "Netherlands (the)", "GERMANY", "Mars", "greece"), F.col("n_nationkey") % 5)
     return table(spark, d, "nation").select("n_nationkey", text.country_code(names).alias("iso"))

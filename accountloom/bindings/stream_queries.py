@@ -53,7 +53,8 @@ def streamed_prices(spark, d):
     return daily.stored_prices(spark, f"{folder}/prices")
 
 
-@query(f"""WITH {_QUOTE_SQL}, t AS (SELECT 'U' || user_id AS lei, max(value) / 3 AS trigger_price, max(value) / 2.5 AS watch_price FROM events GROUP BY user_id)
+@query(f"""WITH {_QUOTE_SQL}, t AS (SELECT 'U' || user_id AS lei, max(value) / 3 AS trigger_price,
+  max(value) / 2.5 AS watch_price FROM events GROUP BY user_id)
 SELECT g.lei, as_of, CASE WHEN price <= trigger_price THEN 'crossed' ELSE 'approaching' END AS status, count(*) AS n
 FROM g JOIN t ON g.lei = t.lei WHERE outcome = 'ok' AND price <= watch_price GROUP BY ALL""")
 def streamed_price_watch(spark, d):
