@@ -27,7 +27,7 @@ SAMPLE = 1200
 """Most toxic texts that the model is fitted on, the first by hash of the id, with at most four
 times as many ordinary ones. This bounds the fit, which runs on the driver."""
 ORDINARY = 4
-SAMPLE_CHARS = 1 << 17
+SAMPLE_CHARS = 1 << 14
 """Longer labelled texts are not used for fitting."""
 PLAIN_BYTES, TOXIC_BYTES = 8192, 1024
 GRAM = 6
