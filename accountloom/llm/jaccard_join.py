@@ -348,7 +348,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     rows = cut_lineage(with_node(docs, id_col, text_col).select("id", "node", "text")
                        .mapInArrow(count, f"id {kind}, node long, n_shingles long"))
-    rows = rows.join(joined, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    least = rows.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least"))
-    return rows.join(least, "class", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(
-        F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    # Classes are settled among texts, so the many copies of one text meet in no group of rows.
+    texts = rows.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least")) \
+        .join(joined, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    least = texts.groupBy("class").agg(F.min("least").alias("component_id"))
+    found = texts.select("node", "class").join(least, "class").select("node", F.struct("component_id").alias("found"))
+    return rows.join(found, "node", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(
+        F.col("found").isNull(), F.col("id")).otherwise(F.col("found.component_id")).alias("component_id"))

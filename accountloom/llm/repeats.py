@@ -369,14 +369,12 @@ def earlier_windows(docs: DataFrame, id_col: str, text_col: str, u: Units,
     text = F.coalesce(F.col(text_col), F.lit(""))
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(rank, text).alias("key"), text.alias("text"))
-    narrow = docs.select(F.xxhash64(rank, text).alias("key"), rank.alias("rank"), F.md5(text).alias("digest"),
-                         F.octet_length(text).cast("long").alias("bytes"))
+    narrow = docs.select(F.xxhash64(rank, text).alias("key"), rank.alias("rank"), F.md5(text).alias("digest"))
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n = buckets_for(total, bucket_bytes)
-    firsts = narrow.groupBy("digest").agg(F.min(F.struct("rank", "key")).alias("first"))
-    copies = narrow.join(firsts, "digest").where(F.col("rank") > F.col("first.rank")) \
-        .select("key").distinct().withColumn("whole", F.lit(True))
-    heads = firsts.select(F.col("first.key").alias("key"))
+    # Equal texts with equal ids have equal keys, so what is no head has a smaller id before it.
+    heads = narrow.groupBy("digest").agg(F.min(F.struct("rank", "key")).alias("first")) \
+        .select(F.col("first.key").alias("key"), F.lit(True).alias("head"))
     ranked = F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("rank")
     # All three joins need the same columns of ``rows``, so its one shuffle serves them all.
     runs = _anchors(rows.join(heads, "key").select("key", "id", ranked, "text"), u, buckets_for(total, 4 * bucket_bytes)) \
@@ -385,5 +383,5 @@ def earlier_windows(docs: DataFrame, id_col: str, text_col: str, u: Units,
     sent = _stretches(rows.join(runs, "key").select("key", ranked, "text", "runs"), u, n)
     verdicts = sent.groupBy("bucket").applyInArrow(_solved(u, solve), _ddl(_RUNS)) \
         .groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    return rows.join(verdicts.join(copies, "key", "full"), "key", "left") \
-        .select("id", "text", "gone", F.coalesce("whole", F.lit(False)).alias("whole"))
+    return rows.join(heads.join(verdicts, "key", "left"), "key", "left") \
+        .select("id", "text", "gone", F.col("head").isNull().alias("whole"))
