@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accountloom.llm.common import prepare, buckets_for
+from accountloom.llm.common import prepare
+from accountloom.session import cut_lineage
 
 VERSION = "WARC/1.1"
 ARCHIVE_BYTES = 8 << 20
+"""Bytes of payload in a file of records of average length."""
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -38,10 +40,10 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def headers(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """(id, url, digest, bytes) of every page; a null payload counts as empty."""
+    """(id, url, digest, bytes, mark) of every page; ``mark`` is a quick hash; null payloads are empty."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), base32_sha1(payload).alias("digest"),
-                        F.octet_length(payload).cast("long").alias("bytes"))
+                        F.octet_length(payload).cast("long").alias("bytes"), F.xxhash64(payload).alias("mark"))
 
 
 def originals(heads: DataFrame, min_bytes: int) -> DataFrame:
@@ -73,20 +75,20 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     other row has the payload; rows that repeat the original's id are responses too. Headers are
     written anew; a URI keeps no line break.
     """
-    heads = headers(pages, id_col, url_col, payload_col)
-    total = heads.agg(F.sum("bytes")).first()[0] or 0
+    heads = cut_lineage(headers(pages, id_col, url_col, payload_col))
+    total, n = heads.agg(F.sum("bytes"), F.count("*")).first()
     firsts = originals(heads, min_bytes)
     same = (F.col("digest") == F.col("o_digest")) & (F.col("bytes") == F.col("o_bytes"))
-    revisits = heads.where(F.col("bytes") >= min_bytes).join(firsts, same) \
-        .where(~F.col("id").eqNullSafe(F.col("original")))
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    whole = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), base32_sha1(payload).alias("digest"),
-                         F.octet_length(payload).cast("long").alias("bytes"), payload.alias("payload"))
-    kept = firsts.select("original", "o_digest", "o_bytes")
-    responses = whole.where(F.col("bytes") >= min_bytes).join(
-        kept, F.col("id").eqNullSafe(F.col("original")) & same, "left_semi")
+    joined = heads.where(F.col("bytes") >= min_bytes).join(firsts, same)
+    revisits = joined.where(~F.col("id").eqNullSafe(F.col("original")))
+    kept = joined.where(F.col("id").eqNullSafe(F.col("original")))
     if min_bytes > 0:
-        responses = responses.unionByName(whole.where(F.col("bytes") < min_bytes))
+        kept = kept.unionByName(heads.where(F.col("bytes") < min_bytes), allowMissingColumns=True)
+    kept = kept.select(F.col("id").alias("h_id"), "digest", "bytes", F.col("mark").alias("h_mark")).distinct()
+    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    whole = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(payload).alias("mark"),
+                         payload.alias("payload"))
+    responses = whole.join(kept, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("mark") == F.col("h_mark")))
     none = F.lit("WARC-Identified-Payload-Type: text/html")
     refers = F.concat_ws("\r\n", F.lit(f"WARC-Profile: {PROFILE}"), F.concat(
         F.lit("X-Refers-To-Page-Id: "), F.coalesce(F.col("original").cast("string"), F.lit(""))))
@@ -94,8 +96,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                                .alias("value")) \
         .unionByName(revisits.select(_record("revisit", refers, "text/html; charset=utf-8", F.lit(0), F.lit(""))
                                      .alias("value")))
-    records.repartition(buckets_for(total, archive_bytes)).write.mode("overwrite") \
-        .option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    per_file = max(1, archive_bytes * (n or 1) // max(1, total or 1))
+    records.write.mode("overwrite").option("lineSep", RECORD_END).option("compression", "gzip") \
+        .option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -244,7 +244,7 @@ def test_archives_of_no_and_repeated_pages(spark):
 
 
 def test_toxicity_held_out(spark, docs, empty):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     from accountloom.llm.queries import op9_toxicity
 
     got = op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
@@ -252,7 +252,7 @@ def test_toxicity_held_out(spark, docs, empty):
     toxic = [r.score for r in got if r.held_out and r.toxic]
     other = [r.score for r in got if r.held_out and not r.toxic]
     above = sum((a > b) + 0.5 * (a == b) for a in toxic for b in other) / (len(toxic) * len(other))
-    assert above > 0.75
+    assert above > 0.88
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     blank = toxicity.classify(docs, model).collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in blank)
