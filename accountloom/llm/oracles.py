@@ -112,7 +112,7 @@ f AS (SELECT *, concat_ws(',',
     CASE WHEN n_words = 0 OR word_chars::DOUBLE / n_words NOT BETWEEN 2 AND 15 THEN 'word_length' END,
     CASE WHEN n_words = 0 OR n_symbols::DOUBLE / n_words > 0.1::DOUBLE THEN 'symbols' END,
     CASE WHEN n_words = 0 OR n_stop::DOUBLE / n_words < 0.02::DOUBLE THEN 'stop_words' END,
-    CASE WHEN n_lines = 0 OR n_dup_lines::DOUBLE / n_lines > 0.3::DOUBLE THEN 'duplicate_lines' END) AS failed FROM m)
+    CASE WHEN n_lines = 0 OR n_dup_lines::DOUBLE / n_lines > 0.4::DOUBLE THEN 'duplicate_lines' END) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed = '' AS kept, failed FROM f"""
 

@@ -38,7 +38,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", least=2, most=15),
     Rule("symbols", "n_symbols", "n_words", most=0.1),
     Rule("stop_words", "n_stop_words", "n_words", least=0.02),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.3),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.4),
 )
 """The first two are the base rules; a ratio over nothing is null and fails."""
 
