@@ -7,10 +7,12 @@ memory is a few times the batch, whatever the length of one text.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import math
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -187,6 +189,7 @@ def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + begin
 
 
+_LIBC = ctypes.CDLL(None)
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -210,6 +213,30 @@ def prepare(spark: SparkSession) -> None:
     _SHIPPED[context.applicationId] = folder
 
 
+def _give_back() -> None:
+    """Return freed memory of a Python worker to the system; idle workers stay for a while."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches or tables of a task that gives memory back when it is done."""
+    if inspect.isgeneratorfunction(run):
+        def over_batches(batches):
+            yield from run(batches)
+            _give_back()
+
+        return over_batches
+
+    def over_table(table: pa.Table) -> pa.Table:
+        out = run(table)
+        _give_back()
+        return out
+
+    return over_table
+
+
 def buckets_for(total: int, each: int) -> int:
     """How many buckets hold ``total`` units at about ``each`` units per bucket."""
     return max(1, math.ceil(total / each))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from accountloom.llm.common import (
     ALNUM_BREAK, LOWER, Table, prepare, flat_ranges, gram_hashes, hash_spans, mix, pieces, spans_of,
-    text_buffer)
+    text_buffer, tidy)
 
 WINDOW = 10
 SHINGLE = 3
@@ -55,7 +55,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
                                   ["item", "words"])
 
     return items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")) \
-        .mapInArrow(cut, "item string, words array<bigint>").distinct()
+        .mapInArrow(tidy(cut), "item string, words array<bigint>").distinct()
 
 
 class Block:
@@ -117,7 +117,7 @@ def shingle_counts(docs: DataFrame, text_col: str, shared) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some.astype(np.int64)), pa.array(total[some])], ["k", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "k long, n long") \
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(count), "k long, n long") \
         .groupBy("k").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(shared.value.keys), np.int64)
     for r in rows:
@@ -183,7 +183,7 @@ def _scan(docs: DataFrame, shared, kind: str) -> DataFrame:
                                    pa.array(runs, pa.binary()), pa.array(items, pa.list_(pa.string()))],
                                   ["id", "same", "n_words", "runs", "items"])
 
-    return docs.mapInArrow(run, f"id {kind}, same long, n_words long, runs binary, items array<string>")
+    return docs.mapInArrow(tidy(run), f"id {kind}, same long, n_words long, runs binary, items array<string>")
 
 
 def blocks(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str,
@@ -237,8 +237,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     joined = parts.groupBy("id", "same", "n_words").agg(
         F.collect_list("runs").alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         (F.count("*") / n_blocks).cast("long").alias("times"))
-    return joined.select("id", "runs", "n_words", F.array_sort("items").alias("items"), "times").mapInArrow(
-        merge, f"id {kind}, n_words long, items array<string>, times long, hits array<struct<start:bigint,end:bigint>>") \
+    return joined.select("id", "runs", "n_words", F.array_sort("items").alias("items"), "times").mapInArrow(tidy(merge), f"id {kind}, n_words long, items array<string>, times long, hits array<struct<start:bigint,end:bigint>>") \
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))) \
         .select(F.col("id").alias(id_col), "n_words", "hits", "items")
 
@@ -263,5 +262,5 @@ def without_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item
                     clean[lo + occurrences(words, first, shared.value)[0]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

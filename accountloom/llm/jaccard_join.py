@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from accountloom.llm.common import (
-    LOWER, WHITE, Table, buckets_for, flat_ranges, gram_hashes, hash_spans, mix, pieces, prepare, spans_of, text_buffer)
+    LOWER, WHITE, Table, buckets_for, flat_ranges, gram_hashes, hash_spans, mix, pieces, prepare, spans_of, text_buffer, tidy)
 from accountloom.llm.components import components
 from accountloom.llm.repeats import _batch, _joined, _packed
 from accountloom.session import cut_lineage, work_path
@@ -125,8 +125,8 @@ def frequent_shingles(nodes: DataFrame, size: int, n: int, most: int, rare: int)
         often = found >= rare
         return pa.table({"key": pa.array(keys[often].astype(np.int64)), "n": pa.array(found[often].astype(np.int64))})
 
-    best = nodes.select("node", "text").mapInArrow(count, "bucket int, low binary, high binary, n binary") \
-        .groupBy("bucket").applyInArrow(total, "key long, n long").orderBy(F.desc("n"), "key").limit(most).toArrow()
+    best = nodes.select("node", "text").mapInArrow(tidy(count), "bucket int, low binary, high binary, n binary") \
+        .groupBy("bucket").applyInArrow(tidy(total), "key long, n long").orderBy(F.desc("n"), "key").limit(most).toArrow()
     keys = best.column("key").to_numpy().astype(np.uint64)
     table = Table(max(4, (2 * len(keys) + 1).bit_length()), np.int8)
     table.put(mix(keys + np.uint64(1)), (1 + np.log2(best.column("n").to_numpy() / rare)).astype(np.int8).clip(1, 14))
@@ -177,8 +177,8 @@ def candidate_edges(nodes: DataFrame, classes, size: int, percent: int, n: int)
                 yield _batch(list(_packed(((g >> np.uint64(32)) % np.uint64(n)).astype(np.int64), n, {
                     "key": g.astype(np.uint32), "node": node[row], "size": length.astype(np.int32)})), _POSTINGS)
 
-    return nodes.select("node", "text").mapInArrow(deal, "bucket int, key binary, node binary, size binary") \
-        .groupBy("bucket").applyInArrow(lambda t: _ties(t, percent), "a long, b long")
+    return nodes.select("node", "text").mapInArrow(tidy(deal), "bucket int, key binary, node binary, size binary") \
+        .groupBy("bucket").applyInArrow(tidy(lambda t: _ties(t, percent)), "a long, b long")
 
 
 def similar_edges(node: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -258,7 +258,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                                   ["node", "component", "text", "band"])
 
     # One copy of every node that has a tie; join and grouping share one shuffle of the text.
-    members = nodes.mapInArrow(_once_per_task, "node long, text string").join(tied, "node") \
+    members = nodes.mapInArrow(tidy(_once_per_task), "node long, text string").join(tied, "node") \
         .groupBy("node").agg(F.first("component").alias("component"), F.first("text").alias("text"))
     path = work_path(spark, "members")
     members.write.parquet(path)
@@ -269,7 +269,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     small = members.join(large, "component", "left_anti") \
         .select(F.col("component").cast("string").alias("tile"), F.lit(0).alias("side"), "node", "text")
     members = members.join(large, "component").select("node", "component", "text") \
-        .mapInArrow(banded, "node long, component long, text string, band int")
+        .mapInArrow(tidy(banded), "node long, component long, text string, band int")
     cells = cut_lineage(members.groupBy("component", "band").agg(F.ceil(weight / tile_bytes).cast("int").alias("parts")))
     own = members.join(cells, ["component", "band"]) \
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -287,7 +287,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
                         schema=_EDGES)
 
-    return small.unionByName(cut).groupBy("tile").applyInArrow(compare, "a long, b long")
+    return small.unionByName(cut).groupBy("tile").applyInArrow(tidy(compare), "a long, b long")
 
 
 def _sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:
@@ -347,7 +347,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = cut_lineage(with_node(docs, id_col, text_col).select("id", "node", "text")
-                       .mapInArrow(count, f"id {kind}, node long, n_shingles long"))
+                       .mapInArrow(tidy(count), f"id {kind}, node long, n_shingles long"))
     # Classes are settled among texts, so the many copies of one text meet in no group of rows.
     texts = rows.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least")) \
         .join(joined, "node", "left").withColumn("class", F.coalesce("component", "node"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from accountloom.llm.common import WHITE, flat_ranges, gram_hashes, hash_spans, spans_of, text_buffer
+from accountloom.llm.common import WHITE, flat_ranges, gram_hashes, hash_spans, spans_of, text_buffer, tidy
 from accountloom.llm.repeats import BUCKET_BYTES, Stretches, Units, earlier_windows
 
 WINDOW = 20
@@ -100,5 +100,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kind = docs.schema[id_col].dataType.simpleString()
     return earlier_windows(docs, id_col, text_col, u, locate, bucket_bytes) \
-        .mapInArrow(finish, f"id {kind}, n_words long, n_removed long, kept string, kept_sha256 string") \
+        .mapInArrow(tidy(finish), f"id {kind}, n_words long, n_removed long, kept string, kept_sha256 string") \
         .withColumnRenamed("id", id_col)

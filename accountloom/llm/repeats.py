@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accountloom.llm.common import (
-    _P, _powers, buckets_for, flat_ranges, gram_hashes, hash_spans, mix, pieces, prepare, text_buffer)
+    _P, _powers, buckets_for, flat_ranges, gram_hashes, hash_spans, mix, pieces, prepare, text_buffer, tidy)
 
 BUCKET_BYTES = 6 << 20
 """Bytes of text per shard; a bucket, whose records are smaller, takes four times as many."""
@@ -213,7 +213,7 @@ def _anchors(docs: DataFrame, u: Units, n: int) -> DataFrame:
                                 "runs": _planes(count.astype(np.int32))} | {k: _planes(v[part]) for k, v in columns.items()})
             yield _batch(records, _ANCHORS)
 
-    return docs.mapInArrow(run, _ddl(_ANCHORS))
+    return docs.mapInArrow(tidy(run), _ddl(_ANCHORS))
 
 
 def _repeating(u: Units) -> Callable[[pa.Table], pa.Table]:
@@ -262,7 +262,7 @@ def _stretches(docs: DataFrame, u: Units, n: int) -> DataFrame:
                 order = order[~settled[order]]
                 yield from _send(units, first, row[order], start[order], size[order], keys[lo:hi], ranks[lo:hi], u, n)
 
-    return docs.mapInArrow(run, _ddl(_SENT))
+    return docs.mapInArrow(tidy(run), _ddl(_SENT))
 
 
 def _settled(row: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, u: Units,
@@ -378,10 +378,10 @@ def earlier_windows(docs: DataFrame, id_col: str, text_col: str, u: Units,
     ranked = F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("rank")
     # All three joins need the same columns of ``rows``, so its one shuffle serves them all.
     runs = _anchors(rows.join(heads, "key").select("key", "id", ranked, "text"), u, buckets_for(total, 4 * bucket_bytes)) \
-        .groupBy("bucket").applyInArrow(_repeating(u), _ddl(_FOUND)) \
+        .groupBy("bucket").applyInArrow(tidy(_repeating(u)), _ddl(_FOUND)) \
         .groupBy("key").agg(F.collect_set("run").alias("runs"))
     sent = _stretches(rows.join(runs, "key").select("key", ranked, "text", "runs"), u, n)
-    verdicts = sent.groupBy("bucket").applyInArrow(_solved(u, solve), _ddl(_RUNS)) \
+    verdicts = sent.groupBy("bucket").applyInArrow(tidy(_solved(u, solve)), _ddl(_RUNS)) \
         .groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     return rows.join(heads.join(verdicts, "key", "left"), "key", "left") \
         .select("id", "text", "gone", F.col("head").isNull().alias("whole"))

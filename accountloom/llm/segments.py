@@ -82,7 +82,7 @@ class Segmented:
 class Cache:
     """What a worker has encoded so far: counts, or ids in one pool; both are bounded."""
 
-    def __init__(self, path: str, bits: int = 22, pool: int = 1 << 23):
+    def __init__(self, path: str, bits: int = 21, pool: int = 1 << 22):
         self.path, self.table, self.limit = path, Table(bits, np.int64), pool
         self.pool, self.used = np.empty(0, np.int32), 0
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from accountloom.llm.common import flat_ranges, text_buffer
+from accountloom.llm.common import flat_ranges, text_buffer, tidy
 from accountloom.llm.repeats import BUCKET_BYTES, Stretches, Units, earlier_windows
 
 WINDOW = 50
@@ -155,6 +155,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 pa.string()))]], ["id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return earlier_windows(docs, id_col, text_col, u, sort_blocks, bucket_bytes).mapInArrow(
-        finish, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, "
+    return earlier_windows(docs, id_col, text_col, u, sort_blocks, bucket_bytes).mapInArrow(tidy(finish), f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, "
                 "kept_sha256 string").withColumnRenamed("id", id_col)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accountloom.llm.common import Table, prepare
+from accountloom.llm.common import Table, prepare, tidy
 from accountloom.llm.segments import Segmented, encode, row_sums, white_led, worker_cache
 
 FREQUENT = 1 << 18
@@ -39,7 +39,7 @@ def frequent_segments(docs: DataFrame, text_col: str, frequent: int, summary: in
             yield pa.record_batch([pa.array(seg.strings(short[first[top]]), pa.string()), pa.array(count[top])],
                                   ["segment", "n"])
 
-    told = docs.select(F.col(text_col).alias("text")).mapInArrow(tell, "segment string, n long")
+    told = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(tell), "segment string, n long")
     best = told.groupBy("segment").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "segment").limit(frequent)
     return [r.segment for r in best.select("segment").collect()]
 
@@ -82,5 +82,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
-        .mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean") \
+        .mapInArrow(tidy(count), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean") \
         .withColumnRenamed("id", id_col)

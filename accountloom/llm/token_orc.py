@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from accountloom.llm.common import prepare, buckets_for, flat_ranges, text_bytes
+from accountloom.llm.common import prepare, buckets_for, flat_ranges, text_bytes, tidy
 from accountloom.llm.segments import Segmented, bare, encode, worker_cache
 from accountloom.session import cut_lineage
 
@@ -47,7 +47,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> Da
             yield pa.record_batch([batch.column(0), ids], ["id", "ids"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, ids array<int>")
+    return docs.mapInArrow(tidy(run), f"id {kind}, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -92,7 +92,7 @@ def token_index(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     kind = tokens.schema[id_col].dataType.simpleString()
     rows = cut_lineage(tokens.select("place", F.col(id_col).alias("id"), "ids")
-                       .mapInArrow(digest, f"place long, id {kind}, n_tokens long, ids_crc32 long")) \
+                       .mapInArrow(tidy(digest), f"place long, id {kind}, n_tokens long, ids_crc32 long")) \
         .withColumn("block", F.shiftright("place", ORDER_BITS))
     blocks = rows.groupBy("block").agg(F.sum("n_tokens").alias("sum"))
     before = blocks.select("block", (F.sum("sum").over(Window.orderBy("block")) - F.col("sum")).alias("before"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accountloom.llm.common import prepare
+from accountloom.llm.common import prepare, tidy
 
 WINDOW = 8
 LEVEL = 5
@@ -202,7 +202,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double") \
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, score double") \
         .select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
                 (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -220,4 +220,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
             yield batch.filter(pa.array([score(t.as_py() or "", shared.value, pair) < threshold for t in batch.column(at)],
                                         pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
