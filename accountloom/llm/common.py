@@ -136,7 +136,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 class Table:
     """A fixed-size open-addressing table from 64-bit hashes to integers, in two numpy arrays.
 
-    It is a cache: when half full it starts anew, so its memory is bounded.
+    Its memory is fixed: ``room`` tells whether more hashes fit.
     """
 
     def __init__(self, bits: int, dtype: type = np.int64):
@@ -164,11 +164,6 @@ class Table:
     def room(self, n: int) -> bool:
         return 2 * (self.used + n) <= len(self.keys)
 
-    def clear(self) -> None:
-        self.keys[:] = 0
-        self.values[:] = -1
-        self.used = 0
-
     def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
         """Add distinct unknown hashes; the caller has seen to it that there is room."""
         slots, mask, open_ = self._slots(hashes), (1 << self.bits) - 1, np.arange(len(hashes))

@@ -80,7 +80,7 @@ class Segmented:
 
 
 class Cache:
-    """What a worker has encoded so far: counts, or ids in one pool; both are bounded."""
+    """What a worker has encoded so far, until it is full: counts, or ids in one pool."""
 
     def __init__(self, path: str, bits: int = 21, pool: int = 1 << 22):
         self.path, self.table, self.limit = path, Table(bits, np.int64), pool
@@ -97,8 +97,6 @@ class Cache:
             for lo in range(0, len(new), 20_000):
                 lengths[lo:lo + 20_000] = [len(x) for x in encode(self.path, seg.strings(at[lo:lo + 20_000]))]
             out[miss] = lengths[back]
-            if not self.table.room(len(new)):
-                self.table.clear()
             if self.table.room(len(new)):
                 self.table.put(new, lengths)
         return out
@@ -108,11 +106,7 @@ class Cache:
         where = self.table.get(seg.hashes)
         open_ = np.flatnonzero(where < 0)
         new, first, back = np.unique(seg.hashes[open_], return_index=True, return_inverse=True)
-        if self.used > self.limit or not self.table.room(len(new)):
-            self.table.clear()
-            self.used, open_ = 0, np.arange(len(where))
-            new, first, back = np.unique(seg.hashes, return_index=True, return_inverse=True)
-        first = open_[first]
+        first, kept = open_[first], self.used
         found = np.empty(len(new), np.int64)
         for lo in range(0, len(new), 20_000):
             ids = encode(self.path, seg.strings(first[lo:lo + 20_000]))
@@ -125,8 +119,10 @@ class Cache:
                 raise ValueError("a segment of more than 2^24 tokens")
             found[lo:lo + 20_000] = ((self.used + np.cumsum(lengths) - lengths) << 24) | lengths
             self.used += len(flat)
-        if self.table.room(len(new)):
+        if self.table.room(len(new)) and self.used <= self.limit:
             self.table.put(new, found)
+        else:  # what came first is what is frequent: keep that, and let these be overwritten
+            self.used = kept
         where[open_] = found[back]
         return self.pool, where >> 24, where & ((1 << 24) - 1)
 
