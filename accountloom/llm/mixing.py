@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 NOISE = "#*$%&|<>{}[]_=+~^@0123456789"
 """Characters that lower a document's quality weight."""
 BUCKET_ROWS = 2000
+BROADCAST_SOURCES = 50_000
+"""Up to so many sources, one row of about 100 bytes each, are broadcast; more are joined by shuffle."""
 _HASH_DIGITS = 13
 
 
@@ -107,6 +109,12 @@ def mixture(rows: DataFrame, pattern: tuple[float, ...], share: float, most: flo
         .select(F.col("source").alias("mix_source"), "source_size", "target", "epochs", "cut")
 
 
+def _per_source(plan: DataFrame) -> DataFrame:
+    """The plan, written once; broadcast if its counted rows are few, so no source's rows are moved."""
+    plan = cut_lineage(plan)
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+
 def _place() -> tuple[Column, Column]:
     own = F.struct(F.col("key"), F.col("id"), F.col("size"))
     cut = F.struct(F.col("cut.key"), F.col("cut.id"), F.col("cut.size"))
@@ -127,7 +135,7 @@ def mix(docs: DataFrame, pattern: tuple[float, ...] = (3, 1, 2), share: float =
     """
     rows = cut_lineage(sized(docs, id_col, text_col, source_col))
     before, at = _place()
-    return rows.join(mixture(rows, pattern, share, most), F.col("source").eqNullSafe(F.col("mix_source"))) \
+    return rows.join(_per_source(mixture(rows, pattern, share, most)), F.col("source").eqNullSafe(F.col("mix_source"))) \
         .select(F.col("id").alias(id_col), "size", "source_size", "target", (
             F.col("epochs") * F.col("size") + F.when(before, F.col("size")).when(at, F.col("cut.words"))
             .otherwise(F.lit(0))).cast("long").alias("taken"))
@@ -140,7 +148,7 @@ def mixed_documents(docs: DataFrame, pattern: tuple[float, ...] = (3, 1, 2), sha
     A document taken in part is written whole, at most one more copy per source.
     """
     rows = cut_lineage(sized(docs, id_col, text_col, source_col))
-    plan = mixture(rows, pattern, share, most)
+    plan = _per_source(mixture(rows, pattern, share, most))
     before, at = _place()
     text, all_of_it = F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return docs.select(all_of_it, F.col(id_col).alias("id"), F.col(source_col).alias("source"),
