@@ -140,7 +140,7 @@ _ANCHORS = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in (
     "hash", "whole", "more", "key", "rank", "runs", "start", "size", "kind")]])
 _FOUND = pa.schema([("key", pa.int64()), ("run", pa.int64())])
 OPEN, SEVERAL, ON, GONE = 0, 1, 2, 3
-"""Of a run: not known to repeat; its batch has more stretches of its anchor; goes on; settled."""
+"""Of a run: not known to repeat; its batch has runs of its anchor that go on unseen; goes on; settled."""
 _RUNS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 _SENT = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in (
     "units", "length", "anchor", "rank", "key", "at")]])
@@ -193,7 +193,7 @@ def _anchors(docs: DataFrame, u: Units, n: int) -> DataFrame:
             live = live[np.argsort(h[live], kind="stable")]
             new = np.concatenate([[True], h[live[1:]] != h[live[:-1]]])
             turn = np.arange(len(live)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-            several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+            several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > VARIANTS
             kind[live[several]] = SEVERAL
             kind[live[turn >= VARIANTS]] = ON
             spread = mix(key.view(np.uint64) + start.astype(np.uint64))
@@ -235,8 +235,9 @@ def _repeating(u: Units) -> Callable[[pa.Table], pa.Table]:
         group = np.cumsum(new) - 1
         low, high = (f(whole[left], np.flatnonzero(new)) for f in (np.minimum.reduceat, np.maximum.reduceat)) \
             if len(left) else (whole[left], whole[left])
-        known = np.bincount(group, weights=kind[left] == SEVERAL) > 0 if len(left) else new
-        on[left[((low != high) | known)[group]]] = True
+        # Runs that went on unseen may equal any of the anchor's, also where those handed in with them are lost.
+        known = np.isin(h[left], h[own[kind[own] == SEVERAL]])
+        on[left[(low != high)[group] | known]] = True
         some = np.flatnonzero(gone | on)
         return pa.table([pa.array(key[some]), pa.array((start[some] << 9) | (size[some] << 1) | gone[some])], schema=_FOUND)
 

@@ -148,6 +148,23 @@ def test_random_bytes_against_brute_force(spark):
     assert got == brute.op4(rows)
 
 
+@pytest.mark.parametrize("copies", [6, 20])
+def test_many_copies_in_one_document_and_the_first_in_another_batch(spark, copies):
+    words = cases.vocabulary(300, 11)
+    passage = " ".join(words[:40])
+    rows = [(1, f"{' '.join(words[40:80])} {passage} {' '.join(words[80:120])}"),
+            (2, " ".join(f"{passage} {' '.join(words[120 + 9 * i:129 + 9 * i])}" for i in range(copies)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = by_id(suffix_dedup.remove_repeats(df).withColumn("n_spans", F.size("spans")),
+                    "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == brute.op10(rows)
+        assert by_id(phrase_dedup.remove_repeats(df), "n_words", "n_removed", "kept_sha256") == brute.op4(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("tile_bytes", [jaccard_join.TILE_BYTES, 1500])
 def test_jaccard(docs, plain, empty, tile_bytes):
     got = by_id(jaccard_join.similar_classes(docs, bucket_bytes=SMALL, tile_bytes=tile_bytes), "n_shingles", "component_id")
