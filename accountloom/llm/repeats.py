@@ -10,12 +10,15 @@ window can repeat only if its anchor does. Neighbouring windows mostly share an
    bucket settles equal stretches: all but the earliest start earlier elsewhere. Where an anchor
    has several stretches, one of each goes on.
 3. Those are dealt into shards by anchor, units and all, and a solver of the operator's own finds,
-   exactly, which windows start earlier elsewhere.
+   exactly, which windows start earlier elsewhere. Of a hot anchor, one with very many stretches,
+   no stretch is sent: each of its windows goes by its own hash to any shard, which settles equal
+   ones like a bucket settles equal stretches.
 4. The verdicts go back to the documents by key.
 
-Hot anchors and hot stretches do not pile up: a batch settles its own equal stretches, and hands
-in a few stretches of any anchor to its bucket (the others are known to go on). Buckets and shards
-are as many as the size of the input asks for.
+Hot anchors, stretches and windows do not pile up: a batch settles its own equal ones, and hands
+in at most ``VARIANTS`` runs of any anchor to its bucket. The others go on, and since their anchor
+is then hot for its bucket, too, all its windows meet. Buckets and shards are as many as the size
+of the input asks for.
 """
 
 from __future__ import annotations
@@ -33,8 +36,12 @@ from accountloom.llm.common import (
 
 BUCKET_BYTES = 6 << 20
 """Bytes of text per shard; a bucket, whose records are smaller, takes four times as many."""
-VARIANTS = 4
-"""How many stretches of an anchor a batch hands in to the anchor's bucket."""
+VARIANTS = 64
+"""How many runs of an anchor a batch hands in to the anchor's bucket; an anchor with more is hot."""
+HOT = 4096
+"""An anchor of which a bucket sends on more runs is hot, too: its windows are dealt one by one."""
+SLICE = 1 << 14
+"""So many runs of hot anchors are cut into windows together."""
 STEP = 1 << 19
 LAST = (1 << 63) - 1
 
@@ -142,12 +149,14 @@ _FOUND = pa.schema([("key", pa.int64()), ("run", pa.int64())])
 OPEN, SEVERAL, ON, GONE = 0, 1, 2, 3
 """Of a run: not known to repeat; its batch has runs of its anchor that go on unseen; goes on; settled."""
 _RUNS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
-_SENT = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in (
+_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(n, pa.binary()) for n in (
     "units", "length", "anchor", "rank", "key", "at")]])
+STRETCH, KNOWN, WINDOWS = 0, 1, 2
+"""What is sent: stretches; runs that are settled; windows of hot anchors, by name in place of units."""
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {"int32": "int", "int64": "bigint", "bool": "boolean", "binary": "binary"}
+    names = {"int32": "int", "int64": "bigint", "binary": "binary"}
     return ", ".join(f"{f.name} {names[str(f.type)]}" for f in schema)
 
 
@@ -188,7 +197,7 @@ def _anchors(docs: DataFrame, u: Units, n: int) -> DataFrame:
             rank, key = ranks[row], keys[row]
             gone, head = _settle(h, whole, rank, key, start, u)
             kind = np.where(gone, GONE, OPEN).astype(np.uint8)
-            # Stretches of one anchor: the first few go to its bucket, the others go on at once.
+            # Runs of one anchor: the first go to its bucket, the others go on at once, and are hot.
             live = np.flatnonzero(~gone)
             live = live[np.argsort(h[live], kind="stable")]
             new = np.concatenate([[True], h[live[1:]] != h[live[:-1]]])
@@ -217,7 +226,7 @@ def _anchors(docs: DataFrame, u: Units, n: int) -> DataFrame:
 
 
 def _repeating(u: Units) -> Callable[[pa.Table], pa.Table]:
-    """The runs of a bucket that go on, and those that are settled (lowest bit)."""
+    """The runs of a bucket that go on, and those that are settled (lowest bit); the next bit marks hot ones."""
     def run(table: pa.Table) -> pa.Table:
         h = _joined(table, "hash", "<u4").astype(np.uint64)
         whole = _joined(table, "whole", "<u4").astype(np.uint64) | (_joined(table, "more", "u1").astype(np.uint64) << np.uint64(32))
@@ -225,6 +234,7 @@ def _repeating(u: Units) -> Callable[[pa.Table], pa.Table]:
         runs, kind = _joined(table, "runs", "<i4"), _joined(table, "kind", "u1")
         key, rank = np.repeat(_joined(table, "key", "<i8"), runs), np.repeat(_joined(table, "rank", "<i8"), runs)
         gone, on = kind == GONE, kind == ON
+        hot = on.copy()
         own = np.flatnonzero(kind < ON)
         lost, _ = _settle(h[own], whole[own], rank[own], key[own], start[own], u)
         gone[own[lost]] = True
@@ -237,9 +247,11 @@ def _repeating(u: Units) -> Callable[[pa.Table], pa.Table]:
             if len(left) else (whole[left], whole[left])
         # Runs that went on unseen may equal any of the anchor's, also where those handed in with them are lost.
         known = np.isin(h[left], h[own[kind[own] == SEVERAL]])
+        hot[left[known | ((low != high) & (np.bincount(group, minlength=len(low)) > HOT))[group]]] = True
         on[left[(low != high)[group] | known]] = True
         some = np.flatnonzero(gone | on)
-        return pa.table([pa.array(key[some]), pa.array((start[some] << 9) | (size[some] << 1) | gone[some])], schema=_FOUND)
+        found = (start[some] << 10) | (size[some] << 2) | (hot[some].astype(np.int64) << 1) | gone[some]
+        return pa.table([pa.array(key[some]), pa.array(found)], schema=_FOUND)
 
     return run
 
@@ -257,10 +269,15 @@ def _stretches(docs: DataFrame, u: Units, n: int) -> DataFrame:
                 row = np.repeat(np.arange(hi - lo), np.diff(edge[lo:hi + 1]))
                 own = flat[edge[lo]:edge[hi]]
                 settled = (own & 1).astype(bool)
-                start, size = own >> 9, (own >> 1) & 255
+                hot = ~settled & ((own >> 1) & 1).astype(bool)
+                start, size = own >> 10, (own >> 2) & 255
                 yield from _settled(row[settled], start[settled], size[settled], keys[lo:hi], u, n)
                 order = np.lexsort((start, row))
-                order = order[~settled[order]]
+                alone = order[hot[order]]
+                for a in range(0, len(alone), SLICE):
+                    i = alone[a:a + SLICE]
+                    yield from _send_windows(units, first, row[i], start[i], size[i], keys[lo:hi], ranks[lo:hi], u, n)
+                order = order[~settled[order] & ~hot[order]]
                 yield from _send(units, first, row[order], start[order], size[order], keys[lo:hi], ranks[lo:hi], u, n)
 
     return docs.mapInArrow(tidy(run), _ddl(_SENT))
@@ -271,9 +288,9 @@ def _settled(row: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndar
     """Settled runs, spread over the shards by document."""
     if len(row):
         spread = (mix(keys[row].view(np.uint64)) >> np.uint64(32)) % np.uint64(n)
-        yield _batch([{"known": True, "units": b"", "anchor": b"", "rank": b""} | x for x in _packed(
+        yield _batch([{"kind": KNOWN, "units": b"", "anchor": b"", "rank": b""} | x for x in _packed(
             spread.astype(np.int64), n, {"key": keys[row], "at": start.astype(np.int32),
-                                         "length": (size + u.window - 1).astype(np.uint16)})], _SENT)
+                                         "length": size.astype(np.int32)})], _SENT)
 
 
 def _send(units: np.ndarray, first: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray,
@@ -294,12 +311,47 @@ def _send(units: np.ndarray, first: np.ndarray, row: np.ndarray, start: np.ndarr
     records = []
     for b in np.flatnonzero(np.diff(edges)):
         i = order[edges[b]:edges[b + 1]]
-        records.append({"bucket": int(b), "known": False} | {k: _planes(v) for k, v in (
+        records.append({"bucket": int(b), "kind": STRETCH} | {k: _planes(v) for k, v in (
             ("rank", ranks[row[i]]), ("key", keys[row[i]]), ("units", _concat(units, edge[i], length[i]).astype(u.dtype)),
             ("length", length[i].astype(np.uint16)), ("anchor", anchor[i]), ("at", start[i].astype(np.int32)))})
     yield _batch(records, _SENT)
 
 
+def _send_windows(units: np.ndarray, first: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray,
+                  keys: np.ndarray, ranks: np.ndarray, u: Units, n: int) -> Iterator[pa.RecordBatch]:
+    """The windows of runs, by row and start, each to a shard by its hash; what is settled here is known."""
+    if not len(row):
+        return
+    length = size + u.window - 1
+    units = _concat(units, first[row] + start, length)
+    at = flat_ranges(np.cumsum(length) - length, size)
+    row, start = np.repeat(row, size), flat_ranges(start, size)
+    part = units.astype(np.uint64) + np.uint64(1)
+    deal = gram_hashes(part, u.window)[at]
+    name = mix(deal) ^ gram_hashes(mix(part), u.window)[at]
+    none = np.zeros(len(name), np.uint64)
+    gone, _ = _settle(none, name, ranks[row], keys[row], start, u)
+    lost, live = np.flatnonzero(gone), np.flatnonzero(~gone)
+    head, count = _in_a_row(row[lost], start[lost], none[lost])
+    yield from _settled(row[lost[head]], start[lost[head]], count, keys, u, n)
+    # Equal windows in a row, as in a text of one letter, stay together.
+    head, count = _in_a_row(row[live], start[live], name[live])
+    live = live[head]
+    if len(live):
+        bucket = ((deal[live] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+        yield _batch([{"kind": WINDOWS, "anchor": b""} | x for x in _packed(bucket, n, {
+            "units": name[live], "length": count.astype(np.int32), "rank": ranks[row[live]], "key": keys[row[live]],
+            "at": start[live].astype(np.int32)})], _SENT)
+
+
+def _in_a_row(row: np.ndarray, start: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first and number of windows of the same name that follow each other in a row."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (name[1:] != name[:-1])
+    head = np.flatnonzero(new)
+    return head, np.diff(np.append(head, len(row)))
+
+
 def _concat(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return values[flat_ranges(starts, lengths)]
 
@@ -307,13 +359,19 @@ def _concat(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 def _solved(u: Units, solve: Callable[[Stretches, Units], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
     """A shard's runs of windows that start earlier elsewhere."""
     def run(table: pa.Table) -> pa.Table:
-        kind = table.column("known").to_numpy()
+        kind = table.column("kind").to_numpy()
         out = []
-        known = table.filter(pa.array(kind))
+        known = table.filter(pa.array(kind == KNOWN))
         if known.num_rows:
             out.append((_joined(known, "key", "<i8"), _joined(known, "at", "<i4").astype(np.int64),
-                        _joined(known, "length", "<u2").astype(np.int64) - u.window + 1))
-        own = table.filter(pa.array(~kind))
+                        _joined(known, "length", "<i4").astype(np.int64)))
+        alone = table.filter(pa.array(kind == WINDOWS))
+        if alone.num_rows:
+            name, rank, key, at, n = (_joined(alone, *x) for x in (
+                ("units", "<u8"), ("rank", "<i8"), ("key", "<i8"), ("at", "<i4"), ("length", "<i4")))
+            gone, _ = _settle(np.zeros(len(name), np.uint64), name, rank, key, at, u)
+            out.append((key[gone], at[gone].astype(np.int64), n[gone].astype(np.int64)))
+        own = table.filter(pa.array(kind == STRETCH))
         if own.num_rows:
             out.append(_later(u, solve, *[_joined(own, *x).astype(x[1] if x[0] == "units" else np.int64) for x in (
                 ("units", u.dtype), ("length", "<u2"), ("anchor", "<u2"), ("rank", "<i8"), ("key", "<i8"), ("at", "<i4"))]))

@@ -165,6 +165,45 @@ def test_many_copies_in_one_document_and_the_first_in_another_batch(spark, copie
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_no_shard_holds_all_stretches_of_a_hot_anchor(spark):
+    import random
+
+    from accountloom.llm.repeats import earlier_windows
+
+    r = random.Random(8)
+    passage = [r.choice(cases.vocabulary(200, 12)) for _ in range(50)]
+
+    def own() -> list[str]:
+        return ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(30)]
+
+    rows = [(i, " ".join(own() + passage + own())) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for units, solve in ((suffix_dedup.UNITS, suffix_dedup.sort_blocks), (phrase_dedup.UNITS, phrase_dedup.locate)):
+        def bounded(s, u, solve=solve):
+            assert len(s.lengths) < 200
+            return solve(s, u)
+
+        assert earlier_windows(df, "doc_id", "text", units, bounded, SMALL).where("size(gone) > 0").count() == 399
+    got = by_id(suffix_dedup.remove_repeats(df, bucket_bytes=SMALL).withColumn("n_spans", F.size("spans")),
+                "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.op10(rows)
+    got = by_id(phrase_dedup.remove_repeats(df, bucket_bytes=SMALL), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.op4(rows)
+
+
+@pytest.mark.parametrize("variants, hot", [(1, 1), (64, 1), (2, 4096)])
+def test_hot_anchors_change_nothing(docs, plain, monkeypatch, variants, hot):
+    from accountloom.llm import repeats
+
+    monkeypatch.setattr(repeats, "VARIANTS", variants)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    got = by_id(suffix_dedup.remove_repeats(docs, bucket_bytes=SMALL).withColumn("n_spans", F.size("spans")),
+                "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.op10(plain)
+    got = by_id(phrase_dedup.remove_repeats(docs, bucket_bytes=SMALL), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.op4(plain)
+
+
 @pytest.mark.parametrize("tile_bytes", [jaccard_join.TILE_BYTES, 1500])
 def test_jaccard(docs, plain, empty, tile_bytes):
     got = by_id(jaccard_join.similar_classes(docs, bucket_bytes=SMALL, tile_bytes=tile_bytes), "n_shingles", "component_id")
