@@ -29,9 +29,11 @@ times as many ordinary ones. This bounds the fit, which runs on the driver."""
 ORDINARY = 4
 SAMPLE_CHARS = 1 << 14
 """Longer labelled texts are not used for fitting."""
-PLAIN_BYTES, TOXIC_BYTES = 8192, 1024
+PLAIN_BYTES = 8192
+TOXIC = ((512, 512), (1024, 1024), (1024, 2048))
+"""Choices for the toxic dictionary: its size, and the bytes of the words, those that tell most, whose
+passages it is trained on. The choice with the least loss out of fold is taken."""
 GRAM = 6
-PHI, Z, SEEN = 0.13, 4.0, 4
 FOLDS = 3
 SAVINGS = (2, 4)
 
@@ -55,25 +57,32 @@ def windows_of(text: str) -> list[bytes]:
 
 
 def _grams(word: bytes) -> list[bytes]:
+    """The pieces of a word with its blanks; a shorter word is one piece."""
     word = b" " + word + b" "
-    return [word[i:i + GRAM] for i in range(len(word) - GRAM + 1)]
+    return [word[i:i + GRAM] for i in range(max(1, len(word) - GRAM + 1))]
 
 
-def telling_grams(texts: list[str], labels: np.ndarray) -> set[bytes]:
-    """Byte sequences that more toxic than ordinary texts hold, by a clear margin."""
+def telling_words(texts: list[str], labels: np.ndarray) -> list[bytes]:
+    """Words of toxic texts by how much more of these than of ordinary ones hold a piece of theirs.
+
+    The order is by the z score of the difference of the two shares, that of the word's best piece.
+    Only words without any piece that is more frequent in toxic texts are left out.
+    """
     held = (Counter(), Counter())
+    words: set[bytes] = set()
     for text, label in zip(texts, labels.tolist()):
-        held[label].update({g for w in set(words_of(text)) for g in _grams(w)})
+        own = set(words_of(text))
+        held[label].update({g for w in own for g in _grams(w)})
+        if label:
+            words |= own
     n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
-    out = set()
+    z = {}
     for gram, toxic in held[1].items():
         share = (toxic + held[0][gram]) / (n0 + n1)
-        if toxic < SEEN or share == 1:
-            continue
-        z = (toxic / n1 - held[0][gram] / max(n0, 1)) / (share * (1 - share) * (1 / n1 + 1 / max(n0, 1))) ** 0.5
-        if z >= Z and z / (n0 + n1) ** 0.5 >= PHI:
-            out.add(gram)
-    return out
+        z[gram] = 0.0 if share == 1 else (toxic / n1 - held[0][gram] / max(n0, 1)) \
+            / (share * (1 - share) * (1 / n1 + 1 / max(n0, 1))) ** 0.5
+    best = {w: max(z[g] for g in _grams(w)) for w in words}
+    return sorted((w for w in words if best[w] > 0), key=lambda w: (-best[w], w))
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -86,22 +95,26 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def dictionaries(texts: list[str], labels: np.ndarray) -> tuple[bytes, bytes]:
-    """The ordinary dictionary, and the toxic one: passages that tell, then the ordinary one."""
+def dictionaries(texts: list[str], labels: np.ndarray, choices: tuple[tuple[int, int], ...] = TOXIC) -> list[bytes]:
+    """The ordinary dictionary, and a toxic one of every choice: passages that tell, then the ordinary one."""
     plain = _trained([w for t, y in zip(texts, labels) if not y for w in windows_of(t)][:100_000], PLAIN_BYTES)
-    telling = telling_grams(texts, labels)
-    passages = [b" " + w for t, y in zip(texts, labels) if y for w in words_of(t)
-                if any(g in telling for g in _grams(w))]
-    toxic = _trained([b"".join(passages[i:i + GRAM]) for i in range(0, len(passages), GRAM)], TOXIC_BYTES)
     plain = plain or b"\0" * 8
-    return plain, toxic + plain
+    ranked = telling_words(texts, labels)
+    upto = np.cumsum([len(w) + 1 for w in ranked])
+    words = [w for t, y in zip(texts, labels) if y for w in words_of(t)]
+    out = [plain]
+    for size, ranked_bytes in choices:
+        telling = set(ranked[:int(np.searchsorted(upto, ranked_bytes)) + 1])
+        passages = [b" " + w for w in words if w in telling]
+        out.append(_trained([b"".join(passages[i:i + GRAM]) for i in range(0, len(passages), GRAM)], size) + plain)
+    return out
 
 
-def compressors(plain: bytes, toxic: bytes):
+def compressors(*contents: bytes):
     import zstandard
 
     out = []
-    for content in (plain, toxic):
+    for content in contents:
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(level=LEVEL)
         out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False,
@@ -111,15 +124,21 @@ def compressors(plain: bytes, toxic: bytes):
 
 def features(text: str, pair) -> list[float]:
     """Savings of all windows of the whole text; zeros for a text without words."""
+    return features_by_choice(text, pair)[0]
+
+
+def features_by_choice(text: str, held) -> list[list[float]]:
+    """The features with every toxic dictionary; ``held`` are compressors, that of ordinary text first."""
     windows = windows_of(text)
     if not windows:
-        return [0.0] * (4 + len(SAVINGS))
-    plain, toxic = pair
-    saved = np.fromiter(map(len, map(plain, windows)), np.int64, len(windows)) \
-        - np.fromiter(map(len, map(toxic, windows)), np.int64, len(windows))
-    top = np.sort(saved)[-3:]
-    return [float(saved.mean()), *[float((saved >= s).mean()) for s in SAVINGS], float(top.mean()), float(top[-1]),
-            float(np.log1p(len(windows)))]
+        return [[0.0] * (4 + len(SAVINGS))] * (len(held) - 1)
+    plain, *toxic = (np.fromiter(map(len, map(c, windows)), np.int64, len(windows)) for c in held)
+    out = []
+    for saved in (plain - t for t in toxic):
+        top = np.sort(saved)[-3:]
+        out.append([float(saved.mean()), *[float((saved >= s).mean()) for s in SAVINGS], float(top.mean()),
+                    float(top[-1]), float(np.log1p(len(windows)))])
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -137,16 +156,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """Dictionaries from all texts; the calibration from texts that their fold's had not seen."""
+    """Dictionaries from all texts; their choice and the calibration from texts that their fold's had not seen."""
     fold = np.arange(len(texts)) % FOLDS
-    x = np.zeros((max(1, len(texts)), 4 + len(SAVINGS)))
+    x = np.zeros((len(TOXIC), max(1, len(texts)), 4 + len(SAVINGS)))
     for f in range(FOLDS):
-        pair = compressors(*dictionaries([t for t, g in zip(texts, fold) if g != f], labels[fold != f]))
+        held = compressors(*dictionaries([t for t, g in zip(texts, fold) if g != f], labels[fold != f]))
         for i in np.flatnonzero(fold == f).tolist():
-            x[i] = features(texts[i], pair)
+            x[:, i] = features_by_choice(texts[i], held)
     y = labels.astype(float) if len(texts) else np.zeros(1)
-    center, scale = x.mean(0), x.std(0) + 1e-9
-    return Model(*dictionaries(texts, labels), center, scale, _logistic((x - center) / scale, y))
+    fits = []
+    for choice, own in zip(TOXIC, x):
+        center, scale = own.mean(0), own.std(0) + 1e-9
+        weights = _logistic((own - center) / scale, y)
+        odds = weights[0] + (own - center) / scale @ weights[1:]
+        fits.append((float(np.mean(np.logaddexp(0, odds) - y * odds)), choice, center, scale, weights))
+    _, choice, center, scale, weights = min(fits, key=lambda x: x[:2])
+    return Model(*dictionaries(texts, labels, (choice,)), center, scale, weights)
 
 
 def score(text: str, model: Model, pair) -> float:

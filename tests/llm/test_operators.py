@@ -314,3 +314,25 @@ def test_toxicity_held_out(spark, docs, empty):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in blank)
     assert toxicity.classify(empty, model).count() == 0
     assert toxicity.without_toxic(docs, model).columns == docs.columns
+
+
+def test_toxicity_learns_a_short_cue():
+    import random
+
+    import numpy as np
+
+    r, words = random.Random(9), cases.vocabulary(400, 9)
+
+    def text(toxic: bool) -> str:
+        own = [r.choice(words) for _ in range(60)]
+        if toxic:
+            for _ in range(3):
+                own[r.randrange(60)] = "vex"
+        return " ".join(own)
+
+    labels = np.array([int(i % 5 == 0) for i in range(1500)])
+    model = toxicity.fit([text(bool(y)) for y in labels], labels)
+    pair = toxicity.compressors(model.plain, model.toxic)
+    toxic, other = ([toxicity.score(text(y), model, pair) for _ in range(120)] for y in (True, False))
+    above = sum((a > b) + 0.5 * (a == b) for a in toxic for b in other) / (len(toxic) * len(other))
+    assert above > 0.9
