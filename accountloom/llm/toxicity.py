@@ -30,6 +30,8 @@ ORDINARY = 4
 SAMPLE_CHARS = 1 << 14
 """Longer labelled texts are not used for fitting."""
 PLAIN_BYTES = 8192
+PLAIN_WINDOWS = 100_000
+"""Most windows that the ordinary dictionary is trained on, every n-th of all those of the sample."""
 TOXIC = ((512, 512), (1024, 1024), (1024, 2048))
 """Choices for the toxic dictionary: its size, and the bytes of the words, those that tell most, whose
 passages it is trained on. The choice with the least loss out of fold is taken."""
@@ -97,7 +99,8 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 def dictionaries(texts: list[str], labels: np.ndarray, choices: tuple[tuple[int, int], ...] = TOXIC) -> list[bytes]:
     """The ordinary dictionary, and a toxic one of every choice: passages that tell, then the ordinary one."""
-    plain = _trained([w for t, y in zip(texts, labels) if not y for w in windows_of(t)][:100_000], PLAIN_BYTES)
+    ordinary = [w for t, y in zip(texts, labels) if not y for w in windows_of(t)]
+    plain = _trained(ordinary[::max(1, -(-len(ordinary) // PLAIN_WINDOWS))], PLAIN_BYTES)
     plain = plain or b"\0" * 8
     ranked = telling_words(texts, labels)
     upto = np.cumsum([len(w) + 1 for w in ranked])

@@ -336,3 +336,16 @@ def test_toxicity_learns_a_short_cue():
     toxic, other = ([toxicity.score(text(y), model, pair) for _ in range(120)] for y in (True, False))
     above = sum((a > b) + 0.5 * (a == b) for a in toxic for b in other) / (len(toxic) * len(other))
     assert above > 0.9
+
+
+def test_toxicity_draws_ordinary_windows_from_all_texts(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "PLAIN_WINDOWS", 10, raising=False)
+    seen = []
+    monkeypatch.setattr(toxicity, "_trained", lambda samples, size: seen.append(samples) or b"x" * 8)
+    words = "%d one two three four five six seven"
+    # The first text alone has more windows than the old bound of 100000.
+    texts = [" ".join([words % 1] * 100_001), " ".join([words % 2] * 100_001), words % 3]
+    toxicity.dictionaries(texts, np.array([0, 0, 1]))
+    assert len(seen[0]) <= 10 and {w.split()[0] for w in seen[0]} == {b"1", b"2"}
