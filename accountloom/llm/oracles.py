@@ -143,7 +143,53 @@ SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed
   sha256(unhex(CASE WHEN removed IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+AUDIT = f"""
+WITH said AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+        min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+f AS (SELECT part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+        100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), doc_id > first] AS f,
+        coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d LEFT JOIN said USING (doc_id)),
+cell AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, f),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+perm AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+step AS (SELECT p, k AS step, p[k] AS own, p[1:k - 1] AS earlier FROM perm, (SELECT i AS k FROM x)),
+met AS (SELECT part, p, step, own, f[own] AS fails, len(list_filter(earlier, lambda i: f[i])) > 0 AS gone,
+          len(list_filter(f, lambda b: b)) = 1 AS alone, n, good, toxic FROM step, cell),
+r AS (SELECT part, p, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept,
+        coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+        coalesce(sum(n) FILTER (fails AND alone), 0) AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost FROM met GROUP BY part, p, step, own)
+SELECT part, array_to_string(list_transform(p, lambda i: 'ABCDE'[i]), '') AS filter_order, step::INT AS step, kept::BIGINT AS kept,
+  removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+RESAMPLED = f"""
+WITH RECURSIVE bit AS (SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+lookup AS (SELECT list(c ORDER BY byte) AS t FROM bit WHERE k = 8),
+d AS ({_words(LOWERED, ALNUM)}),
+b AS (SELECT regexp_extract_all({LOWERED}, '{ALNUM}') AS words FROM benchmark),
+dw AS (SELECT doc_id, unnest(words) AS word FROM d), bw AS (SELECT unnest(words) AS word FROM b),
+each AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)),
+crc AS (SELECT word, xor(list_reduce(list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INT, 2))::BIGINT),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM each, lookup),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN crc USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN crc USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+    / (((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))))::BIGINT AS gain
+  FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+v AS (SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (doc_id)),
+n AS (SELECT 10 * count(*) // 100 AS drawn FROM v WHERE n_features >= 20),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM v WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END::BIGINT AS rank
+FROM v LEFT JOIN r USING (doc_id), n"""
+
 ORACLE = {
     "op2_mixing": MIXING, "op3_decontaminate": DECONTAMINATE, "op4_phrase_dedup": PHRASES, "op5_jaccard_join": JACCARD,
     "op6_quality_rules": QUALITY, "op8_warc": ARCHIVES, "op10_suffix_dedup": SUFFIXES,
+    "op11_filter_audit": AUDIT, "op13_importance": RESAMPLED,
 }

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accountloom.llm import (
-    decontaminate, jaccard_join, mixing, phrase_dedup, quality_rules, suffix_dedup, token_counts, token_orc, toxicity, warc)
+    class_lm, decontaminate, filter_audit, importance, jaccard_join, mixing, phrase_dedup, quality_rules, suffix_dedup,
+    token_counts, token_orc, toxicity, warc)
 from accountloom.llm.common import read
 from accountloom.llm.oracles import ORACLE  # noqa: F401 - read by the entry module
 from accountloom.session import work_path
@@ -68,6 +69,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = class_lm.held_out(F.col("doc_id"))
+    scored = class_lm.score(docs, class_lm.train(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_mixing, op3_decontaminate, op4_phrase_dedup, op5_jaccard_join, op6_quality_rules,
-    op7_token_orc, op8_warc, op9_toxicity, op10_suffix_dedup)}
+    op7_token_orc, op8_warc, op9_toxicity, op10_suffix_dedup,
+    op11_filter_audit, op12_class_lm, op13_importance)}

@@ -171,3 +171,95 @@ def op10(docs, k=50):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(kept))
     return out
+
+
+def op11(docs, labels):
+    """docs: (id, text, lang); labels: (id, quality, toxic)."""
+    from itertools import permutations
+
+    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    least = {}
+    for i, t, _ in docs:
+        least[t or ""] = min(least.get(t or "", i), i)
+    rows = []
+    for i, t, part in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        bits = (len(w) < 200, 100 * len(set(w)) < 50 * len(w), 100 * len(re.findall("[A-Z]", t)) > 3 * len(t),
+                bool(re.search("[#$%&*|]", t)), i > least[t])
+        rows.append((part or "", {x for x, b in zip("ABCDE", bits) if b}, i in good, i in toxic))
+    out, share = {}, Counter()
+    for part in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == part]
+        for order in permutations("ABCDE"):
+            for k, x in enumerate(order):
+                before = set(order[:k])
+                here = [r for r in own if x in r[1] and not before & r[1]]
+                share[part, x] += len(here)
+                out[part, "".join(order), k + 1] = (
+                    sum(not (before | {x}) & r[1] for r in own), len(here), sum(x in r[1] and bool(before & r[1]) for r in own),
+                    sum(r[1] == {x} for r in own), sum(r[2] for r in here), sum(r[3] for r in here))
+    return {k: (*v, share[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def op12(docs, trained, classes, k, smooth=0.1, back_off=16.0):
+    """Scores with given classes of words; docs and trained: (id, text). The end is ' ' and in class 0."""
+    from math import log10
+
+    def tokens(text):
+        return [*WORD.findall((text or "").translate(LOWER)), " "]
+
+    count, follow = Counter(), Counter()
+    for _, text in trained:
+        seq = tokens(text)
+        count.update(seq)
+        follow.update(zip([classes[w] for w in [" ", *seq]], [classes[w] for w in seq]))
+    n, v = sum(count.values()), len(count)
+    if not n:
+        return {i: (len(tokens(t)), 0, 0, 0.0, 0.0) for i, t in docs}
+    size, once = Counter(), Counter()
+    for w, c in count.items():
+        size[classes[w]] += c
+        once[classes[w]] += c == 1
+    share = [(size[c] + smooth) / (n + smooth * k) for c in range(k)]
+
+    def after(c, d):
+        return share[d] if c is None else (follow[c, d] + back_off * share[d]) / (size[c] + back_off)
+
+    out = {}
+    for i, text in docs:
+        base = score = 0.0
+        seq, before = tokens(text), 0
+        for w in seq:
+            base += log10((count[w] + smooth) / (n + smooth * (v + 1)))
+            if w in count:
+                c = classes[w]
+                score += log10(after(before, c) * count[w] / (size[c] + once[c] + smooth))
+                before = c
+            else:
+                score += log10(sum(after(before, c) * (once[c] + smooth) / (size[c] + once[c] + smooth) for c in range(k)))
+                before = None
+        out[i] = (len(seq), sum(w in count for w in seq), n, base, score)
+    return out
+
+
+def op13(docs, items, runs=1, buckets=10_000, seed=2024, least=20, percent=10):
+    from math import floor, log
+
+    def found(text):
+        w = ALNUM.findall((text or "").translate(LOWER))
+        return len(w), [zlib.crc32(" ".join(w[a:a + k]).encode()) % buckets for k in range(1, runs + 1) for a in range(len(w) - k + 1)]
+
+    own = {i: found(t) for i, t in docs}
+    s = Counter(b for _, f in own.values() for b in f)
+    t = Counter(b for _, text in items for b in found(text)[1])
+    n_s, n_t = sum(s.values()), sum(t.values())
+    gain = [floor(1000 * log((t[b] + 1) * (n_s + buckets) / ((s[b] + 1) * (n_t + buckets)))) for b in range(buckets)]
+    out = {}
+    for i, (n, f) in own.items():
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(sha(f"{seed}:{i}".encode())[:8], 16)
+        out[i] = (n, len(f), weight, weight + floor(-1000 * log(-log((h + 0.5) / 4294967296))))
+    order = sorted((i for i in out if out[i][0] >= least), key=lambda i: (-out[i][3], i))
+    rank = {i: k + 1 for k, i in enumerate(order[:percent * len(order) // 100])}
+    return {i: (*x[1:], rank.get(i)) for i, x in out.items()}
