@@ -5,9 +5,9 @@ in its class. Classes are found by exchange: a word moves to the class in which
 the training text is greatest.
 
 Everything is counted over all training documents. One scan counts words. The most frequent ones
-(``CORE`` at most) are numbered, and a second scan counts pairs: those of two numbered words become
-one adjacency row per word, which a round of exchange reads with nothing but the words' classes
-and the class matrix at hand, both of fixed size. Half of the numbered words may move in a round, so that
+(``CORE`` at most) are numbered, and a second scan counts pairs: those of two numbered words are
+packed by ranges of words and merged into one adjacency table, which a round of exchange reads with
+nothing but the words' classes and the class matrix at hand, both of fixed size. Half of the numbered words may move in a round, so that
 words do not swap places for ever. Every other word, whatever its count, is then placed by the same
 exchange from its own neighbours, and the table of all words with their classes is written: it
 grows with the text and is never broadcast or collected.
@@ -116,14 +116,33 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
     return fit.where(F.lit(False) if least is None else step >= least)
 
 
-PAIRS = "kind int, v string, w string, l int, r int, n long"
+PAIRS = "kind int, v string, w string, l int, r int, n long, keys binary, counts binary"
+RANGES = 1024
+"""Ranges of numbered words, each of which is merged and moved as one row."""
+MERGE = 1 << 21
+"""Entries of a range that are held before they are merged."""
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit integers, all first bytes first, which compresses well."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def _width(n_words: int) -> int:
+    """How many numbers a range of words has."""
+    return -(-n_words // RANGES)
 
 
 def count_pairs(docs: DataFrame, text_col: str, core: pa.Array) -> DataFrame:
     """Neighbours over all documents, counted per batch; -1 stands for a word that has no number.
 
-    kind 0: numbered words l and r. kind 1: another word v with the number before it (l) and after it
-    (r). kind 2: two other words v and w.
+    kind 0: numbered words of the range l, once with the words after them (r = 1) and once with those
+    before (r = 0); keys are word x (numbers) + neighbour, in order, as differences. kind 1: another
+    word v with the number before it (l) and after it (r). kind 2: two other words v and w.
     """
     shared = docs.sparkSession.sparkContext.broadcast(core)  # at most ``CORE`` short words
 
@@ -139,28 +158,43 @@ def count_pairs(docs: DataFrame, text_col: str, core: pa.Array) -> DataFrame:
             known_l, known_r = left < base, right < base
             both = known_l & known_r
             keys, n = _counted(left[both] * base + right[both])
-            none = pa.nulls(len(keys), pa.string())
-            yield _pairs(0, none, none, keys // base, keys % base, n)
+            yield _ranges(keys, n, base, 1)
+            turned = keys % base * base + keys // base
+            order = np.argsort(turned)
+            yield _ranges(turned[order], n[order], base, 0)
             at = np.flatnonzero(~known_l[1:]) + 1  # the word itself stands between left[at - 1] and right[at]
             before = np.where(left[at - 1] < base, left[at - 1], -1) + 1
             after = np.where(right[at] < base, right[at], -1) + 1
             keys, n = _counted(((left[at] - base) * (base + 1) + before) * (base + 1) + after)
             word = keys // (base + 1) ** 2
-            yield _pairs(1, t.words.take(pa.array(word)), pa.nulls(len(keys), pa.string()),
-                         keys // (base + 1) % (base + 1) - 1, keys % (base + 1) - 1, n)
+            yield _pairs(1, keys // (base + 1) % (base + 1) - 1, keys % (base + 1) - 1, v=t.words.take(pa.array(word)), n=pa.array(n))
             rest = ~known_l & ~known_r
             own = len(t.words)
             keys, n = _counted((left[rest] - base) * own + right[rest] - base)
             if len(keys):
                 hollow = np.full(len(keys), -1)
-                yield _pairs(2, t.words.take(pa.array(keys // own)), t.words.take(pa.array(keys % own)), hollow, hollow, n)
+                yield _pairs(2, hollow, hollow, v=t.words.take(pa.array(keys // own)), w=t.words.take(pa.array(keys % own)),
+                             n=pa.array(n))
 
     return _texts(docs, text_col).mapInArrow(tidy(count), PAIRS)
 
 
-def _pairs(kind: int, v: pa.Array, w: pa.Array, left: np.ndarray, right: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), v, w, pa.array(left.astype(np.int32)),
-                            pa.array(right.astype(np.int32)), pa.array(n)], ["kind", "v", "w", "l", "r", "n"])
+def _pairs(kind: int, left: np.ndarray, right: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"v": pa.string(), "w": pa.string(), "n": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+    found = {"kind": pa.array(np.full(len(left), kind, np.int32)), "l": pa.array(left.astype(np.int32)),
+             "r": pa.array(right.astype(np.int32)), **{c: columns.get(c, pa.nulls(len(left), t)) for c, t in kinds.items()}}
+    return pa.record_batch([found[c] for c in ("kind", "v", "w", "l", "r", "n", "keys", "counts")],
+                           ["kind", "v", "w", "l", "r", "n", "keys", "counts"])
+
+
+def _ranges(keys: np.ndarray, n: np.ndarray, base: int, side: int) -> pa.RecordBatch:
+    """One row per range of words with its part of the ascending keys."""
+    width = _width(base)
+    some = np.unique(keys // base // width)
+    at = np.append(np.searchsorted(keys, some * width * base), len(keys))
+    parts = list(zip(at[:-1].tolist(), at[1:].tolist()))
+    return _pairs(0, some, np.full(len(some), side), keys=pa.array([_pack(np.diff(keys[a:b], prepend=0)) for a, b in parts], pa.binary()),
+                  counts=pa.array([_pack(n[a:b]) for a, b in parts], pa.binary()))
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -216,20 +250,71 @@ def _chunks(first: np.ndarray, cells: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+class _Merged:
+    """The entries of one range and side: distinct keys with their counts."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting, self.held = [], 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((keys, n))
+        self.held += len(keys)
+        if self.held > MERGE:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.waiting:
+            keys = np.concatenate([self.keys, *[k for k, _ in self.waiting]])
+            n = np.concatenate([self.n, *[c for _, c in self.waiting]])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            self.keys, self.n = keys[first], np.add.reduceat(n[order], first)
+            self.waiting, self.held = [], 0
+
+
+ADJACENCY = "after binary, n_after binary, before binary, n_before binary"
+
+
 def adjacency(spark: SparkSession, pairs: DataFrame) -> DataFrame:
-    """One row per numbered word: its neighbours (2 x number + side) and how often they are met.
+    """One row per range of numbered words: all their neighbours on both sides, and how often they are met.
 
-    Written once, and read by every round; a row has at most two entries per numbered word.
+    Written once, and read by every round. A range's parts arrive in order and are merged as they come,
+    so a task holds what a range's words can have in different neighbours at most.
     """
-    both = pairs.where("kind = 0").groupBy("l", "r").agg(F.sum("n").alias("n")).select("n", F.explode(F.array(
-        F.struct(F.col("l").alias("word"), (F.col("r") * 2 + 1).alias("next")),
-        F.struct(F.col("r").alias("word"), (F.col("l") * 2).alias("next")))).alias("one"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, [_Merged(), _Merged()]
+
+        def emit() -> pa.RecordBatch:
+            for side in sides:
+                side.merge()
+            columns = [x.astype("<i8").tobytes() for side in (sides[1], sides[0]) for x in (side.keys, side.n)]
+            return pa.record_batch([pa.array([x], pa.binary()) for x in columns], ["after", "n_after", "before", "n_before"])
+
+        for batch in batches:
+            for at, side, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("l", "r", "keys", "counts"))):
+                if at != now:
+                    if now is not None:
+                        yield emit()
+                    now, sides = at, [_Merged(), _Merged()]
+                sides[side].add(np.cumsum(_unpack(keys)), _unpack(counts))
+        if now is not None:
+            yield emit()
+
     path = work_path(spark, "adjacency")
-    both.select("one.*", "n").groupBy("word").agg(F.collect_list("next").alias("next"), F.collect_list("n").alias("n")) \
-        .write.parquet(path)
+    pairs.where("kind = 0").select("l", "r", "keys", "counts").repartition("l").sortWithinPartitions("l") \
+        .mapInArrow(tidy(merge), ADJACENCY).write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _ints(batch: pa.RecordBatch, *names: str) -> Iterator[list[np.ndarray]]:
+    """The unpacked columns of every row."""
+    columns = [batch.column(batch.schema.get_field_index(name)) for name in names]
+    for row in zip(*columns):
+        yield [np.frombuffer(x.as_buffer(), "<i8") for x in row]
+
+
 def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The row and the value of every element of a list column."""
     col = batch.column(batch.schema.get_field_index(name))
@@ -252,14 +337,12 @@ def class_pairs(beside: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, own = np.zeros(k * k), shared.value
         for batch in batches:
-            row, near = _flat(batch, "next")
-            word, n = batch.column("word").to_numpy()[row], _flat(batch, "n")[1]
-            after = (near & 1).astype(bool)
-            total += np.bincount(own[word[after]] * k + own[near[after] >> 1], weights=n[after], minlength=k * k)
+            for keys, n in _ints(batch, "after", "n_after"):
+                total += np.bincount(own[keys // len(own)] * k + own[keys % len(own)], weights=n, minlength=k * k)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some].astype(np.int64))], ["cell", "n"])
 
-    return _matrix(beside.mapInArrow(tidy(count), "cell long, n long"), k)
+    return _matrix(beside.select("after", "n_after").mapInArrow(tidy(count), "cell long, n long"), k)
 
 
 def likelihood(pairs: np.ndarray) -> float:
@@ -286,13 +369,16 @@ def exchange(beside: DataFrame, n_words: int, k: int, rounds: int) -> tuple[np.n
         def move(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
             own, matrix = shared.value
             for batch in batches:
-                word = batch.column("word").to_numpy().astype(np.int64)
-                row, near = _flat(batch, "next")
-                cells, back = np.unique(row * (2 * k) + (near & 1) * k + own[near >> 1], return_inverse=True)
-                n = np.bincount(back, weights=_flat(batch, "n")[1], minlength=len(cells))
-                new = placements(cells // (2 * k), cells % (2 * k), n, len(word), own[word], matrix)
-                keep = (word > 0) & ((word + turn) % 2 == 0) & (new != own[word])
-                yield pa.record_batch([pa.array(word[keep]), pa.array(new[keep])], ["word", "class"])
+                for after, n_after, before, n_before in _ints(batch, "after", "n_after", "before", "n_before"):
+                    at = np.concatenate([after, before])
+                    side = np.repeat([1, 0], [len(after), len(before)])
+                    word, row = np.unique(at // n_words, return_inverse=True)
+                    profile = np.bincount(row * (2 * k) + side * k + own[at % n_words], np.concatenate([n_after, n_before]),
+                                          len(word) * 2 * k)
+                    cells = np.flatnonzero(profile)
+                    new = placements(cells // (2 * k), cells % (2 * k), profile[cells], len(word), own[word], matrix)
+                    keep = (word > 0) & ((word + turn) % 2 == 0) & (new != own[word])
+                    yield pa.record_batch([pa.array(word[keep]), pa.array(new[keep])], ["word", "class"])
 
         moved = beside.mapInArrow(tidy(move), "word long, class long").toArrow()  # numbered words at most
         if not len(moved) and turn:
@@ -358,7 +444,8 @@ def train(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, core:
     if not tokens:
         words.withColumn("class", F.lit(0).cast("long")).write.parquet(path)
         return Model(path, 0, 0, np.zeros((classes, classes)), np.zeros(classes), np.zeros(classes))
-    top = frequent(words, core).orderBy(F.desc("n"), "word").select("word").toArrow()  # ``core`` rows at most
+    # ``core`` rows at most; numbers by hash, so that ranges of them hold frequent and rare words alike.
+    top = frequent(words, core).orderBy(F.xxhash64("word"), "word").select("word").toArrow()
     top = pa.concat_arrays([pa.array([], pa.string()), *top.column(0).chunks])
     count_pairs(docs, text_col, top).write.parquet(found)
     pairs = spark.read.parquet(found)
