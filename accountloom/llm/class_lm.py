@@ -39,6 +39,7 @@ LONGEST = 64
 """Longer words are never numbered, so that the numbered ones have a bounded size."""
 ROUNDS = 8
 SMOOTH = 0.1
+FEW = 15
 BACK_OFF = 16.0
 """Weight of the classes' own shares among the transitions from a class, in tokens."""
 
@@ -86,6 +87,10 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("text"))
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.option("compression", "zstd").parquet(path)
+
+
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n) of all documents, ``END`` among them; batches hand in one row per distinct word."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +219,25 @@ def placements(word: np.ndarray, cell: np.ndarray, n: np.ndarray, n_words: int,
     k = len(pairs)
     out = np.zeros(n_words, np.int64)
     beside = np.concatenate([pairs, pairs.T])  # a row per cell: what each class has of such neighbours
+    plain = _phi(beside)
+    added = np.stack([_phi(beside + few) - plain for few in range(FEW + 1)])  # most counts are small
     # As left and as right member of a pair: how often the class and the word are met.
     roles = [(pairs.sum(1 - side), np.bincount(word[cell // k == side], n[cell // k == side], n_words)) for side in (0, 1)]
     first = np.searchsorted(word, np.arange(n_words + 1))
-    for lo, hi in _chunks(first, 1 << 15):
+    for lo, hi in _chunks(first, 1 << 12):
         a, b = first[lo], first[hi]
-        have, more = beside[cell[a:b]], n[a:b, None].astype(float)
+        at, more = cell[a:b], n[a:b].astype(float)
+        more_likely = added[np.minimum(n[a:b], FEW).astype(np.int64), at]
+        many = np.flatnonzero(more > FEW)
+        more_likely[many] = _phi(beside[at[many]] + more[many, None]) - plain[at[many]]
         if own is not None:
-            at, mine = np.arange(b - a), own[word[a:b]]
-            have[at, mine] = np.maximum(have[at, mine] - more[:, 0], 0)
+            mine = own[word[a:b]]
+            have = np.maximum(beside[at, mine] - more, 0)
+            more_likely[np.arange(b - a), mine] = _phi(have + more) - _phi(have)
         gain = np.zeros((hi - lo, k))
-        np.add.at(gain, word[a:b] - lo, _phi(have + more) - _phi(have))
+        some = np.flatnonzero(first[lo + 1:hi + 1] > first[lo:hi])
+        if len(some):
+            gain[some] = np.add.reduceat(more_likely, first[lo + some] - a, axis=0)
         for size, times in roles:
             there, times = np.broadcast_to(size, gain.shape).copy(), times[lo:hi]
             if own is not None:
@@ -304,7 +317,7 @@ def adjacency(spark: SparkSession, pairs: DataFrame) -> DataFrame:
 
     path = work_path(spark, "adjacency")
     pairs.where("kind = 0").select("l", "r", "keys", "counts").repartition("l").sortWithinPartitions("l") \
-        .mapInArrow(tidy(merge), ADJACENCY).write.parquet(path)
+        .mapInArrow(tidy(merge), ADJACENCY).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -438,7 +451,7 @@ def train(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, core:
     spark = docs.sparkSession
     prepare(spark)
     counted, found, placed, path = (work_path(spark, name) for name in ("words", "pairs", "placed", "classes"))
-    count_words(docs, text_col).write.parquet(counted)
+    _write(count_words(docs, text_col), counted)
     words = spark.read.parquet(counted)
     tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if not tokens:
@@ -447,10 +460,10 @@ def train(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, core:
     # ``core`` rows at most; numbers by hash, so that ranges of them hold frequent and rare words alike.
     top = frequent(words, core).orderBy(F.xxhash64("word"), "word").select("word").toArrow()
     top = pa.concat_arrays([pa.array([], pa.string()), *top.column(0).chunks])
-    count_pairs(docs, text_col, top).write.parquet(found)
+    _write(count_pairs(docs, text_col, top), found)
     pairs = spark.read.parquet(found)
     own, matrix = exchange(adjacency(spark, pairs), len(top) + 1, classes, rounds)
-    place_rest(pairs, own, matrix).write.parquet(placed)
+    _write(place_rest(pairs, own, matrix), placed)
     rest = spark.read.parquet(placed)
     numbered = spark.createDataFrame(pa.table([pa.concat_arrays([pa.array([END]), top]), pa.array(own)], ["word", "class"]))
     words.join(numbered.unionByName(rest.where("word is not null").select("word", "class")), "word") \
