@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from accountloom import spec
 from accountloom.functions import text
+from accountloom.sources.filings import number_documents
 
 YEARS = [1996, 1997, 1998, 1999, 2000]
 
@@ -110,8 +111,13 @@ FACT_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 
 def filing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One small xBRL-JSON document per line item; documents of a filing share its key."""
-    li, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    """One small xBRL-JSON document per line item, numbered; documents of a filing share its key.
+
+    The rows are dealt out before the documents are built, so that this is not the work of as few tasks
+    as the table has row groups.
+    """
+    li = number_documents(table(spark, sf_dir, "lineitem"), FACT_ORDER)
+    s = table(spark, sf_dir, "supplier")
     y, line, q = F.year("l_shipdate"), F.col("l_linenumber"), F.col("l_quantity")
     jan = lambda year: F.concat(year.cast("string"), F.lit("-01-01T00:00:00"))
     year_of = F.when(line == 6, y - 1).otherwise(y)
@@ -144,7 +150,7 @@ def filing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.concat(F.lit("S"), k).alias("lei"), y.alias("fiscal_year"), hint.alias("hint"),
         F.col("s_name").alias("name"), pick(spec.EURO_AREA, F.col("s_nationkey") % 20).alias("country"),
-        F.concat(F.lit("S"), k, F.lit("-"), y).alias("source_ref"), *FACT_ORDER, body.alias("body"))
+        F.concat(F.lit("S"), k, F.lit("-"), y).alias("source_ref"), "doc_no", body.alias("body"))
 
 
 def _element_values() -> str:

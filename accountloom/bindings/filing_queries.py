@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from accountloom import spec
 from accountloom.bindings.base import (
-    EXTRACT_SQL, FACT_ORDER, FACTS_SQL, FILINGS_SQL, PERIOD_SQL, YEARS, filing_documents, filing_index,
+    EXTRACT_SQL, FACTS_SQL, FILINGS_SQL, PERIOD_SQL, YEARS, filing_documents, filing_index,
     pick, sql_list, table)
 from accountloom.functions import text
 from accountloom.operators import coverage, extraction, store
@@ -31,12 +31,21 @@ def _coverage(spark, d):
     return screening.coverage_run(filing_index(spark, d))
 
 
+ORDER = ["doc_no"]
+
+
+def _documents(spark, d):
+    """The documents as a table of many files, written once for all queries of an application."""
+    return stored(spark, "documents", d, lambda: filing_documents(spark, d))
+
+
 def _parsed(spark, d):
-    return filings.parse_documents(filing_documents(spark, d), KEYS, FACT_ORDER)
+    """The parsed facts, written once."""
+    return stored(spark, "facts", d, lambda: filings.parse_documents(_documents(spark, d), KEYS, ORDER))
 
 
 def _voted(spark, d, **options):
-    return screening.extraction_run(filing_documents(spark, d), FACT_ORDER, **options)
+    return screening.extract_parsed(screening.filing_headers(_documents(spark, d)), _parsed(spark, d), **options)
 
 
 def _stored_vote(spark, d):
@@ -208,9 +217,8 @@ def period_end_histogram(spark, d):
 
 @query(f"WITH {FACTS_SQL}, {PERIOD_SQL} SELECT lei, fy AS fiscal_year, pe AS period_end FROM period")
 def inferred_period_ends(spark, d):
-    docs = filing_documents(spark, d)
-    facts = filings.numeric_facts(filings.parse_documents(docs, KEYS, FACT_ORDER))
-    hints = docs.select(*KEYS, "hint").distinct()
+    facts = filings.numeric_facts(_parsed(spark, d))
+    hints = _documents(spark, d).select(*KEYS, "hint").distinct()
     return extraction.infer_period_end(extraction.annual_period_ends(facts), hints)
 
 
@@ -227,7 +235,7 @@ components, sign_flipped FROM fact"""
 
 @query(_FACT_SQL)
 def extracted_facts(spark, d):
-    return extraction.fact_rows(_voted(spark, d)).select(
+    return extraction.fact_rows(_stored_vote(spark, d)).select(
         *KEYS, "field", F.round("value", 2).alias("value"), "derivation", "element",
         F.array_join("components", "|").alias("components"), "sign_flipped")
 
@@ -237,10 +245,22 @@ CASE WHEN status <> 'failed' THEN country END AS country, CASE WHEN status <> 'f
   THEN pe END AS period_end, status,
 CASE WHEN status = 'failed' THEN '{spec.FINANCIAL_REASON}' ELSE source_ref END AS source_ref FROM headers""")
 def company_years(spark, d):
-    return extraction.company_year_rows(_voted(spark, d), F.lit("2002-01-01").cast("timestamp")).select(
+    return extraction.company_year_rows(_stored_vote(spark, d), F.lit("2002-01-01").cast("timestamp")).select(
         *KEYS, "name", "country", "period_end", "status", "source_ref")
 
 
+@query(f"""WITH {EXTRACT_SQL}, o AS (SELECT CASE WHEN status = 'failed' THEN 'financial' ELSE status END AS outcome FROM headers
+UNION ALL SELECT 'interest_zero_despite_debt' FROM headers WHERE debt > 0 AND interest_expense IS NULL
+UNION ALL SELECT 'mixed_financial_signal' FROM (SELECT DISTINCT lei FROM headers WHERE any_financial
+  AND NOT is_financial))
+SELECT outcome, count(*) AS n FROM o GROUP BY 1""")
+def written_extraction_counts(spark, d):
+    """The counters of an extraction, taken beside the write of its headers."""
+    path = work_path(spark, "extraction")
+    return sinks.count_rows(spark, screening.write_extraction(
+        _stored_vote(spark, d), F.lit("2002-01-01").cast("timestamp"), path))
+
+
 @query(f"""WITH {EXTRACT_SQL} SELECT lei, fiscal_year, n_missing::INT AS n_missing,
 CASE WHEN debt > 0 AND interest_expense IS NULL
   THEN 'debt of ' || format('{{:,}}', round_even(debt, 0)::BIGINT) || ' without an interest line'

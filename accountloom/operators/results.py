@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accountloom import spec
-from accountloom.functions import numbers, text
+from accountloom.functions import numbers, ordered, text
 from accountloom.operators.valuation import is_void
 
 LABELS = ("VOID", "UNDERVALUED", "SUPPRESSED", "FAIRLY VALUED", "OVERVALUED")
@@ -83,32 +83,60 @@ def check_messages(results: DataFrame) -> DataFrame:
         F.max_by("message", F.when(fired, at)), F.min_by("message", at)).alias("message"))
 
 
-def size_by_verdict(results: DataFrame) -> DataFrame:
-    """Verdict counts per size bucket; all four buckets are always there."""
+TOTAL = "all"
+
+
+def _sized(results: DataFrame) -> DataFrame:
+    """Short verdicts by bucket, with one row without a verdict for every bucket there is."""
     buckets = F.array(*[F.lit(b[0]) for b in spec.SIZE_BUCKETS])
     real = with_labels(results).select("size_bucket", "short_verdict")
     spine = results.sparkSession.range(1).select(
         F.explode(buckets).alias("size_bucket"), F.lit(None).cast("string").alias("short_verdict"))
-    return real.unionByName(spine).groupBy("size_bucket").agg(
-        F.count("short_verdict").alias("n"),
-        F.count_if(F.col("short_verdict") == "VOID").alias("void"),
-        F.count_if(F.col("short_verdict").isin("UNDERVALUED", "SUPPRESSED")).alias("under"),
-        F.count_if(F.col("short_verdict") == "FAIRLY VALUED").alias("fair"),
-        F.count_if(F.col("short_verdict") == "OVERVALUED").alias("over"))
+    return real.unionByName(spine)
+
+
+def _verdict_columns() -> list[Column]:
+    return [F.count("short_verdict").alias("n"),
+            F.count_if(F.col("short_verdict") == "VOID").alias("void"),
+            F.count_if(F.col("short_verdict").isin("UNDERVALUED", "SUPPRESSED")).alias("under"),
+            F.count_if(F.col("short_verdict") == "FAIRLY VALUED").alias("fair"),
+            F.count_if(F.col("short_verdict") == "OVERVALUED").alias("over")]
+
+
+def size_by_verdict(results: DataFrame) -> DataFrame:
+    """Verdict counts per size bucket; all four buckets are always there."""
+    return _sized(results).groupBy("size_bucket").agg(*_verdict_columns())
+
+
+def size_by_verdict_with_total(results: DataFrame) -> DataFrame:
+    """Verdict counts per size bucket and over all of them, in one pass of grouping sets.
+
+    ``grouping_id`` tells the total from a bucket, so a bucket without a label is still a bucket.
+    """
+    bucket = F.col("size_bucket")
+    rows = _sized(results).groupingSets([[bucket], []], bucket).agg(F.grouping_id().alias("_set"), *_verdict_columns())
+    return rows.withColumn("size_bucket", F.when(F.col("_set") == 1, F.lit(TOTAL)).otherwise(bucket)).drop("_set")
 
 
 def outcomes_by_size(results: DataFrame) -> DataFrame:
-    """Counts, rates and the median distance from the market, per size bucket."""
+    """Counts, rates and the median distance from the market, per size bucket.
+
+    There are four buckets, so the median is selected by counted ranges (``ordered.exact_median``)
+    instead of being sorted in four tasks.
+    """
     bucketed = results.withColumn("size_bucket", numbers.size_bucket(F.col("market_cap_m"), None)) \
         .where(F.col("size_bucket").isNotNull())
     n = F.count(F.lit(1))
     under, held = F.count_if("qualifies_on_verdict"), F.count_if(held_back())
-    return bucketed.groupBy("size_bucket").agg(
+    counts = bucketed.groupBy("size_bucket").agg(
         n.alias("n"), F.count_if(F.coalesce(F.col("verdict").startswith("VOID"), F.lit(False))).alias("void"),
         under.alias("undervalued"), held.alias("suppressed"),
         F.coalesce(F.try_divide(held, under), F.lit(0.0)).alias("suppressed_rate"),
-        F.coalesce(F.median(F.abs("upside")), F.lit(0.0)).alias("median_abs_upside"),
         (n < spec.THIN_BUCKET).alias("thin"))
+    middle = ordered.exact_median(bucketed, ["size_bucket"], F.abs("upside"), "median_abs_upside")
+    return counts.join(middle, "size_bucket", "left").select(
+        "size_bucket", "n", "void", "undervalued", "suppressed", "suppressed_rate",
+        F.coalesce("median_abs_upside", F.lit(0.0)).alias("median_abs_upside"), "thin")
 
 
 def check_rates_by_size(results: DataFrame) -> DataFrame:
@@ -127,6 +155,26 @@ def check_rates_by_size(results: DataFrame) -> DataFrame:
         "size_bucket", "cell", "n", (F.col("n") / F.col("companies")).alias("rate"))
 
 
+def check_rates_with_total(results: DataFrame) -> DataFrame:
+    """Share of companies in which each FAIL or WARNING check fired, per bucket and over all buckets.
+
+    Both levels come from one pass of grouping sets over (bucket, cell); the companies of a level are
+    the pseudo cell of the same aggregation.
+    """
+    bucketed = results.withColumn("size_bucket", numbers.size_bucket(F.col("market_cap_m"), None)) \
+        .where(F.col("size_bucket").isNotNull())
+    fired = F.filter("checks", lambda c: c["severity"].isin("FAIL", "WARNING"))
+    cells = F.array_append(F.transform(fired, lambda c: c["cell"]), F.lit(""))
+    bucket, cell = F.col("size_bucket"), F.col("cell")
+    counts = bucketed.select("size_bucket", F.explode(cells).alias("cell")) \
+        .groupingSets([[bucket, cell], [cell]], bucket, cell) \
+        .agg(F.grouping("size_bucket").alias("_whole"), F.count(F.lit(1)).alias("n")) \
+        .withColumn("size_bucket", F.when(F.col("_whole") == 1, F.lit(TOTAL)).otherwise(bucket)).drop("_whole")
+    sizes = counts.where(cell == "").select("size_bucket", F.col("n").alias("companies"))
+    return counts.where(cell != "").join(sizes, "size_bucket").select(
+        "size_bucket", "cell", "n", (F.col("n") / F.col("companies")).alias("rate"))
+
+
 def pick_funnel(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count(F.lit(1)).alias("valued"), F.count_if(~is_void(F.col("checks"))).alias("passed"),

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from accountloom import spec
 from accountloom.functions import numbers, text
+from accountloom.operators import ladders
 
 REINVEST_CAP = 0.90
 MIN_SPREAD = 0.005
@@ -80,19 +81,27 @@ def normalise(df: DataFrame) -> DataFrame:
                                            F.col("reinvest_sales_to_capital"))))})
 
 
-def cost_of_capital(df: DataFrame) -> DataFrame:
-    """Credit ladder by company size, cost of debt, relevered beta and WACC."""
+def cost_of_capital(df: DataFrame, ladder: DataFrame | None = None) -> DataFrame:
+    """Credit ladder by company size, cost of debt, relevered beta and WACC.
+
+    With a ``ladder`` table, rating, spread and size cut-off are those of the company's
+    ``ladder_vintage``; without one they are the constants of the model.
+    """
     cap = F.col("market_cap_m")
     staged = df.withColumns({
-        "credit_table": numbers.credit_table(cap),
         "coverage": F.when(F.col("interest") == 0, F.lit(float("inf"))).otherwise(
             F.try_divide(last("ebit"), F.col("interest"))),
         "debt_weight": F.try_divide(F.col("debt"), F.col("debt") + cap),
         "relevered_beta": F.col("unlevered_beta") * (1 + (1 - F.col("tax_rate")) * F.try_divide(F.col("debt"), cap)),
         "actual_rate": F.try_divide(F.col("interest"), F.col("debt"))})
-    staged = staged.withColumns({
-        "implied_rating": numbers.by_credit_table(cap, F.col("coverage"), "rating"),
-        "synthetic_rate": F.col("risk_free_rate") + numbers.by_credit_table(cap, F.col("coverage"), "spread")})
+    if ladder is None:
+        staged = staged.withColumns({
+            "credit_table": numbers.credit_table(cap),
+            "implied_rating": numbers.by_credit_table(cap, F.col("coverage"), "rating"),
+            "ladder_spread": numbers.by_credit_table(cap, F.col("coverage"), "spread")})
+    else:
+        staged = ladders.look_up(ladders.with_credit_table(staged, ladder), ladder)
+    staged = staged.withColumn("synthetic_rate", F.col("risk_free_rate") + F.col("ladder_spread")).drop("ladder_spread")
     staged = staged.withColumns({
         "cost_of_debt": F.least(F.lit(spec.COST_OF_DEBT_CAP), F.greatest("synthetic_rate", "actual_rate")),
         "cost_of_equity": F.col("risk_free_rate") + F.col("relevered_beta") * F.col("mature_market_erp") + F.col("crp")})
@@ -188,9 +197,13 @@ def verdicts(df: DataFrame) -> DataFrame:
         is_void(F.col("checks")), F.lit(spec.VOID)).otherwise(numbers.verdict_from_upside(F.col("upside"))))
 
 
-def value_companies(inputs: DataFrame) -> DataFrame:
-    """Value, checks and verdict of every company; one projection chain without a shuffle."""
-    return verdicts(run_checks(forecast(cost_of_capital(normalise(inputs)))))
+def value_companies(inputs: DataFrame, ladder: DataFrame | None = None) -> DataFrame:
+    """Value, checks and verdict of every company; one projection chain without a shuffle.
+
+    A ``ladder`` is joined by table and vintage (``ladder_vintage`` of the inputs): companies meet one
+    rung each, and a ladder of common size is broadcast by the planner.
+    """
+    return verdicts(run_checks(forecast(cost_of_capital(normalise(inputs), ladder))))
 
 
 def with_price_age(results: DataFrame, today: Column) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from accountloom import spec
 from accountloom.operators import coverage, extraction, policy, results, store, valuation
-from accountloom.sources import filings
+from accountloom.sources import filings, sinks
 
 
 def coverage_run(index: DataFrame) -> DataFrame:
@@ -20,11 +21,36 @@ def extraction_run(documents: DataFrame, order: list[str], **options) -> DataFra
 
     ``documents``: lei, fiscal_year, hint, name, country, source_ref, body.
     """
-    keys = extraction.KEYS
-    facts = filings.numeric_facts(filings.parse_documents(documents, keys, order))
-    headers = documents.groupBy(*keys).agg(*[
+    return extract_parsed(filing_headers(documents), filings.parse_documents(documents, extraction.KEYS, order), **options)
+
+
+def filing_headers(documents: DataFrame) -> DataFrame:
+    """One row per filing: hint, name, country, source_ref."""
+    return documents.groupBy(*extraction.KEYS).agg(*[
         F.max(c).alias(c) for c in ("hint", "name", "country", "source_ref")])
-    return extraction.vote_financial(extraction.extract_company_years(headers, facts, **options))
+
+
+def extract_parsed(headers: DataFrame, parsed: DataFrame, **options) -> DataFrame:
+    """Voted company-years from facts that are parsed, and may be stored, already."""
+    return extraction.vote_financial(
+        extraction.extract_company_years(headers, filings.numeric_facts(parsed), **options))
+
+
+def write_extraction(voted: DataFrame, extracted_at: Column, path: str) -> dict[str, int]:
+    """Write headers and facts of an extraction; what became of its company-years, counted on the way.
+
+    The counts are taken from the rows of the first table while they are written. A company with a mixed
+    financial signal counts once, at its first year.
+    """
+    first = F.col("fiscal_year") == F.min("fiscal_year").over(W.partitionBy("lei"))
+    marked = voted.withColumn("_mixed", F.col("any_financial") & ~F.col("is_financial") & first)
+    rows = extraction.company_year_rows(marked, extracted_at, "_mixed", "interest_zero_despite_debt")
+    is_ = lambda status: F.count_if(F.col("status") == status)
+    counts = sinks.write_counted(rows, f"{path}/company_year", ["fiscal_year"], {
+        "complete": is_("complete"), "partial": is_("partial"), "financial": is_("failed"),
+        "interest_zero_despite_debt": F.count_if("interest_zero_despite_debt"), "mixed_financial_signal": F.count_if("_mixed")})
+    sinks.write_partitions(extraction.fact_rows(voted), f"{path}/fact", ["fiscal_year"])
+    return counts
 
 
 def extraction_plan(entities: DataFrame, headers: DataFrame, lookup: DataFrame,

@@ -42,12 +42,17 @@ def work_path(spark: SparkSession, name: str) -> str:
 _WRITTEN: set[str] = set()
 
 
-def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from ``source``, written once per application to the shared folder, read back."""
+def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """A table derived from ``source``, written once per application to the shared folder, read back.
+
+    ``by`` names partition columns. Data replaced under the same path while an application runs are
+    not seen by it.
+    """
     mark = hashlib.sha256(source.encode()).hexdigest()[:16]
     path = f"{shared_folder(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{name}-{mark}"
     if path not in _WRITTEN:
-        build().write.mode("overwrite").parquet(path)
+        writer = build().write.mode("overwrite")
+        (writer.partitionBy(*by) if by else writer).parquet(path)
         _WRITTEN.add(path)
     return spark.read.parquet(path)
 

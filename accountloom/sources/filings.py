@@ -50,17 +50,29 @@ def normalise_filings(raw: DataFrame, order: Column) -> DataFrame:
 
 
 def read_filing_index(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array per country file, read element by element; what does not parse yields no rows.
+    """The records of all country files that can be read; see :func:`read_index_files`."""
+    return read_index_files(spark, path)[0]
 
-    A file is never split, so the row id ascends in it: the record order of the archive, which
-    decides ties later, is (file, row id).
+
+def read_index_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, broken): one JSON array per country file, read element by element.
+
+    A file that does not parse ends up in ``broken`` (file, reason, bytes) instead of vanishing; a
+    record of a file that does, but is no object of the index, is listed there as well. A file is
+    never split, so the row id ascends in it: the record order of the archive, which decides ties
+    later, is (file, row id).
     """
-    records = spark.read.schema(RAW_FILING) \
-        .json(path, multiLine=True, mode="DROPMALFORMED", pathGlobFilter="*.json")
-    raw = records.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("pos")) \
-        .withColumn("country", F.coalesce(text.blank_to_null(F.col("country")),
-                                          F.regexp_replace("file", r"\.json$", "")))
-    return normalise_filings(raw, F.struct("file", "pos"))
+    kept = T.StructType([*RAW_FILING.fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = spark.read.schema(kept).json(path, multiLine=True, mode="PERMISSIVE", pathGlobFilter="*.json",
+                                        columnNameOfCorruptRecord="_corrupt_record")
+    named = rows.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    known = F.coalesce(*[F.col(f.name).cast("string") for f in RAW_FILING.fields]).isNotNull()
+    good = named.where(F.col("_corrupt_record").isNull() & known).drop("_corrupt_record") \
+        .withColumn("country", F.coalesce(text.blank_to_null(F.col("country")), F.regexp_replace("file", r"\.json$", "")))
+    bad = named.where(F.col("_corrupt_record").isNotNull() | ~known).select(
+        "file", F.when(F.col("_corrupt_record").isNull(), "no index record").otherwise("does not parse").alias("reason"),
+        F.octet_length("_corrupt_record").alias("bytes"))
+    return normalise_filings(good, F.struct("file", "pos")), bad
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
@@ -74,20 +86,46 @@ def split_excluded_names(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~hit), rows.where(hit)
 
 
+PART_BITS, ROW_BITS, FACT_BITS = 12, 26, 16
+"""How many partitions, documents of a partition, and facts of a document an ordinal can tell apart."""
+
+
+def number_documents(documents: DataFrame, order: list[str], name: str = "doc_no") -> DataFrame:
+    """Adds a whole number that ascends with ``order``, short enough to be packed into a rank.
+
+    Rows are dealt by range and sorted within their partition, so the number is the partition and
+    the place in it. Write the result before using it twice.
+    """
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = documents.repartitionByRange(min(parts, 1 << PART_BITS), *order).sortWithinPartitions(*order)
+    rows = sorted_.withColumn("_id", F.monotonically_increasing_id())
+    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    number = F.shiftleft(part, ROW_BITS) + _below(row, ROW_BITS, "too many documents in a partition")
+    return rows.withColumn(name, number).drop("_id")
+
+
+def _below(c: Column, bits: int, message: str) -> Column:
+    return F.when(c < (1 << bits), c).otherwise(F.raise_error(F.lit(message)).cast("long"))
+
+
 def parse_documents(documents: DataFrame, keys: list[str], order: list[str],
                     body: str = "body") -> DataFrame:
     """One row per fact of every filing document, with the reason it is or is not usable.
 
     ``outcome`` is numeric, dimensional, incomplete, blank, nonnumeric or bad_period.
-    ``ord`` keeps the document order, which decides between duplicates.
+    ``ord`` keeps the document order, which decides between duplicates: the number of the
+    document (the one column of ``order``; none where a key has one document) and the place in it.
     """
+    if len(order) > 1:
+        raise ValueError("number the documents first")
     opened = documents.select(*keys, *order, F.posexplode(
         F.map_entries(F.from_json(body, DOCUMENT)["facts"])).alias("pos", "entry"))
     dims = F.coalesce(F.col("entry.value.dimensions"),
                       F.map_from_arrays(F.array().cast("array<string>"),
                                         F.array().cast("array<string>")))
     rows = opened.select(
-        *keys, F.struct(*order, "pos").alias("ord"),
+        *keys, (F.shiftleft(F.col(order[0]).cast("long") if order else F.lit(0).cast("long"), FACT_BITS)
+                + _below(F.col("pos").cast("long"), FACT_BITS, "too many facts in a document")).alias("ord"),
         F.try_element_at(dims, F.lit("concept")).alias("concept"),
         F.try_element_at(dims, F.lit("period")).alias("raw_period"),
         F.try_element_at(dims, F.lit("unit")).alias("unit"),

@@ -59,11 +59,25 @@ def read_sidecars(spark: SparkSession, path: str, run_date: str | None = None) -
 def latest_run(runs: DataFrame) -> DataFrame:
     """Rows of the newest run.
 
-    The newest date is a scalar subquery on the partition column, so only the partitions of
-    that run are read.
+    The newest date is a scalar subquery. Where ``run_date`` is a partition column, it becomes a
+    partition filter, and only the files of that run are read.
     """
-    newest = runs.agg(F.max("run_date").alias("run_date"))
-    return runs.join(newest, "run_date", "left_semi")
+    return runs.where(F.col("run_date") == newest_run_date(runs))
+
+
+def newest_run_date(runs: DataFrame) -> Column:
+    """The newest run date as a scalar subquery; null without runs."""
+    return runs.agg(F.max("run_date")).scalar()
+
+
+def earlier_runs(runs: DataFrame) -> DataFrame:
+    """Rows of all runs but the newest; the newest one's files are not read."""
+    return runs.where(F.col("run_date") < newest_run_date(runs))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Stored runs, one partition per run date."""
+    return spark.read.parquet(path).withColumn("run_date", F.col("run_date").cast("date"))
 
 
 def read_triggers(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +18,22 @@ def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
         .partitionBy(*by).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str, by: list[str], counts: Mapping[str, Column]) -> dict[str, int]:
+    """Write a table and return counts over its rows, taken while they are written.
+
+    The counts are aggregates of the written rows themselves (no distinct ones), so the table is
+    neither read back nor computed a second time for them.
+    """
+    seen = Observation()
+    write_partitions(df.observe(seen, *[c.alias(name) for name, c in counts.items()]), path, by)
+    return {name: int(seen.get[name] or 0) for name in counts}
+
+
+def count_rows(spark: SparkSession, counts: Mapping[str, int], key: str = "outcome") -> DataFrame:
+    """Counts taken beside a write as rows, those that are not zero."""
+    return spark.createDataFrame([(k, n) for k, n in counts.items() if n], f"{key} string, n long")
+
+
 def write_company_years(headers: DataFrame, facts: DataFrame, path: str) -> None:
     """Both extraction tables, partitioned by fiscal year.
 
