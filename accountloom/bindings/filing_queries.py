@@ -149,7 +149,10 @@ def stratified_sample_sizes(spark, d):
     return coverage.stratified_sample(entities, 50, seed=7).groupBy("country").agg(F.count(F.lit(1)).alias("picked"))
 
 
-@query()
+@query(f"""WITH {FILINGS_SQL}, s AS (SELECT country, count(*) AS size FROM done GROUP BY 1),
+r AS (SELECT d.*, size, row_number() OVER (PARTITION BY d.country ORDER BY md5(lei || ':7'), lei) AS turn FROM done d
+  JOIN s USING (country))
+SELECT lei, name, country FROM r ORDER BY turn, size DESC, country LIMIT 50""")
 def stratified_sample(spark, d):
     return coverage.stratified_sample(_coverage(spark, d).select("lei", "name", "country"), 50, seed=7)
 
@@ -179,6 +182,25 @@ def normalised_documents(spark, d):
         F.length(text.normalise(F.col("text"))).cast("bigint").alias("plain_length"))
 
 
+@query(f"""WITH {FILINGS_SQL}, f AS (SELECT country, country || '.json' AS file, count(*) AS records FROM filings GROUP BY ALL)
+SELECT file, CASE WHEN country IN ('DE', 'FR') THEN 0 ELSE records END::BIGINT AS records,
+  CASE WHEN country = 'DE' THEN 'does not parse' WHEN country = 'FR' THEN 'does not parse' ELSE '' END AS reason FROM f""")
+def index_files(spark, d):
+    """Country files as an archive has them, two of them cut off, read back with what is broken."""
+    path = work_path(spark, "index")
+    rows = filing_index(spark, d)
+    record = F.to_json(F.struct("lei", "name", F.col("reporting_date").cast("string").alias("reporting_date"),
+                                "filing_index", "error_count", "json_url"))
+    files = rows.groupBy("country").agg(F.concat_ws(",", F.collect_list(record)).alias("j"))  # a file is one document
+    whole = F.concat(F.lit("["), F.col("j"), F.lit("]"))
+    cut = F.when(F.col("country") == "DE", F.concat(F.lit("["), F.expr("substring(j, 1, length(j) - 7)"))) \
+        .when(F.col("country") == "FR", F.lit("<html>busy</html>")).otherwise(whole)
+    files.select(cut.alias("value"), F.concat("country", F.lit(".json")).alias("file")) \
+        .write.partitionBy("file").text(path)
+    return filings.file_report(*filings.read_index_files(spark, f"{path}/*"), name=F.regexp_extract(
+        F.col("path"), r"file=([^/]+)/", 1))
+
+
 # -- facts and extraction ----------------------------------------------------------
 
 @query(f"WITH {FACTS_SQL} SELECT lei, fy AS fiscal_year, outcome, count(*) AS n FROM parsed GROUP BY ALL")
@@ -426,6 +448,21 @@ def failed_years_replace_facts(spark, d):
     return count(f, "fact").unionByName(count(h, "header"))
 
 
+@query(f"""WITH {EXTRACT_SQL} SELECT 'company_year' AS "table", fiscal_year, count(*) AS n FROM headers GROUP BY ALL
+UNION ALL SELECT 'fact', fiscal_year, count(*) FROM fact WHERE lei <> 'S1' OR fiscal_year <> 1996 GROUP BY ALL""")
+def upserted_store(spark, d):
+    """A written store in which one company-year is replaced by a failed one; only its bucket is written anew."""
+    path = work_path(spark, "store")
+    headers, facts = _store(spark, d)
+    sinks.upsert_company_years(spark, path, headers, facts)
+    failed = store.failed_headers(headers.where("lei = 'S1' AND fiscal_year = 1996").select(*KEYS), spec.EXTRACTOR_VERSION,
+                                  F.lit("could not be read"), F.lit("2002-01-02").cast("timestamp"))
+    sinks.upsert_company_years(spark, path, failed, facts.where(F.lit(False)))
+    count = lambda name: sinks.read_table(spark, f"{path}/{name}").groupBy("fiscal_year").agg(F.count(F.lit(1)).alias("n")) \
+        .select(F.lit(name).alias("table"), "fiscal_year", "n")
+    return count("company_year").unionByName(count("fact"))
+
+
 @query("""SELECT doc_id, 'field' AS problem FROM (SELECT doc_id, source FROM documents) WHERE source <> 'src0'
 UNION ALL SELECT doc_id, 'status' FROM documents WHERE lang <> 'en'""")
 def vocabulary_problems(spark, d):

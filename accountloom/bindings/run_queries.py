@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from accountloom import spec
 from accountloom.bindings.base import YEARS, pick, sql_list, table
-from accountloom.bindings.company_queries import _QUOTE_SQL, prices
+from accountloom.bindings.company_queries import _LADDER_SQL, _QUOTE_SQL, _ladder_pages, prices
 from accountloom.functions import numbers, ordered, text
-from accountloom.operators import health, policy, portfolio, results, store, valuation
+from accountloom.operators import health, parameters, policy, portfolio, results, store, valuation
 from accountloom.session import stored
 from accountloom.sources import records
 
@@ -67,7 +67,7 @@ b AS (SELECT o_orderkey AS ord, 'O' || o_orderkey AS lei, 'T' || o_custkey AS ti
   0.05 + (o_orderkey % 70) / 1000 AS wacc, CASE WHEN o_orderkey % 3 > 0 THEN 'AA' END AS rating,
   CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 50) / 100 END AS terminal, CASE WHEN o_orderkey % 5 > 0
   THEN (o_orderkey % 40) / 4 END AS margin,
-  (o_orderkey % 16) / 2 AS roic FROM orders LEFT JOIN flags ON o_orderkey = l_orderkey),
+  (o_orderkey % 16) / 2 AS roic, o_orderdate::DATE AS dt FROM orders LEFT JOIN flags ON o_orderkey = l_orderkey),
 v AS (SELECT *, (value - price) / price AS upside, coalesce(f2, false) AS void,
   CASE WHEN ra * rb < 0 THEN 'Infinity'::DOUBLE WHEN least(abs(ra), abs(rb)) < 1e-9 THEN CASE
   WHEN greatest(abs(ra), abs(rb)) > 1e-9 THEN 'Infinity'::DOUBLE ELSE 1 END
@@ -173,6 +173,26 @@ def check_rates_by_size(spark, d):
     return results.check_rates_by_size(_results(spark, d)).withColumn("rate", F.round("rate", 6))
 
 
+_FOUR = f"""s AS (SELECT unnest({sql_list(b[0] for b in spec.SIZE_BUCKETS)}) AS b),
+sized AS (SELECT CASE WHEN cap IS NULL THEN 'large   > 4.3bn' ELSE bucket END AS b, short FROM r)"""
+
+
+@query(f"""WITH {_RESULT_SQL}, {_FOUR} SELECT CASE WHEN grouping(b) = 1 THEN 'all' ELSE b END AS size_bucket, count(short) AS n,
+  count(*) FILTER (short = 'VOID') AS void, count(*) FILTER (short IN ('UNDERVALUED', 'SUPPRESSED')) AS under,
+  count(*) FILTER (short = 'FAIRLY VALUED') AS fair, count(*) FILTER (short = 'OVERVALUED') AS over
+FROM s LEFT JOIN sized USING (b) GROUP BY GROUPING SETS ((b), ())""")
+def size_by_verdict_with_total(spark, d):
+    return results.size_by_verdict_with_total(_results(spark, d))
+
+
+@query(f"""WITH {_RESULT_SQL}, t AS (SELECT bucket, count(*) AS total FROM r WHERE bucket IS NOT NULL GROUP BY 1),
+x AS (SELECT bucket, cell FROM fired WHERE sev IN ('FAIL', 'WARNING') AND bucket IS NOT NULL)
+SELECT bucket AS size_bucket, cell, count(*) AS n, round(count(*) / any_value(total), 6) AS rate FROM x JOIN t USING (bucket) GROUP BY ALL
+UNION ALL SELECT 'all', cell, count(*), round(count(*) / (SELECT sum(total) FROM t), 6) FROM x GROUP BY cell""")
+def check_rates_with_total(spark, d):
+    return results.check_rates_with_total(_results(spark, d)).withColumn("rate", F.round("rate", 6))
+
+
 @query(f"WITH {_RESULT_SQL} SELECT count(*) AS valued, count(*) FILTER (NOT void) AS passed, count(*) FILTER (qualifies) AS undervalued, count(*) FILTER (flag) AS queue FROM r")
 def pick_funnel(spark, d):
     return results.pick_funnel(_results(spark, d))
@@ -217,14 +237,15 @@ def held_and_void_reasons(spark, d):
     return results.held_and_void_reasons(_results(spark, d)).drop("ticker")
 
 
-@query(f"""WITH {_RESULT_SQL} SELECT 'N' || ord AS name, price AS current_price, value / 1.25 AS trigger_price, CASE WHEN flag
-  THEN 'RESEARCH' ELSE '' END AS flag,
-CASE WHEN qualifies THEN replace(blocking, ',', ', ') ELSE '' END AS held_back_by, (coalesce(f0::INT, 0) +
-  coalesce(f1::INT, 0) + coalesce(f4::INT, 0))::INT AS warnings,
+@query(f"""WITH {_RESULT_SQL} SELECT 'N' || ord AS name, 'IM' AS exchange, price AS current_price, value AS value_per_share,
+  round(upside, 6) AS upside, value / 1.25 AS trigger_price, verdict, CASE WHEN flag THEN 'RESEARCH' ELSE '' END AS flag, ticker,
+  'IT' AS country, 'Retail' AS industry, CASE WHEN qualifies THEN replace(blocking, ',', ', ') ELSE '' END AS held_back_by,
+  round(wacc, 6) AS wacc, rating AS implied_rating, 'LARGE' AS credit_table, dt AS price_as_of,
+  (coalesce(f0::INT, 0) + coalesce(f1::INT, 0) + coalesce(f4::INT, 0))::INT AS warnings,
 coalesce(f3::INT, 0)::INT AS notes, coalesce(f2::INT, 0)::INT AS fails FROM r""")
 def results_sheet(spark, d):
-    return results.results_sheet(_results(spark, d)).select(
-        "name", "current_price", "trigger_price", "flag", "held_back_by", "warnings", "notes", "fails")
+    return results.results_sheet(_results(spark, d)).withColumns(
+        {c: F.round(c, 6) for c in ("upside", "wacc")})
 
 
 def _published(df):
@@ -365,6 +386,44 @@ def company_values(spark, d):
     return v.select("lei", "verdict", *[F.round(c, 4).alias(c) for c in ("value_per_share", "upside", "terminal_share_of_ev", "implied_ev_ebit")])
 
 
+_VINTAGE_SQL = f"""{_LADDER_SQL},
+vint AS (SELECT unnest([min(page_id), max(page_id)]) AS vt FROM rungs WHERE n = 15),
+rung AS (SELECT t, page_id AS v, coverage_from + CASE t WHEN 'SMALL' THEN 0.5 ELSE 0 END AS cov, rating,
+  spread + CASE t WHEN 'SMALL' THEN 0.01 ELSE 0 END AS spread FROM rungs, (VALUES ('LARGE'), ('SMALL')) x(t) WHERE n = 15),
+""" + _VALUE_SQL.replace("SELECT 'C' || o_custkey AS lei,", "SELECT 'C' || o_custkey || '@' || vt AS lei, vt,") \
+    .replace("FROM y WHERE", "FROM y, vint WHERE").replace("cap >= 4300", "cap >= 500 * (1 + vt % 9)") \
+    .replace(f"JOIN (VALUES {_LADDER_VALUES}) l(t, cov, rating, spread) ON t = tbl AND cov <= cover",
+             "JOIN rung l ON l.t = tbl AND l.v = b.vt AND cov <= cover")
+
+
+def _ladder_vintages(spark, d):
+    """The ladders of all usable pages: a vintage per page, with a size cut-off of its own."""
+    rungs = parameters.accepted_ladders(parameters.ladder_from_html(_ladder_pages(spark, d)))[0]
+    small = F.col("table") == "SMALL"
+    return rungs.select(
+        F.explode(F.array(F.lit("LARGE"), F.lit("SMALL"))).alias("table"), F.col("page_id").cast("string").alias("vintage"),
+        F.substring("rating", 2, 2).cast("int").alias("row"), "coverage_from", "rating", "rating_full", "spread",
+        (500.0 * (1 + F.col("page_id") % 9)).alias("cutoff")).withColumns({
+            "coverage_from": F.when(small, F.col("coverage_from") + 0.5).otherwise(F.col("coverage_from")),
+            "spread": F.when(small, F.col("spread") + 0.01).otherwise(F.col("spread"))})
+
+
+@query(f"""WITH {_VINTAGE_SQL}, z AS (SELECT *, (vps - price) / price AS up, cap / r4 AS cr FROM fin)
+SELECT split_part(lei, '@', 1) AS lei, vt::VARCHAR AS ladder_vintage, tbl AS credit_table, rating AS implied_rating,
+  round(wacc, 6) AS wacc, round(vps, 4) AS value_per_share,
+  CASE WHEN NOT cr BETWEEN 0.05 AND 30 THEN 'VOID - failed validation' WHEN up > 0.25 THEN 'UNDERVALUED - investigate'
+  WHEN up < -0.25 THEN 'OVERVALUED - screen out' ELSE 'FAIRLY VALUED - no action' END AS verdict FROM z""")
+def values_by_vintage(spark, d):
+    """Every company valued with the first and the last ladder that was read."""
+    ladder = stored(spark, "ladders", d, lambda: _ladder_vintages(spark, d))
+    pages = ladder.select(F.col("vintage").cast("long").alias("v"))
+    both = F.array(*[pages.agg(f("v")).scalar().cast("string") for f in (F.min, F.max)])
+    inputs = _valuation_inputs(spark, d).withColumn("ladder_vintage", F.explode(both))
+    return valuation.value_companies(inputs, ladder).select(
+        "lei", "ladder_vintage", "credit_table", "implied_rating", F.round("wacc", 6).alias("wacc"),
+        F.round("value_per_share", 4).alias("value_per_share"), "verdict")
+
+
 @query(f"""WITH {_VALUE_SQL} SELECT lei, c AS cell, s AS severity FROM fin, LATERAL (VALUES ('D99', 'OK'), ('D103', CASE
   WHEN actual > synth THEN 'WARNING' ELSE 'OK' END),
 ('D104', CASE WHEN abs(d25 - d28) / greatest(abs(d25), abs(d28)) > 0.5 THEN 'WARNING'
@@ -529,8 +588,13 @@ def as_of_prices(spark, d):
     return portfolio.as_of_price(asks, prices(spark, d))
 
 
+def _stored_runs(spark, d):
+    """The runs as a table with a partition per run date, written once for all queries of an application."""
+    return stored(spark, "runs", d, lambda: _runs(spark, d), ("run_date",))
+
+
 def _last_run(spark, d):
-    return records.latest_run(_runs(spark, d))
+    return records.latest_run(_stored_runs(spark, d))
 
 
 _LAST_SQL = f"""{_BOOK_SQL}, lr AS (SELECT * FROM run WHERE run_date = (SELECT max(run_date) FROM run)),
@@ -540,9 +604,7 @@ pos AS (SELECT lei, 'T' || lei AS ticker, arg_max(t, run_date) AS t, arg_max(vps
 
 
 def _held(spark, d):
-    last = _runs(spark, d)
-    newest = last.agg(F.max("run_date").alias("run_date"))
-    earlier = last.join(newest, "run_date", "left_anti")
+    earlier = records.earlier_runs(_stored_runs(spark, d))
     carry = ["ticker", "verdict", "value_per_share"]
     before = ordered.latest(earlier, ["lei"], [F.col("run_date")], carry)
     return before.where(F.col("verdict") == spec.UNDERVALUED).select(

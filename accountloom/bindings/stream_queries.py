@@ -79,6 +79,24 @@ def streamed_fresh_days(spark, d):
     return daily.stored_prices(spark, f"{folder}/fresh")
 
 
+@query(f"""WITH {_QUOTE_SQL} SELECT p.lei, p.as_of, p.price, DATE '{TODAY}' - p.as_of > 7 AS stale, count(*) AS fetches
+FROM price p JOIN g ON (p.lei, p.as_of) = (g.lei, g.as_of) AND g.outcome = 'ok' GROUP BY ALL""")
+def streamed_unique_prices(spark, d):
+    """Overlapping files, two in a batch: the last file of a batch comes again in the next one."""
+    folder = _folder(spark)
+    e = table(spark, d, "events")
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    # A file for every four days, and each day in the file of the next four as well.
+    turns = F.array(F.floor(day / 4), F.floor(day / 4) + 1)
+    e.select("*", F.explode(turns).alias("turn")).repartition(1, "turn").sortWithinPartitions("turn") \
+        .write.partitionBy("turn").parquet(f"{folder}/files")
+    stream = daily.read_stream(spark, f"{folder}/files/turn=*", e.schema, files_per_batch=2)
+    unique = daily.unique_stream(_quotes(stream), F.lit(TODAY).cast("date"))
+    daily.store_unique(unique, f"{folder}/unique", f"{folder}/checkpoint").awaitTermination()
+    return daily.stored_prices(spark, f"{folder}/unique").join(
+        daily.stored_fetches(spark, f"{folder}/unique"), ["lei", "as_of"])
+
+
 @query(ORACLE_POSITIONS)
 def streamed_positions(spark, d):
     """Same entries and exits as ``position_events``, kept by the stateful stream."""

@@ -62,6 +62,8 @@ def exact_median(df: DataFrame, keys: list[str], value: Column, name: str = "med
     exactly, and only those that hold the middle are kept. So no task ever sorts a whole group, however
     few groups there are, and the driver sees one number per round.
     """
+    if small < 2 or pieces < 4:
+        raise ValueError("two values can be the middle, and fewer than four ranges do not narrow them down")
     held = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()) \
         .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     held = cut_lineage(held)

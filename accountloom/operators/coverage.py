@@ -135,11 +135,11 @@ def complete_entities(company_year: DataFrame, years: list[int]) -> DataFrame:
 def stratified_sample(rows: DataFrame, n: int, seed: int, salts: int = 64) -> DataFrame:
     """``n`` entities, one per country in turn, larger countries first.
 
-    Within a country the order is a seeded hash.  Each country is cut to its first ``n``
+    Within a country the order is the MD5 of entity and seed.  Each country is cut to its first ``n``
     per salt and then once more, so no task ranks a whole large country.
     """
-    pick = F.xxhash64("lei", F.lit(seed))
-    salted = rows.withColumn("_pick", pick).withColumn("_salt", F.pmod(F.col("_pick"), F.lit(salts)))
+    pick = F.md5(F.concat_ws(":", "lei", F.lit(seed)))
+    salted = rows.withColumn("_pick", pick).withColumn("_salt", F.pmod(F.xxhash64("_pick"), F.lit(salts)))
     rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("_pick", "lei"))
     first = salted.withColumn("_r", rank("country", "_salt")).where(F.col("_r") <= n)
     turns = first.withColumn("_turn", rank("country")).where(F.col("_turn") <= n)

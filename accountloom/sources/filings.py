@@ -31,7 +31,7 @@ DOCUMENT = T.StructType([T.StructField("facts", T.MapType(T.StringType(), T.Stru
 ])))])
 
 
-def normalise_filings(raw: DataFrame, order: Column) -> DataFrame:
+def normalise_filings(raw: DataFrame, order: Column, *extra: str) -> DataFrame:
     """Index records with a date; missing texts and numbers get their neutral value."""
     empty = F.lit("")
     day = F.coalesce(F.col("reporting_date").cast("string"), F.col("last_end_date").cast("string"))
@@ -45,34 +45,42 @@ def normalise_filings(raw: DataFrame, order: Column) -> DataFrame:
         F.coalesce("error_count", F.lit(0)).alias("error_count"),
         F.coalesce("json_url", empty).alias("json_url"),
         F.coalesce("package_url", empty).alias("package_url"),
-        order.alias("ord"),
+        order.alias("ord"), *extra,
     ).where(F.col("reporting_date").isNotNull())
 
 
 def read_filing_index(spark: SparkSession, path: str) -> DataFrame:
     """The records of all country files that can be read; see :func:`read_index_files`."""
-    return read_index_files(spark, path)[0]
+    return read_index_files(spark, path, "*.json")[0].drop("path")
 
 
-def read_index_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_index_files(spark: SparkSession, path: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
     """(records, broken): one JSON array per country file, read element by element.
 
-    A file that does not parse ends up in ``broken`` (file, reason, bytes) instead of vanishing; a
+    A file that does not parse ends up in ``broken`` (path, file, reason, bytes) instead of vanishing; a
     record of a file that does, but is no object of the index, is listed there as well. A file is
     never split, so the row id ascends in it: the record order of the archive, which decides ties
     later, is (file, row id).
     """
     kept = T.StructType([*RAW_FILING.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(kept).json(path, multiLine=True, mode="PERMISSIVE", pathGlobFilter="*.json",
+    rows = spark.read.schema(kept).json(path, multiLine=True, mode="PERMISSIVE", pathGlobFilter=pattern,
                                         columnNameOfCorruptRecord="_corrupt_record")
-    named = rows.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    named = rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("pos"))
     known = F.coalesce(*[F.col(f.name).cast("string") for f in RAW_FILING.fields]).isNotNull()
     good = named.where(F.col("_corrupt_record").isNull() & known).drop("_corrupt_record") \
         .withColumn("country", F.coalesce(text.blank_to_null(F.col("country")), F.regexp_replace("file", r"\.json$", "")))
     bad = named.where(F.col("_corrupt_record").isNotNull() | ~known).select(
-        "file", F.when(F.col("_corrupt_record").isNull(), "no index record").otherwise("does not parse").alias("reason"),
+        "path", "file", F.when(F.col("_corrupt_record").isNull(), "no index record").otherwise("does not parse").alias("reason"),
         F.octet_length("_corrupt_record").alias("bytes"))
-    return normalise_filings(good, F.struct("file", "pos")), bad
+    return normalise_filings(good, F.struct("file", "pos"), "path"), bad
+
+
+def file_report(records: DataFrame, broken: DataFrame, name: Column) -> DataFrame:
+    """Per file: how many records it gave, and why it gave none; ``name`` is made from the path."""
+    read = records.select("path", F.lit(1).alias("_n"), F.lit("").alias("reason"))
+    lost = broken.select("path", F.lit(0).alias("_n"), "reason")
+    return read.unionByName(lost).groupBy(name.alias("file")).agg(
+        F.sum("_n").alias("records"), F.max("reason").alias("reason"))
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:

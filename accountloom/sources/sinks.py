@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from accountloom.session import cut_lineage
+
 
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace exactly the partitions that come in.
@@ -43,6 +46,52 @@ def write_company_years(headers: DataFrame, facts: DataFrame, path: str) -> None
     write_partitions(facts, f"{path}/fact", ["fiscal_year"])
 
 
+BUCKETS = 64
+"""Buckets of a fiscal year in the store; a bucket is what an upsert reads and writes anew."""
+
+
+def upsert_company_years(spark: SparkSession, path: str, headers: DataFrame, facts: DataFrame, buckets: int = BUCKETS) -> None:
+    """Replace the incoming company-years in the store under ``path``, and write only their partitions.
+
+    Both tables are partitioned by fiscal year and by a bucket of the entity. The stored rows of the
+    touched partitions are read, less the incoming company-years, joined with what comes in, and
+    overwrite exactly these partitions: the files of all others stay as they are. A failed header
+    brings no facts, and its old ones go. An empty or new store takes everything.
+    """
+    bucket = F.pmod(F.xxhash64("lei"), F.lit(buckets)).cast("int")
+    by = ["fiscal_year", "bucket"]
+    keys = cut_lineage(headers.select("lei", "fiscal_year", bucket.alias("bucket")).distinct())
+    touched = F.broadcast(keys.select(*by).distinct())  # at most ``buckets`` rows per fiscal year
+    for name, rows in (("company_year", headers), ("fact", facts)):
+        target, new = f"{path}/{name}", rows.withColumn("bucket", bucket)
+        old = _stored_rows(spark, target, new)
+        kept = old.join(touched, by, "left_semi").join(keys.select("lei", "fiscal_year"), ["lei", "fiscal_year"], "left_anti")
+        merged = cut_lineage(kept.unionByName(new))
+        emptied = old.select(*by).join(touched, by, "left_semi").distinct() \
+            .join(merged.select(*by).distinct(), by, "left_anti").collect()  # partitions, not rows
+        write_partitions(merged, target, by)
+        _drop_partitions(spark, target, emptied, by)
+
+
+def _stored_rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The stored table, or an empty one of the same shape where there is none yet."""
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return like.where(F.lit(False))
+
+
+def _drop_partitions(spark: SparkSession, path: str, gone: list, by: list[str]) -> None:
+    """Delete the folders of partitions without rows, which an overwrite by partition leaves as they are."""
+    if gone:
+        base = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+        for row in gone:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/" + "/".join(f"{c}={row[c]}" for c in by)), True)
+
+
 def write_listings(listings: DataFrame, path: str, buckets: int) -> None:
     """Listings in hash buckets of the entity, so that later joins meet co-located."""
     listings.withColumn("bucket", F.pmod(F.xxhash64("lei"), F.lit(buckets))) \

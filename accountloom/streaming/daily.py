@@ -71,6 +71,34 @@ def fresh_stream(stream: DataFrame, today: Column) -> DataFrame:
     return timed.groupBy("lei", "as_of", "event_time").agg(newest).select("lei", "as_of", "won.*")
 
 
+def unique_stream(stream: DataFrame, today: Column) -> DataFrame:
+    """Good quotes, each fetch once: files that overlap bring the same fetch again.
+
+    A repeat within a week of the newest day is dropped by its key; older state goes with the
+    watermark, so its size follows a week of quotes, and quotes that late are not acted on.
+    """
+    gated = quote_source.gate_quotes(stream, today).where("outcome = 'ok'")
+    return gated.withColumn("event_time", F.col("as_of").cast("timestamp")).withWatermark("event_time", WATERMARK) \
+        .dropDuplicatesWithinWatermark(["lei", "as_of", "fetched_at", "price"]) \
+        .select("lei", "as_of", "price", "stale", "fetched_at")
+
+
+def store_unique(unique: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Store each batch's fetches with how many came in, one folder per batch; ``stored_prices`` reads the newest."""
+    def write(batch: DataFrame, number: int) -> None:
+        one = batch.groupBy("lei", "as_of").agg(
+            F.max_by(F.struct("price", "stale", "fetched_at"), F.struct("fetched_at", "price")).alias("won"),
+            F.count(F.lit(1)).alias("fetches"))
+        one.select("lei", "as_of", "won.*", "fetches").write.mode("overwrite").parquet(f"{path}/batch={number:010d}")
+
+    return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_fetches(spark: SparkSession, path: str) -> DataFrame:
+    """How many different fetches every company and day had over all batches."""
+    return spark.read.parquet(path).groupBy("lei", "as_of").agg(F.sum("fetches").alias("fetches"))
+
+
 def store_fresh(fresh: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Store what each batch has updated, one folder per batch."""
     def write(batch: DataFrame, number: int) -> None:
