@@ -732,8 +732,8 @@ r AS (SELECT r0.*, i.name IS NOT NULL AS known FROM r0 LEFT JOIN industries i ON
 gaps AS (SELECT lei, 'listing' AS gap FROM r WHERE ticker IS NULL UNION ALL SELECT lei, 'price' FROM r
   WHERE k % 6 = 0 UNION ALL SELECT lei, 'shares' FROM r WHERE k % 8 = 0
  UNION ALL SELECT lei, 'industry' FROM r WHERE ind IS NULL UNION ALL
-  SELECT lei, 'industry ''' || ind || ''' not in the parameter store' FROM r WHERE ind IS NOT NULL AND NOT known
- UNION ALL SELECT lei, 'country parameters for None' FROM r WHERE k % 14 = 0)"""
+  SELECT lei, 'industry without values: ' || ind FROM r WHERE ind IS NOT NULL AND NOT known
+ UNION ALL SELECT lei, 'country without values: unknown' FROM r WHERE k % 14 = 0)"""
 
 
 @query(f"WITH {_READY_SQL} SELECT lei, gap FROM gaps")

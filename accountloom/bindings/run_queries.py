@@ -128,8 +128,8 @@ def suppression_rate(spark, d):
 @query(f"""WITH {_RESULT_SQL}, c AS (SELECT cell, count(*) AS n FROM (SELECT 'D104' AS cell FROM r WHERE qualifies AND s104
 UNION ALL SELECT 'D122' FROM r WHERE qualifies AND s122) GROUP BY 1)
 SELECT cell, n, round(n / (SELECT count(*) FROM r WHERE qualifies), 6) AS share, CASE cell WHEN 'D122'
-  THEN 'about the PIPELINE, not the company'
-ELSE 'already graded; these are the outliers' END AS remark FROM c""")
+  THEN 'process'
+ELSE 'graded' END AS remark FROM c""")
 def suppression_report(spark, d):
     return results.suppression_report(_results(spark, d)).withColumn("share", F.round("share", 6))
 
