@@ -54,9 +54,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     warc.write_warc(pages, path, min_bytes=0)
     kind = pages.schema["page_id"].dataType
+    number = lambda name: F.nullif(F.col(name), F.lit("")).cast(kind).alias(name)  # a null id is written as an empty one
     return warc.read_warc(spark, path).select(
-        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
-        "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+        number("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        "record_type", number("refers_to"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

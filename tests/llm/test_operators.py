@@ -299,6 +299,16 @@ def test_archives_of_no_and_repeated_pages(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_archive_query_takes_a_null_id(spark, tmp_path):
+    from accountloom.llm.queries import op8_warc
+
+    pages = [(None, "u", "x"), (4, "u", "y"), (6, "u", "y"), (None, "u", "z")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = op8_warc(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in rows) == [
+        (0, "response", 0), (0, "response", 0), (4, "response", 0), (6, "revisit", 4)]
+
+
 def test_toxicity_held_out(spark, docs, empty):
     sf = "/root/testdata/sf0.1"
     from accountloom.llm.queries import op9_toxicity
