@@ -19,6 +19,9 @@ import pyarrow as pa
 from accountloom.llm.common import WHITE, Table, hash_spans, spans_of, text_buffer
 
 _LOADED: dict = {}
+LENGTH_BITS = 31
+"""A segment's place in the pool stands above these bits, its number of ids in them: no text of an
+Arrow batch has 2^31 bytes, so none has as many ids."""
 
 
 def tokenizer(path: str):
@@ -115,16 +118,14 @@ class Cache:
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool[:self.used], np.empty(max(len(flat), 1 << 20, self.used), np.int32)])
             self.pool[self.used:self.used + len(flat)] = flat
-            if (lengths >> 24).any():
-                raise ValueError("a segment of more than 2^24 tokens")
-            found[lo:lo + 20_000] = ((self.used + np.cumsum(lengths) - lengths) << 24) | lengths
+            found[lo:lo + 20_000] = ((self.used + np.cumsum(lengths) - lengths) << LENGTH_BITS) | lengths
             self.used += len(flat)
         if self.table.room(len(new)) and self.used <= self.limit:
             self.table.put(new, found)
         else:  # what came first is what is frequent: keep that, and let these be overwritten
             self.used = kept
         where[open_] = found[back]
-        return self.pool, where >> 24, where & ((1 << 24) - 1)
+        return self.pool, where >> LENGTH_BITS, where & ((1 << LENGTH_BITS) - 1)
 
 
 def worker_cache(path: str, kind: str, **sizes: int) -> Cache:
