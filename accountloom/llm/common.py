@@ -208,8 +208,8 @@ def prepare(spark: SparkSession) -> None:
     _SHIPPED[context.applicationId] = folder
 
 
-def _give_back() -> None:
-    """Return freed memory of a Python worker to the system; idle workers stay for a while."""
+def give_back() -> None:
+    """Return freed memory of a Python process to the system: idle workers and the driver stay for a while."""
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)
@@ -220,13 +220,13 @@ def tidy(run: Callable) -> Callable:
     if inspect.isgeneratorfunction(run):
         def over_batches(batches):
             yield from run(batches)
-            _give_back()
+            give_back()
 
         return over_batches
 
     def over_table(table: pa.Table) -> pa.Table:
         out = run(table)
-        _give_back()
+        give_back()
         return out
 
     return over_table

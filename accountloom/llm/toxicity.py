@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accountloom.llm.common import prepare, tidy
+from accountloom.llm.common import give_back, prepare, tidy
 
 WINDOW = 8
 LEVEL = 5
@@ -207,6 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = fit(rows.column("text").to_pylist(), learned)
     there = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     have = np.bincount(learned, minlength=2)
+    del rows
+    give_back()
     if len(there) == 2 and have.all():
         model.weights[0] += np.log(there[1] / there[0]) - np.log(have[1] / have[0])
     return model

@@ -239,6 +239,39 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90, 200: 200, 201: 200}
 
 
+@pytest.mark.parametrize("chunk", [3, 50, 1 << 20])
+def test_components_in_chunks(spark, monkeypatch, chunk):
+    """A random graph with a path, a star and a clique, joined within tasks by chunks of any size."""
+    import random
+
+    from accountloom.llm import components as module
+
+    monkeypatch.setattr(module, "CHUNK", chunk)
+    r = random.Random(chunk)
+    edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(250)]
+    edges += [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(80)]
+    edges += [(3000 + i, 3000 + j) for i in range(12) for j in range(12)]
+    r.shuffle(edges)
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(near):
+        todo = [] if node in want else [node]
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = node
+                todo += near[x]
+    rows = components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert len(rows) == len(want) and {x.node: x.component for x in rows} == want
+
+
+def test_components_of_no_edges(spark):
+    assert components(spark.createDataFrame([(4, 4)], "a long, b long")).count() == 0
+
+
 def test_quality(docs, plain, empty):
     rows = quality_rules.judge(docs)
     got = by_id(rows, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -249,6 +282,25 @@ def test_quality(docs, plain, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_segment_of_very_many_tokens(monkeypatch):
+    """Segments of 2^24 ids and more keep their length, beside others, whether they are cached or not."""
+    import numpy as np
+    import pyarrow as pa
+
+    from accountloom.llm import segments
+
+    long = (1 << 24) + 5
+    found = {"aa": np.array([7, 8]), "big": np.arange(long, dtype=np.int32), "c": np.array([9])}
+    monkeypatch.setattr(segments, "encode", lambda path, texts: [found[t] for t in texts])
+    for pool in (1 << 25, 1 << 10):
+        cache = segments.Cache("none", bits=6, pool=pool)
+        for _ in range(2):
+            ids, start, length = cache.ids(segments.Segmented(pa.array(["aa big c", None, "c aa"]), segments.bare))
+            assert length.tolist() == [2, long, 1, 1, 2]
+            for at, n, text in zip(start.tolist(), length.tolist(), ("aa", "big", "c", "c", "aa")):
+                assert np.array_equal(ids[at:at + n], found[text])
+
+
 def test_token_files(spark, docs, plain, empty):
     path = work_path(spark, "tokens")
     token_orc.write_tokens(docs, path, WORDS, file_bytes=8192)
