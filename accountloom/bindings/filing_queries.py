@@ -496,17 +496,82 @@ def extraction_plan(spark, d):
     return screening.extraction_plan(headers.select("lei").distinct(), stored, lookup, YEARS).drop("json_url")
 
 
-@query()
+_NEEDED = ("revenue", "ebit", "depreciation_amortisation", "capex", "acquisitions_net")
+_LATEST = ("interest_expense", "short_term_debt", "long_term_debt", "total_equity", "cash", "minority_interest",
+           "preferred_stock", "short_term_investments", "equity_method_investments")
+_RUNGS = ", ".join(f"('{t}', {a}::DOUBLE, {s}::DOUBLE)" for t, rungs in spec.LADDERS.items() for a, _, _, s in rungs)
+_AMOUNT = "max(value) FILTER (field = '{}' AND fiscal_year = {}) / 1000000.0"
+_SCREEN_SQL = f"""{_SERIES_SQL},
+whole AS (SELECT lei FROM headers WHERE status = 'complete' AND fiscal_year IN {tuple(YEARS)}
+  GROUP BY lei HAVING count(DISTINCT fiscal_year) = {len(YEARS)}),
+quote AS (SELECT 'S' || s_suppkey AS lei, DATE '2001-08-01' - (s_suppkey % 12)::INT - 30 * o AS as_of,
+  s_acctbal / 1e6 * (1 + o) AS price, 50000.0::DOUBLE * (1 + o) AS shares FROM supplier, (VALUES (0), (1)) x(o)
+  QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY as_of DESC) = 1),
+line AS (SELECT 'S' || s_suppkey AS lei, CASE WHEN s_suppkey % 7 > 0 THEN 'T' || s_suppkey ELSE '' END AS ticker,
+  CASE s_suppkey % 3 WHEN 0 THEN 'Retail' WHEN 1 THEN 'Machinery' END AS industry, s_acctbal FROM supplier),
+ready AS (SELECT lei, price, shares FROM whole JOIN quote USING (lei) JOIN line USING (lei)
+  WHERE ticker <> '' AND industry IS NOT NULL AND price IS NOT NULL AND NOT s_acctbal < 500),
+ser AS (SELECT lei, count(value) AS n_cells, {", ".join(
+    f"{_AMOUNT.format(k, y)} AS {k}{i}" for k in _NEEDED for i, y in enumerate(YEARS))}, {", ".join(
+    f"{_AMOUNT.format(k, YEARS[-1])} AS {k}4" for k in _LATEST)}
+  FROM fact WHERE fiscal_year IN {tuple(YEARS)} GROUP BY lei),
+refused AS (SELECT lei, CASE WHEN held.n < 5 THEN 'missing years' ELSE 'unresolved required fields' END AS reason
+  FROM held LEFT JOIN full_ USING (lei) WHERE held.n < 5 OR coalesce(full_.n, 0) < {5 * len(spec.REQUIRED_KEYS)}),
+v1 AS (SELECT *, price * shares / 1e6 AS cap, short_term_debt4 + long_term_debt4 AS debt,
+  CASE WHEN revenue0 > 0 AND revenue4 > 0 THEN pow(revenue4 / revenue0, 0.25) - 1 END
+    / (SELECT avg(p_size) / 20 FROM part) AS by_sales,
+  ({" + ".join(f"(capex{i} + acquisitions_net{i} - depreciation_amortisation{i})" for i in range(5))})
+    / nullif(({" + ".join(f"ebit{i}" for i in range(5))}) * 0.75, 0) AS by_cash,
+  CASE WHEN {" AND ".join(f"ebit{i} / nullif(revenue{i}, 0) IS NOT NULL" for i in range(5))}
+    THEN list_sort([{", ".join(f"ebit{i} / nullif(revenue{i}, 0)" for i in range(5))}])[3] END * revenue4 * 0.75 AS nopat
+  FROM ready JOIN ser USING (lei) WHERE lei NOT IN (SELECT lei FROM refused)),
+v2 AS (SELECT *, nopat / nullif(debt + total_equity4 - cash4, 0) AS roic,
+  CASE WHEN interest_expense4 = 0 THEN 'Infinity'::DOUBLE ELSE ebit4 / nullif(interest_expense4, 0) END AS cover,
+  CASE WHEN cap >= {spec.CREDIT_CUTOFF} THEN 'LARGE' ELSE 'SMALL' END AS tbl, debt / nullif(debt + cap, 0) AS wd,
+  0.9 * (1 + 0.75 * (debt / nullif(cap, 0))) AS beta, interest_expense4 / nullif(debt, 0) AS actual,
+  CASE WHEN by_cash IS NOT NULL AND by_sales IS NOT NULL THEN greatest(0, least(0.9, by_cash, by_sales)) END AS used,
+  CASE WHEN by_cash IS NOT NULL AND by_sales IS NOT NULL
+    THEN abs(by_cash - by_sales) / nullif(greatest(abs(by_cash), abs(by_sales)), 0) END AS apart,
+  CASE WHEN by_cash * by_sales < 0 THEN 'Infinity'::DOUBLE
+    WHEN least(abs(by_cash), abs(by_sales)) < 1e-9
+      THEN CASE WHEN greatest(abs(by_cash), abs(by_sales)) > 1e-9 THEN 'Infinity'::DOUBLE ELSE 1 END
+    ELSE greatest(abs(by_cash), abs(by_sales)) / least(abs(by_cash), abs(by_sales)) END AS ratio FROM v1),
+v3 AS (SELECT v2.*, (SELECT arg_max(s, a) FROM (VALUES {_RUNGS}) l(t, a, s) WHERE t = tbl AND a <= cover) AS spread FROM v2),
+v4 AS (SELECT *, (1 - wd) * (0.025 + beta * 0.045 + 0.01)
+  + wd * least({spec.COST_OF_DEBT_CAP}, greatest(0.025 + spread, actual)) * 0.75 AS wacc, used * roic AS g FROM v3),
+v5 AS (SELECT *, least(0.025, wacc - 0.005) AS gt FROM v4),
+years_ AS (SELECT lei, n, nopat, wacc, g + (gt - g) * greatest(0, (n - 5) / 5) AS gn,
+  roic + (wacc - roic) * greatest(0, (n - 5) / 5) AS rn FROM v5, range(1, 11) x(n) WHERE roic > 0 AND wacc > 0.005),
+profit_ AS (SELECT *, nopat * exp(sum(ln(1 + gn)) OVER (PARTITION BY lei ORDER BY n)) AS p FROM years_),
+pv_ AS (SELECT lei, sum(p * (1 - gn / rn) / pow(1 + wacc, n)) AS pv, arg_max(p, n) AS p10 FROM profit_ GROUP BY lei),
+v6 AS (SELECT *, (pv + p10 * (1 + gt) * (1 - gt / wacc) / ((wacc - gt) * pow(1 + wacc, 10)) - debt - minority_interest4
+  - preferred_stock4 + cash4 + short_term_investments4 + equity_method_investments4) / (shares / 1e6) AS vps
+  FROM v5 LEFT JOIN pv_ USING (lei)),
+v7 AS (SELECT *, (vps - price) / nullif(price, 0) AS up, coalesce(apart > 0.5 AND NOT coalesce(ratio < 3, false), false) AS blocked,
+  n_cells <> 100 OR price <= 0
+    OR NOT coalesce(cap / nullif(revenue4, 0) BETWEEN {spec.CAP_REVENUE_MIN} AND {spec.CAP_REVENUE_MAX}, false) AS bad FROM v6),
+v8 AS (SELECT *, CASE WHEN bad OR up IS NULL THEN '{spec.VOID}' WHEN up > 0.25 THEN '{spec.UNDERVALUED}'
+  WHEN up < -0.25 THEN '{spec.OVERVALUED}' ELSE '{spec.FAIRLY_VALUED}' END AS verdict FROM v7)"""
+
+
+@query(f"""{_SCREEN_SQL} SELECT lei, verdict, verdict = '{spec.UNDERVALUED}' AND NOT blocked AS research_flag,
+  CASE WHEN blocked THEN 'D104' ELSE '' END AS note, round(wacc, 6) AS wacc, round(vps, 4) AS value_per_share,
+  round(up, 4) AS upside FROM v8
+UNION ALL SELECT lei, 'skipped', false, reason, NULL, NULL, NULL FROM ready JOIN refused USING (lei)""")
 def screening_run(spark, d):
     """Extraction to research flag in one flow, over every filing of every company."""
     headers, facts = _store(spark, d)
     k = F.col("s_suppkey")
     s = table(spark, d, "supplier").withColumn("lei", F.concat(F.lit("S"), k))
     day = F.lit("2001-08-01").cast("date")
-    listings = s.select("lei", F.concat(F.lit("I"), k).alias("isin"), F.concat(F.lit("T"), k).alias("ticker"),
-                        F.lit("IM").alias("exchange"), F.lit(True).alias("is_primary"))
-    prices = s.select("lei", F.date_sub(day, (k % 12).cast("int")).alias("as_of"), (F.col("s_acctbal") / 1e6).alias("price"))
-    counts = s.select("lei", day.alias("as_of"), F.lit(50000.0).alias("shares"))
+    older = s.withColumn("o", F.explode(F.array(F.lit(0), F.lit(1))))  # everything once more, older or not primary
+    line = F.when(k % 7 > 0, F.concat(F.lit("T"), k)).otherwise("")
+    listings = older.select("lei", F.concat(F.lit("I"), k, F.lit("-"), "o").alias("isin"),
+                            F.when(F.col("o") == 0, line).otherwise("OTC").alias("ticker"),
+                            F.lit("IM").alias("exchange"), (F.col("o") == 0).alias("is_primary"))
+    as_of = F.date_sub(day, (k % 12 + 30 * F.col("o")).cast("int")).alias("as_of")
+    prices = older.select("lei", as_of, (F.col("s_acctbal") / 1e6 * (1 + F.col("o"))).alias("price"))
+    counts = older.select("lei", as_of, (50000.0 * (1 + F.col("o"))).alias("shares"))
     mapping = s.select("lei", pick(("Retail", "Machinery", "Unknown"), k % 3).alias("industry"))
     p = table(spark, d, "part").agg(F.avg("p_size").alias("size"))
     industries = p.select(F.explode(F.array(F.lit("Retail"), F.lit("Machinery"))).alias("name"), F.lit(0.9).alias("unlevered_beta"),
@@ -516,6 +581,9 @@ def screening_run(spark, d):
     market = {"risk_free_rate": F.lit(0.025), "mature_market_erp": F.lit(0.045), "long_run_nominal_growth": F.lit(0.025)}
     valued, skipped = screening.screen_run(headers, facts, listings, prices, counts, mapping, industries, countries, excluded,
                                            market, YEARS, day)
-    flags = valued.select("lei", "verdict", "research_flag", F.array_join("blocking_checks", " ").alias("note"))
+    figures = ("wacc", "value_per_share", "upside")
+    flags = valued.select("lei", "verdict", "research_flag", F.array_join("blocking_checks", " ").alias("note"),
+                          F.round("wacc", 6).alias("wacc"), *[F.round(c, 4).alias(c) for c in figures[1:]])
+    none = [F.lit(None).cast("double").alias(c) for c in figures]
     return flags.unionByName(skipped.select("lei", F.lit("skipped").alias("verdict"), F.lit(False).alias("research_flag"),
-                                            F.col("reason").alias("note")))
+                                            F.col("reason").alias("note"), *none))
