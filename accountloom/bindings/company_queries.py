@@ -83,16 +83,21 @@ def primary_listing_pick(spark, d):
     return identity.pick_primary(lines).select("lei", "ticker", "exchange", "ord", "listing_tier")
 
 
-def _resolved(spark, d):
+def _overrides(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        F.concat(F.lit("C"), k).alias("lei"), F.when((k % 50).isin(1, 2), "OVR").alias("ticker"),
+        F.when((k % 50).isin(1, 2), "FP").alias("exchange"), (k % 50 == 0).alias("exclude"),
+        F.when(k % 50 == 1, "2024-01-01").alias("reviewed"))
+
+
+def _resolved(spark, d, overrides=None):
     ins = _instruments(spark, d)
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     entities = c.select(F.concat(F.lit("C"), k).alias("lei"), F.col("c_name").alias("name"),
                         pick(spec.EURO_AREA, F.col("c_nationkey") % 20).alias("country"))
-    overrides = c.select(
-        F.concat(F.lit("C"), k).alias("lei"), F.when((k % 50).isin(1, 2), "OVR").alias("ticker"),
-        F.when((k % 50).isin(1, 2), "FP").alias("exchange"), (k % 50 == 0).alias("exclude"),
-        F.when(k % 50 == 1, "2024-01-01").alias("reviewed"))
+    overrides = _overrides(spark, d) if overrides is None else overrides
     isin_lines = ins.where(~F.col("by_name"))
     isins = isin_lines.groupBy("lei").agg(F.count(F.lit(1)).alias("n_isins"))
     return identity.resolve_listings(entities, overrides, isin_lines.drop("country"),
@@ -126,6 +131,21 @@ def listing_outcomes(spark, d):
     return _resolved(spark, d)[1]
 
 
+@query(f"""WITH {_RESOLVE_SQL} SELECT lei, outcome, ticker, exchange,
+  CASE WHEN substr(lei, 2)::BIGINT % 50 <= 2 THEN 'by hand ' || lei END AS note FROM outcomes""")
+def outcomes_by_override_files(spark, d):
+    """Listings resolved with correction files of at most a thousand entities each, written and read back."""
+    path = work_path(spark, "overrides")
+    rows = _overrides(spark, d).where("exclude OR ticker IS NOT NULL").withColumn("note", F.concat(F.lit("by hand "), "lei"))
+    entry = F.struct("lei", F.struct("ticker", "exchange", "exclude", "note", "reviewed").alias("o"))
+    number = F.substring("lei", 2, 20).cast("bigint")
+    rows.groupBy(F.floor(number / 1000).alias("file")).agg(F.map_from_entries(F.collect_list(entry)).alias("overrides")) \
+        .select("file", F.to_json(F.struct(F.lit("kept by hand").alias("_comment"), "overrides")).alias("value")) \
+        .write.partitionBy("file").text(path)
+    read = quotes.read_overrides(spark, f"{path}/*")
+    return _resolved(spark, d, read)[1].select("lei", "outcome", "ticker", "exchange").join(read.select("lei", "note"), "lei", "left")
+
+
 @query(f"""WITH {_RESOLVE_SQL} SELECT lei, 'MANUAL:' || lei AS isin, true AS is_primary, 'manual' AS confidence FROM decided
   WHERE route = 'manual'
 UNION ALL SELECT l.lei, isin, coalesce(l.ord = p_ord, false), CASE WHEN coalesce(l.ord = p_ord, false) AND NOT p_home

@@ -463,6 +463,27 @@ def upserted_store(spark, d):
     return count("company_year").unionByName(count("fact"))
 
 
+@query(f"""WITH {EXTRACT_SQL} SELECT 'company_year' AS "table", 'removed' AS state, count(*) AS n FROM headers
+UNION ALL SELECT 'fact', 'removed', count(*) FROM fact
+UNION ALL SELECT 'company_year', 'held', count(*) FROM headers WHERE fiscal_year = 1997
+UNION ALL SELECT 'fact', 'held', count(*) FROM fact WHERE fiscal_year = 1997
+UNION ALL SELECT 'listing', 'held', count(*) FROM supplier""")
+def cleared_store(spark, d):
+    """A written store whose extractions are dropped and one year put back; its listings stay."""
+    path = work_path(spark, "store")
+    headers, facts = _store(spark, d)
+    sinks.upsert_company_years(spark, path, headers, facts)
+    sinks.write_listings(table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("lei"), "s_name"),
+                         f"{path}/listing", 8)
+    removed = sinks.clear_extractions(spark, path)
+    sinks.upsert_company_years(spark, path, headers.where("fiscal_year = 1997"), facts.where("fiscal_year = 1997"))
+    out = spark.createDataFrame([(name, "removed", n) for name, n in removed.items()], "table string, state string, n long")
+    for name in (*sinks.EXTRACTIONS, "listing"):
+        out = out.unionByName(sinks.read_table(spark, f"{path}/{name}").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("table"), F.lit("held").alias("state"), "n"))
+    return out
+
+
 @query("""SELECT doc_id, 'field' AS problem FROM (SELECT doc_id, source FROM documents) WHERE source <> 'src0'
 UNION ALL SELECT doc_id, 'status' FROM documents WHERE lang <> 'en'""")
 def vocabulary_problems(spark, d):

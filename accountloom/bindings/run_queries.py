@@ -11,7 +11,7 @@ from accountloom.bindings.base import YEARS, pick, sql_list, table
 from accountloom.bindings.company_queries import _LADDER_SQL, _QUOTE_SQL, _ladder_pages, prices
 from accountloom.functions import numbers, ordered, text
 from accountloom.operators import health, parameters, policy, portfolio, results, store, valuation
-from accountloom.session import stored
+from accountloom.session import stored, work_path
 from accountloom.sources import records
 
 QUERIES, ORACLE = {}, {}
@@ -408,14 +408,15 @@ def _ladder_vintages(spark, d):
             "spread": F.when(small, F.col("spread") + 0.01).otherwise(F.col("spread"))})
 
 
-@query(f"""WITH {_VINTAGE_SQL}, z AS (SELECT *, (vps - price) / price AS up, cap / r4 AS cr FROM fin)
+_BY_VINTAGE_SQL = f"""WITH {_VINTAGE_SQL}, z AS (SELECT *, (vps - price) / price AS up, cap / r4 AS cr FROM fin)
 SELECT split_part(lei, '@', 1) AS lei, vt::VARCHAR AS ladder_vintage, tbl AS credit_table, rating AS implied_rating,
   round(wacc, 6) AS wacc, round(vps, 4) AS value_per_share,
   CASE WHEN NOT cr BETWEEN 0.05 AND 30 THEN 'VOID - failed validation' WHEN up > 0.25 THEN 'UNDERVALUED - investigate'
-  WHEN up < -0.25 THEN 'OVERVALUED - screen out' ELSE 'FAIRLY VALUED - no action' END AS verdict FROM z""")
-def values_by_vintage(spark, d):
-    """Every company valued with the first and the last ladder that was read."""
-    ladder = stored(spark, "ladders", d, lambda: _ladder_vintages(spark, d))
+  WHEN up < -0.25 THEN 'OVERVALUED - screen out' ELSE 'FAIRLY VALUED - no action' END AS verdict FROM z"""
+
+
+def _valued_by(spark, d, ladder):
+    """Every company valued with the first and the last vintage of a ladder table."""
     pages = ladder.select(F.col("vintage").cast("long").alias("v"))
     both = F.array(*[pages.agg(f("v")).scalar().cast("string") for f in (F.min, F.max)])
     inputs = _valuation_inputs(spark, d).withColumn("ladder_vintage", F.explode(both))
@@ -424,6 +425,26 @@ def values_by_vintage(spark, d):
         F.round("value_per_share", 4).alias("value_per_share"), "verdict")
 
 
+@query(_BY_VINTAGE_SQL)
+def values_by_vintage(spark, d):
+    """Every company valued with the first and the last ladder that was read."""
+    return _valued_by(spark, d, stored(spark, "ladders", d, lambda: _ladder_vintages(spark, d)))
+
+
+@query(_BY_VINTAGE_SQL)
+def values_by_ladder_files(spark, d):
+    """The same with ladders written as reference files, of at most 500 vintages each, and read back."""
+    path = work_path(spark, "ladder-files")
+    rung = F.struct("row", "coverage_from", "rating", "rating_full", "spread")
+    tables = _ladder_vintages(spark, d).groupBy("vintage", "table").agg(
+        F.sort_array(F.collect_list(rung)).alias("rungs"), F.max("cutoff").alias("eur_millions")) \
+        .groupBy("vintage").agg(F.struct(F.max("eur_millions").alias("eur_millions")).alias("size_cutoff"), F.map_from_entries(
+            F.collect_list(F.struct("table", F.struct(F.transform("rungs", lambda r: r.dropFields("row")).alias("rows"))))).alias("tables"))
+    tables.groupBy(F.floor(F.col("vintage").cast("long") / 500).alias("file")).agg(F.to_json(F.collect_list(F.struct(
+        "vintage", "size_cutoff", "tables"))).alias("value")).write.partitionBy("file").text(path)
+    return _valued_by(spark, d, records.read_ladder(spark, f"{path}/*"))
+
+
 @query(f"""WITH {_VALUE_SQL} SELECT lei, c AS cell, s AS severity FROM fin, LATERAL (VALUES ('D99', 'OK'), ('D103', CASE
   WHEN actual > synth THEN 'WARNING' ELSE 'OK' END),
 ('D104', CASE WHEN abs(d25 - d28) / greatest(abs(d25), abs(d28)) > 0.5 THEN 'WARNING'

@@ -92,6 +92,26 @@ def _drop_partitions(spark: SparkSession, path: str, gone: list, by: list[str])
             files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/" + "/".join(f"{c}={row[c]}" for c in by)), True)
 
 
+EXTRACTIONS = ("company_year", "fact")
+
+
+def clear_extractions(spark: SparkSession, path: str) -> dict[str, int]:
+    """Drop the two extraction tables of the store under ``path``; how many rows of each went.
+
+    Listings, prices and all other tables of the store keep their files. Rows are counted from the file
+    footers. A cleared store is a new one to the next upsert; a table that is not there counts zero rows.
+    """
+    removed = {}
+    for name in EXTRACTIONS:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = files.exists(target)
+        removed[name] = spark.read.parquet(f"{path}/{name}").count() if there else 0
+        if there:
+            files.delete(target, True)
+    return removed
+
+
 def write_listings(listings: DataFrame, path: str, buckets: int) -> None:
     """Listings in hash buckets of the entity, so that later joins meet co-located."""
     listings.withColumn("bucket", F.pmod(F.xxhash64("lei"), F.lit(buckets))) \

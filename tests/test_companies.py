@@ -127,6 +127,20 @@ def test_wholesale_replace_and_clear(spark, tmp_path):
     assert ch.count() == cf.count() == 0 and ch.columns == h3.columns
 
 
+def test_clear_drops_extractions_and_nothing_else(spark, tmp_path):
+    path = str(tmp_path)
+    h, f = make_store(spark, ("A", "B"))
+    assert sinks.clear_extractions(spark, path) == {"company_year": 0, "fact": 0}
+    sinks.upsert_company_years(spark, path, h, f)
+    sinks.write_listings(spark.createDataFrame([("A", "I1")], "lei string, isin string"), f"{path}/listing", 4)
+    files = lambda: sorted((str(p), p.stat().st_mtime_ns) for p in (tmp_path / "listing").rglob("*.parquet"))
+    before = files()
+    assert sinks.clear_extractions(spark, path) == {"company_year": h.count(), "fact": f.count()}
+    assert files() == before and not (tmp_path / "fact").exists() and not (tmp_path / "company_year").exists()
+    sinks.upsert_company_years(spark, path, h.where("lei = 'A'"), f.where("lei = 'A'"))
+    assert {r.lei for r in sinks.read_table(spark, f"{path}/company_year").collect()} == {"A"}
+
+
 def test_listings_are_replaced_per_entity(spark):
     schema = "lei string, isin string, exchange string, figi string, ord int"
     old = spark.createDataFrame([("A", "I1", "FP", "G1", 0), ("B", "I2", "FP", "G2", 0)], schema)

@@ -10,7 +10,8 @@ from accountloom.bindings import company_queries, filing_queries
 
 SAMPLE = ("coverage_report", "best_duplicate_facts", "extracted_facts", "listing_outcomes", "industry_parameters",
           "classified_replies", "research_policy", "company_values", "portfolio_positions", "performance_series",
-          "streamed_price_watch", "parsed_periods")
+          "streamed_price_watch", "parsed_periods", "screening_run", "cleared_store", "outcomes_by_override_files",
+          "values_by_ladder_files")
 
 
 def cells(rows, columns):
