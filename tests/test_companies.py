@@ -52,6 +52,16 @@ def test_coverage_file_round_trip(spark, sf_dir, tmp_path):
     assert back.count() == report.where("complete = 'YES'").count() > 0
 
 
+def test_coverage_file_keeps_texts_as_they_are(spark, tmp_path):
+    names = ["", " A  b ", 'C "quoted", d', "two\nlines", "back\\slash", None]
+    rows = [(f"L{i}", n, "IT", "YES", 5, "1996", "", 12, "YES", 0) for i, n in enumerate(names)]
+    report = spark.createDataFrame(rows, "lei string, name string, country string, complete string, years_held int, "
+                                   "years_present string, missing_years string, fiscal_month int, consistent_year_end string, errors long")
+    sinks.write_report(report, str(tmp_path / "cov"))
+    back = filings.read_universe(spark, str(tmp_path / "cov"))
+    assert {r.lei: (r.name, r.missing_years) for r in back.collect()} == {f"L{i}": (n, "") for i, n in enumerate(names)}
+
+
 def test_sample_is_spread(spark):
     rows = spark.range(1000).select(F.concat(F.lit("L"), "id").alias("lei"), F.when(F.col("id") % 10 < 7, "DE").when(
         F.col("id") % 10 < 9, "FR").otherwise("IT").alias("country"))
