@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from datetime import date
 
 import pytest
@@ -221,3 +222,17 @@ def test_overlapping_files_give_every_fetch_once(spark, tmp_path):
     got = {(r.lei, r.as_of.day): r.fetches for r in daily.stored_fetches(spark, str(tmp_path / "out")).collect()}
     assert got == {(x, d): 1 for x in "ab" for d in range(1, 10)}
     assert len(os.listdir(tmp_path / "out")) >= 3
+
+
+def _largest_method(df, capsys):
+    """Bytes of the largest generated method; the JVM does not compile one beyond 8000."""
+    capsys.readouterr()
+    df.explain("codegen")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))
+
+
+def test_the_parser_of_documents_is_compiled(spark, capsys, tmp_path):
+    row = ("A", 2000, 1, '{"facts": {"f0": {"value": "1", "dimensions": {"concept": "ifrs-full:Assets", "period": "2001-01-01T00:00:00"}}}}')
+    spark.createDataFrame([row], "lei string, fiscal_year int, doc_no long, body string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert _largest_method(filings.parse_documents(docs, ["lei", "fiscal_year"], ["doc_no"]), capsys) <= 8000
