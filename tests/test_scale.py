@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from accountloom import spec
-from accountloom.bindings import filing_queries, run_queries
+from accountloom.bindings import filing_queries, run_queries, stream_queries
 from accountloom.functions import ordered
 from accountloom.operators import extraction, ladders, parameters, results, valuation
 from accountloom.sources import filings, records, sinks
@@ -236,3 +236,19 @@ def test_the_parser_of_documents_is_compiled(spark, capsys, tmp_path):
     spark.createDataFrame([row], "lei string, fiscal_year int, doc_no long, body string").write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     assert _largest_method(filings.parse_documents(docs, ["lei", "fiscal_year"], ["doc_no"]), capsys) <= 8000
+
+
+def test_no_task_writes_whole_turns_of_the_stream(spark, tmp_path):
+    days = spark.range(0, 4000, numPartitions=4).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 20 * 86400).alias("ts"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a split per file
+    try:
+        days.write.parquet(str(tmp_path / "events.parquet"))
+        stream_queries._overlapping_files(spark, str(tmp_path), str(tmp_path / "files"))
+        turns = sorted((tmp_path / "files").iterdir(), key=lambda p: int(p.name[5:]))
+        assert [p.name for p in turns] == [f"turn={n}" for n in range(6)]
+        assert all(len(list(p.glob("*.parquet"))) == 4 for p in turns)
+        held = [spark.read.parquet(str(p)).agg(F.count(F.lit(1)), F.countDistinct("ts")).first() for p in turns]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [tuple(h) for h in held] == [(800, 4), *[(1600, 8)] * 4, (800, 4)]
