@@ -252,3 +252,8 @@ def test_no_task_writes_whole_turns_of_the_stream(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert [tuple(h) for h in held] == [(800, 4), *[(1600, 8)] * 4, (800, 4)]
+
+
+def test_the_record_of_a_valuation_is_written_and_read_once(spark, sf_dir):
+    text = plan(run_queries.sidecar_records(spark, sf_dir))
+    assert text.count("StructsToJsonEvaluator") == 1 and text.count("from_json(") == 1 and text.count("Scan parquet") == 2
