@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from accountloom import spec
-from accountloom.bindings import filing_queries, run_queries, stream_queries
+from accountloom.bindings import base, filing_queries, run_queries, stream_queries
 from accountloom.functions import ordered
 from accountloom.operators import extraction, ladders, parameters, results, valuation
 from accountloom.sources import filings, records, sinks
@@ -119,6 +119,32 @@ def test_best_duplicates_are_hashed_not_sorted(spark, sf_dir):
         assert "SortAggregate(key=[lei" not in text and "HashAggregate(keys=[lei" in text
 
 
+def test_documents_of_a_filing_are_neighbours(spark, sf_dir):
+    docs = base.filing_documents(spark, sf_dir).select(*extraction.KEYS, F.spark_partition_id().alias("part"))
+    per_task = docs.groupBy("part", *extraction.KEYS).count()
+    filed, tasks = docs.select(*extraction.KEYS).distinct().count(), docs.select("part").distinct().count()
+    assert tasks > 1 and per_task.count() <= filed + tasks - 1  # a task cuts one filing at most
+
+
+def test_tasks_follow_the_documents_not_the_setting(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(base, "DOCUMENTS_PER_TASK", 500)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    docs = base.filing_documents(spark, sf_dir).withColumn("part", F.spark_partition_id())
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) < docs.select("part").distinct().count() <= lines // 500
+    repeated = docs.groupBy("doc_no").count().where("count > 1")
+    assert docs.count() == lines and repeated.count() == 0
+
+
+def test_extraction_shuffles_the_best_facts_only(spark, sf_dir):
+    """Facts meet once, as whole numbers by their names; candidates then come together by filing, and stay."""
+    text = plan(extraction.named_facts(filings.numeric_facts(filing_queries._parsed(spark, sf_dir))))
+    assert text.count("Exchange") == 1 and "SortAggregate" not in text
+    named = filing_queries._named(spark, sf_dir)
+    few = spark.createDataFrame([], "_cid long, concept string")
+    text = plan(extraction.named_candidates(named, F.broadcast(few)))
+    assert text.count("hashpartitioning") == 1 and "hashpartitioning(lei" in text
+
+
 def test_rank_order(spark):
     rows = [(True, "iso4217:USD", 1), (True, "iso4217:EUR", 9), (False, "iso4217:EUR", 0), (True, None, 0), (True, "iso4217:EUR", 10)]
     df = spark.createDataFrame(rows, "is_ifrs boolean, unit string, ord long")
