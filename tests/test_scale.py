@@ -145,6 +145,32 @@ def test_extraction_shuffles_the_best_facts_only(spark, sf_dir):
     assert text.count("hashpartitioning") == 1 and "hashpartitioning(lei" in text
 
 
+def test_facts_are_reduced_where_they_are_parsed(spark, sf_dir):
+    """No shuffle between documents and the best facts; a name crosses to its filing once, before it is opened."""
+    facts = filings.numeric_facts(filing_queries._facts(spark, sf_dir, base.DEALT))
+    text = plan(extraction.named_facts(facts, base.DEALT))
+    reduced = text[:text.index("rangepartitioning")]
+    assert "HashAggregate(keys=[lei" in reduced and "hashpartitioning" not in reduced
+    few = spark.createDataFrame([], "_cid long, concept string")
+    text = plan(extraction.named_candidates(filing_queries._named(spark, sf_dir), F.broadcast(few)))
+    assert text.index("Generate explode(places") < text.index("hashpartitioning") and text.count("Generate") == 1
+
+
+def test_a_filing_of_many_documents_is_cut_into_pieces(spark, sf_dir, monkeypatch):
+    """Pieces ascend with the order of facts, are in several tasks, and give the same company-years."""
+    want = sorted(map(str, filing_queries._stored_vote(spark, sf_dir).collect()))
+    monkeypatch.setattr(base, "DOCUMENTS_PER_TASK", 20)
+    docs = base.filing_documents(spark, sf_dir).withColumn("part", F.spark_partition_id())
+    cut = docs.groupBy(*extraction.KEYS).agg(F.max("piece").alias("last"), F.count_distinct("part").alias("tasks"))
+    assert cut.where("last > 1 AND tasks > 1").count() > 0
+    ranges = docs.groupBy(*base.DEALT).agg(F.min("doc_no").alias("a"), F.max("doc_no").alias("b"), F.count_distinct("part").alias("tasks"))
+    assert ranges.where("tasks > 1").count() == 0
+    pieces = sorted((r.lei, r.fiscal_year, r.piece, r.a, r.b) for r in ranges.collect())
+    assert all(x[4] < y[3] for x, y in zip(pieces, pieces[1:]) if x[:2] == y[:2])
+    got = sorted(map(str, filing_queries._stored_vote(spark, f"{sf_dir}/").collect()))  # another path: nothing stored is read
+    assert got == want
+
+
 def test_rank_order(spark):
     rows = [(True, "iso4217:USD", 1), (True, "iso4217:EUR", 9), (False, "iso4217:EUR", 0), (True, None, 0), (True, "iso4217:EUR", 10)]
     df = spark.createDataFrame(rows, "is_ifrs boolean, unit string, ord long")
