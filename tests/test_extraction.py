@@ -216,6 +216,28 @@ def test_vote_needs_every_year(spark):
     assert out["b", 2020].status == "failed"
 
 
+def test_texts_read_after_the_reduction_give_the_same_lines(documents, voted):
+    """Facts reduced as written, one period in three spellings, an unusable one, and names judged beforehand."""
+    written = {"2024-01-01T00:00:00/2025-01-01T00:00:00": ["2024-01-01/2025-01-01", "2024-01-01T00:00:00/2024-12-31T23:59:59"],
+               "2025-01-01T00:00:00": ["2025-01-01", "2024-12-31T18:00:00"]}
+    spelled = [(c, written[p][i % 2] if i % 3 and p in written else p, v, *x) for i, (c, p, v, *x) in enumerate(CASES["gross_interest"])]
+    odd = [(I + "Revenue", "sometime", 7.0), (I + "Revenue", "", 8.0), ("", YEAR, 9.0), ("acme:", YEAR, 1.0), (I + "Revenue", YEAR, "")]
+    more = documents.sparkSession.createDataFrame(
+        [("spelled", 2024, date(2024, 12, 31), "Name", "IT", "ref", document(spelled + odd)),
+         ("empty", 2024, date(2024, 12, 31), "Name", "IT", "ref", '{"facts": {}}')], documents.schema)
+    both = documents.unionByName(more)
+    facts = filings.valued_facts(filings.open_documents(both, extraction.KEYS, []))
+    named = extraction.named_written_facts(facts, extraction.KEYS, filings.read_texts)
+    names = extraction.names_in_use(named)
+    got = extraction.vote_financial(extraction.named_company_years(
+        both.drop("body"), named, extraction.concept_names(names), placed=extraction.placed_names(names)))
+    rows = {r.lei: r for r in got.collect()}
+    assert {k: r for k, r in rows.items() if k in CASES} == {r.lei: r for r in voted.collect()}
+    same = lambda r: {k: v for k, v in r.asDict().items() if k != "lei"}
+    assert same(rows["spelled"]) == same(rows["gross_interest"])
+    assert rows["empty"].status == "partial" and rows["empty"].revenue is None
+
+
 def test_repeated_document_keeps_first_fact(spark):
     """A hot filing in many parts: duplicates are settled by document order."""
     parts = [("hot", 2024, i, document([(I + "Revenue", YEAR, 1000 + i)] * 3)) for i in range(400)]

@@ -12,6 +12,7 @@ from accountloom import spec
 from accountloom.bindings import base, filing_queries, run_queries, stream_queries
 from accountloom.functions import ordered
 from accountloom.operators import extraction, ladders, parameters, results, valuation
+from accountloom.plans import screening
 from accountloom.sources import filings, records, sinks
 from accountloom.streaming import daily
 
@@ -171,6 +172,37 @@ def test_a_filing_of_many_documents_is_cut_into_pieces(spark, sf_dir, monkeypatc
     assert got == want
 
 
+def test_texts_are_read_once_per_group_of_facts(spark, sf_dir, tmp_path):
+    """Only values are read of every fact; concepts and periods of what the aggregation leaves, in the same task."""
+    opened = filings.open_documents(base.filing_documents(spark, sf_dir), base.DEALT, ["doc_no"])
+    named = extraction.named_written_facts(filings.valued_facts(opened), base.DEALT, filings.read_texts)
+    text = plan(named)
+    below = text[text.index("HashAggregate"):]
+    assert below.count("Generate") == 2 and text.count("Generate") > 2 and "SortAggregate" not in text
+    assert "hashpartitioning" not in text[:text.index("rangepartitioning")]
+    opened.write.parquet(str(tmp_path / "opened"))  # the numbers of documents are given once
+    opened = spark.read.parquet(str(tmp_path / "opened"))
+    named = extraction.named_written_facts(filings.valued_facts(opened), base.DEALT, filings.read_texts)
+    cells = [*extraction.KEYS, "end", "kind", "concept", "local_name"]
+    combined = lambda df: sorted(df.groupBy(*cells).agg(
+        F.min("rank"), F.min_by("value", "rank"), F.sum("n"), F.min("seen")).collect())
+    assert combined(named) == combined(extraction.named_facts(filings.numeric_facts(filings.classify_facts(opened, base.DEALT)), base.DEALT))
+
+
+def test_only_names_at_the_year_end_are_opened(spark, sf_dir):
+    """The year end comes from counts per end date: no window over candidates, and no name is judged twice."""
+    named = filing_queries._named(spark, sf_dir)
+    names = extraction.names_in_use(named)
+    few = F.broadcast(spark.createDataFrame([], "_cid long, concept string"))
+    heads = screening.filing_headers(base.filing_heads(spark, sf_dir))
+    placed = extraction.placed_names(names).localCheckpoint()
+    text = plan(extraction.named_company_years(heads, named, few, placed=F.broadcast(placed), parts=7))
+    assert "Window" not in text and "RLIKE" not in text
+    assert text.index("Generate explode(places") < text.index("ShuffledHashJoin") < text.index("REPARTITION_BY_NUM")
+    assert text.count("REPARTITION_BY_NUM") == 1
+    assert 0 < placed.count() < names.select("kind", "local_name").distinct().count()
+
+
 def test_rank_order(spark):
     rows = [(True, "iso4217:USD", 1), (True, "iso4217:EUR", 9), (False, "iso4217:EUR", 0), (True, None, 0), (True, "iso4217:EUR", 10)]
     df = spark.createDataFrame(rows, "is_ifrs boolean, unit string, ord long")
